@@ -41,9 +41,8 @@ def base_columns(text: Column) -> dict[str, Column]:
 def _repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text, the first occurrence included.
 
-    Sorted window hashes show which occur twice. Few of them are looked up in place; with many, sorting
-    (hash, position) pairs puts equal windows side by side, so the cost is n log n even in texts that repeat
-    themselves throughout.
+    Sorting window hashes with their positions puts equal windows side by side, so the cost is n log n even
+    in texts that repeat themselves throughout.
     """
 
     def windows(w: Column) -> Column:
@@ -55,29 +54,30 @@ def _repeat_words(words: Column) -> Column:
         gaps = F.zip_with(found, F.slice(found, F.lit(2), F.size(found)), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
         return F.aggregate(gaps, F.lit(0), lambda acc, g: acc + g)
 
-    def by_lookup(hashes: Column, twice: Column) -> Column:
-        marked = F.transform(hashes, lambda h, i: F.when(F.array_contains(twice, h), i))
-        return F.array_compact(marked)
-
-    def by_sorting(hashes: Column) -> Column:
+    def by_pairs(hashes: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def repeated(s: Column) -> Column:
-            same = lambda e, j: F.coalesce(F.get(s, j)["h"] == e["h"], F.lit(False))
-            return F.sort_array(F.transform(F.filter(s, lambda e, i: same(e, i - 1) | same(e, i + 1)), lambda e: e["i"]))
+            same = lambda e, j: F.get(s, j)["h"] == e["h"]
+            return F.transform(F.filter(s, lambda e, i: same(e, i - 1) | same(e, i + 1)), lambda e: e["i"])
 
         return bind(pairs, repeated)
 
+    def by_packed(hashes: Column) -> Column:
+        """44 bits of each hash and 20 of its position in one long; null if those hash bits are ambiguous."""
+        packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h, 20).bitwiseOR(i.cast("long"))))
+        head = lambda x: F.shiftright(x, 20)
+        repeated = bind(packed, lambda s: F.filter(s, lambda e, i: (head(F.get(s, i - 1)) == head(e)) | (head(F.get(s, i + 1)) == head(e))))
+
+        def settled(found: Column) -> Column:
+            places = F.transform(found, lambda e: e.bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
+            full = F.array_distinct(F.transform(places, lambda i: F.get(hashes, i)))
+            return F.when(F.size(full) == F.size(F.array_distinct(F.transform(found, head))), places)
+
+        return F.when(F.size(hashes) < 1 << 20, bind(repeated, settled))
+
     def covered(hashes: Column) -> Column:
-        ordered = F.sort_array(hashes)
-        twice = bind(ordered, lambda s: F.array_distinct(F.filter(s, lambda h, i: F.coalesce(F.get(s, i + 1) == h, F.lit(False)))))
-        found = bind(
-            twice,
-            lambda d: F.when(F.size(d) == 0, F.array().cast("array<int>"))
-            .when(F.size(d) <= 24, by_lookup(hashes, d))
-            .otherwise(by_sorting(hashes)),
-        )
-        return bind(found, spread)
+        return bind(F.sort_array(F.coalesce(by_packed(hashes), by_pairs(hashes))), spread)
 
     counted = bind(
         F.when(F.size(words) >= 4, bind(words, windows)),
