@@ -81,3 +81,23 @@ def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sampled_labels(labels: DataFrame, key: str, label: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """At most about `per_class` keys of each label 0 and 1, picked by key hash, and the rates they were picked at.
+
+    Columns `k` and `y`. A key that is labelled twice counts once, as 1 if any row says so; null labels and other
+    values don't count. Only this bounded table is ever broadcast.
+    """
+    rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
+    rows = rows.dropna().groupBy("k").agg(F.max("y").alias("y"))
+    rates = {r["y"]: min(1.0, per_class / r["n"]) for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    part = F.pmod(F.xxhash64(F.col("k"), F.lit("sample")), F.lit(1_000_000))
+    bound = F.when(F.col("y") == 1, int(1_000_000 * rates.get(1, 0))).otherwise(int(1_000_000 * rates.get(0, 0)))
+    return rows.where(part < bound), rates
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame, key: str, text: str) -> DataFrame:
+    """Key, text and label (`k`, `t`, `y`) of a bounded sample's documents that have a text; the documents don't move."""
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    return texts.join(F.broadcast(sample), "k")

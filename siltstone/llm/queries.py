@@ -7,12 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
-from .common import read_table
+from . import langid, quality, rules, toxicity
+from .common import fold_of, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", fold_of(F.col("doc_id"), 4) == 2)
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, keep=("doc_id", "held_out"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    out = toxicity.score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    out = quality.score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.apply_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,7 +75,10 @@ SQL_RULES = f"WITH {RULES_CTE} SELECT doc_id, n_words, word_chars, n_symbols, n_
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op5_toxicity": op5_toxicity,
         "op8_quality_rules": op8_quality_rules,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 
