@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, rules, toxicity
+from . import langid, minhash, quality, rules, toxicity
 from .common import fold_of, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 4) == 2
     docs = read_table(spark, sf_dir, "documents")
@@ -76,6 +80,7 @@ SQL_RULES = f"WITH {RULES_CTE} SELECT doc_id, n_words, word_chars, n_symbols, n_
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op3_minhash_dedup": op3_minhash_dedup,
         "op5_toxicity": op5_toxicity,
         "op8_quality_rules": op8_quality_rules,
         "op9_quality_classifier": op9_quality_classifier,
