@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, quality, rules, toxicity
+from . import langid, minhash, mixing, quality, rules, toxicity
 from .common import fold_of, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ SQL_RULES = f"WITH {RULES_CTE} SELECT doc_id, n_words, word_chars, n_symbols, n_
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_source_mix": op2_source_mix,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op5_toxicity": op5_toxicity,
         "op8_quality_rules": op8_quality_rules,
