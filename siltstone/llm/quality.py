@@ -57,7 +57,7 @@ def word_features(vocabulary: list[str], buckets: int = BUCKETS) -> list[np.ndar
 def _placed(padded: Padded) -> np.ndarray:
     """A hash of each code point and its place in its word, to be summed to a hash of the word."""
     place = np.arange(len(padded.codes)) - np.repeat(padded.starts, padded.sizes)
-    h = (padded.codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = (padded.codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 

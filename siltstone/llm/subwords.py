@@ -19,16 +19,18 @@ class Padded:
 
     def __init__(self, words: list[str], front: int = 1):
         text = "".join(f"{FRONT * front}{w}{BACK}" for w in words)
-        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         self.sizes = np.fromiter((len(w) + front + 1 for w in words), np.int64, len(words))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of every window of n code points inside a word, and the number of the word that each is in."""
         counts = np.maximum(self.sizes - n + 1, 0)
-        owner = np.repeat(np.arange(len(counts)), counts)
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + self.starts[owner]
         h = np.full(len(at), n, np.uint64)
         for k in range(n):
-            h = h * _PRIME + self.codes[at + k]
+            h *= _PRIME
+            h += self.codes[at]
+            at += 1
         return _mixed(h), owner
