@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, quality, rules, topk, toxicity
+from . import langid, lines, minhash, mixing, quality, rules, topk, toxicity
 from .common import fold_of, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,34 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.remove_boilerplate(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("digest"))
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: Documents without the lines that at least eight sites share; `{docs}` names the table.
+LINES_CTE = rf"""
+line_rows AS (
+  SELECT doc_id, source, i, l, trim(l, {_BLANKS}) AS t FROM (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {{docs}})),
+line_bad AS (
+  SELECT t FROM line_rows WHERE t <> '' GROUP BY t HAVING count(DISTINCT coalesce(source, chr(0))) >= 8),
+line_docs AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad,
+    sum(len(regexp_extract_all(l, '{WORD}'))) AS n_words, sum(len(regexp_extract_all(l, '{WORD}'))) FILTER (bad) AS n_lost,
+    coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT bad), '') AS rest
+  FROM (SELECT r.*, b.t IS NOT NULL AS bad FROM line_rows r LEFT JOIN line_bad b USING (t)) GROUP BY doc_id),
+lined AS (
+  SELECT d.* EXCLUDE (text), coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN 100 * n_lost > 50 * n_words THEN 0 ELSE coalesce(n_bad, 0) END)::BIGINT AS n_removed,
+    CASE WHEN n_bad > 0 AND 100 * n_lost <= 50 * n_words THEN rest ELSE d.text END AS text
+  FROM {{docs}} d LEFT JOIN line_docs USING (doc_id))"""
+
+SQL_LINES = f"""WITH {LINES_CTE.format(docs="documents")}
+SELECT doc_id, n_lines, n_removed, length(text)::BIGINT AS n_chars_left, md5(text) AS digest FROM lined"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.apply_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -104,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mix": op2_source_mix,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op5_toxicity": op5_toxicity,
+        "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_maxscore_topk": op10_maxscore_topk,
@@ -112,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_line_dedup": SQL_LINES,
         "op8_quality_rules": SQL_RULES,
         "op10_maxscore_topk": SQL_TOPK,
     }
