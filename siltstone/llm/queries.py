@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, minhash, mixing, quality, rules, topk, toxicity
+from . import langid, lines, minhash, mixing, packing, quality, rules, topk, toxicity
 from .common import fold_of, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 4) == 2
     docs = read_table(spark, sf_dir, "documents")
@@ -131,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_source_mix": op2_source_mix,
         "op3_minhash_dedup": op3_minhash_dedup,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op5_toxicity": op5_toxicity,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
