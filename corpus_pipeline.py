@@ -1,8 +1,64 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, source mixing and packing, one after another."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, source mixing and packing, one after another.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last
+return the columns of `documents`. Stages meet in Parquet files in the folder that all executors share.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import lines, minhash, mixing, packing, rules
+from siltstone.llm.common import read_table, staged
+
+#: Percent of Jaccard similarity at which the pipeline counts documents as near-duplicates.
+NEAR_PERCENT = 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return rules.apply_rules(docs).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many sources share; `n_chars` follows the text."""
+    cut = lines.remove_boilerplate(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each near-duplicate group; rows that repeat stay once."""
+    stays = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to twice; documents without a word go."""
+    taken = mixing.mix(docs).where(F.col("copies") > 0).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in bins of 4096 words."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Mixing and packing are sequential and iterative: SQL can't express them, so tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

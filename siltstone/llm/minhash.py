@@ -26,7 +26,8 @@ from .common import lower_words_of, staged
 from .graph import components
 
 SHINGLE = 5
-BANDS, ROWS = 32, 8
+#: Coordinates of a signature, and the largest probability with which a link at the threshold may share no band.
+COORDINATES, MISS = 256, 1e-4
 #: Documents, and shingles, that one block of a candidate cluster holds at most; two blocks meet in a task.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1_000_000
 CACHE = 200_000
@@ -73,7 +74,15 @@ def _second(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: the most rows that keep the probability of missing a link at the threshold below MISS."""
+    for rows in range(16, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (COORDINATES // rows) < MISS:
+            return COORDINATES // rows, rows
+    return COORDINATES, 1
+
+
+def signature(shingles: np.ndarray, size: int = COORDINATES) -> np.ndarray:
     """The k-th coordinate is the least of second(first(s) + k) over the shingles, in circles of 2^32."""
     first = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     first = (first ^ (first >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
@@ -87,7 +96,7 @@ def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
-def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     h = np.arange(bands, dtype=np.uint64)
     for r in range(rows):
         h = h * _PRIME + sig.reshape(bands, rows)[:, r].astype(np.uint64)
@@ -98,18 +107,21 @@ def _print(words: list[str]) -> bytes:
     return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
-    for batch in batches:
-        prints, sizes, bands = [], [], []
-        for t in batch.column(1).to_pylist():
-            words = lower_words_of(t)
-            s = shingler.of(words)
-            sizes.append(len(s))
-            prints.append(_print(words) if words else None)
-            bands.append(band_hashes(signature(s)) if words else None)
-        arrays = [batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "print", "n_shingles", "bands"])
+def _signed(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            prints, sizes, banded = [], [], []
+            for t in batch.column(1).to_pylist():
+                words = lower_words_of(t)
+                s = shingler.of(words)
+                sizes.append(len(s))
+                prints.append(_print(words) if words else None)
+                banded.append(band_hashes(signature(s, bands * rows), bands, rows) if words else None)
+            arrays = [batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(banded, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "print", "n_shingles", "bands"])
+
+    return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +190,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """One row per document: `n_shingles`, `component_id` (smallest key reachable over links), `kept`.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct 5-word shingles
-    (A-Z lower-cased; with fewer words, the whole sequence as one shingle). A link at the threshold shares no
-    band with a probability below 4e-5. Null, empty and blank texts have no shingle and stay alone. Rows with
+    (A-Z lower-cased; with fewer words, the whole sequence as one shingle). A link at the threshold is missed
+    with a probability below MISS (4e-5 at 85, 3e-6 at 80), one above it far more rarely. Null, empty and blank texts have no shingle and stay alone. Rows with
     the same key and text are one document, each returned; ties don't arise. Other columns are dropped.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = staged(rows.mapInArrow(_signed, "id long, print binary, n_shingles long, bands array<long>"), "signed")
+    signed = staged(rows.mapInArrow(_signed(*banding(percent)), "id long, print binary, n_shingles long, bands array<long>"), "signed")
     own = signed.where(F.col("print").isNotNull()).select("id", "print", "n_shingles")
     nodes = own.groupBy("print").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")

@@ -35,23 +35,20 @@ CACHE = 100_000
 SHAPES = 64
 
 
-def word_features(vocabulary: list[str], buckets: int = BUCKETS) -> list[np.ndarray]:
-    """For each word its buckets: the whole word and its character n-grams."""
+def word_features(vocabulary: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words, whole words and their character n-grams, and the number of the word that each is of."""
     if not vocabulary:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     padded = Padded(vocabulary)
     hashes, owners = [], []
     for n in GRAMS:
         h, owner = padded.grams(n)
         hashes.append(h % np.uint64(buckets))
         owners.append(owner)
-    whole = np.zeros(len(vocabulary), np.uint64)
-    np.add.at(whole, np.repeat(np.arange(len(vocabulary)), padded.sizes), _placed(padded))
+    whole = np.add.reduceat(_placed(padded), padded.starts)
     hashes.append((whole ^ (whole >> np.uint64(32))) % np.uint64(buckets))
     owners.append(np.arange(len(vocabulary)))
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.split(np.concatenate(hashes)[order].astype(np.int64), np.cumsum(np.bincount(owner, minlength=len(vocabulary)))[:-1])
+    return np.concatenate(hashes).astype(np.int64), np.concatenate(owners)
 
 
 def _placed(padded: Padded) -> np.ndarray:
@@ -84,7 +81,10 @@ class Features:
             self.known.clear()
         new = list({w for bag in bags for w in bag if w not in self.known})
         for i in range(0, len(new), 20_000):
-            self.known.update(zip(new[i : i + 20_000], word_features(new[i : i + 20_000], self.buckets), strict=True))
+            part = new[i : i + 20_000]
+            ids, owner = word_features(part, self.buckets)
+            cuts = np.cumsum(np.bincount(owner, minlength=len(part)))[:-1]
+            self.known.update(zip(part, np.split(ids[np.argsort(owner, kind="stable")], cuts), strict=True))
 
     def of(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Distinct buckets and their shares, which sum to 1."""
@@ -172,8 +172,9 @@ class Scorer:
             new = list({w for bag in bags for w in bag if w not in self.known})
             for j in range(0, len(new), 20_000):
                 part = new[j : j + 20_000]
-                for w, ids in zip(part, word_features(part, len(self.model.buckets)), strict=True):
-                    self.known[w] = (float(self.model.buckets[ids].sum()), len(ids))
+                ids, owner = word_features(part, len(self.model.buckets))
+                sums, sizes = np.bincount(owner, self.model.buckets[ids], len(part)), np.bincount(owner, minlength=len(part))
+                self.known.update(zip(part, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True))
             for j, (w, bag) in enumerate(zip(split, bags, strict=True)):
                 logit, total, n = self.model.bias + self.model.shapes[shapes(w)].mean(), 0.0, 0
                 for word, c in bag.items():
