@@ -124,6 +124,8 @@ class Parser:
     def take(self, into: list[Node]) -> Token:
         """The next token; comments on the way become nodes."""
         self.comments(into)
+        if self.at == len(self.tokens):
+            return Token("end", "", self.last_end(), self.last_end(), 0)
         self.at += 1
         return self.tokens[self.at - 1]
 

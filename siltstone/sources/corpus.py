@@ -17,7 +17,7 @@ EXCLUDED_DIRS = (
     "tmp", "temp",
 )
 
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = (
     "path string, relative_path string, score int, reasons array<string>, lines int, size bigint, category string, language string, support_status string"
 )
 
@@ -30,7 +30,7 @@ def excluded_dir(relative_path: Column) -> Column:
 
 def decoded(content: Column) -> Column:
     """UTF-8 with invalid bytes dropped and universal newlines."""
-    return F.regexp_replace(F.regexp_replace(F.decode(content, "UTF-8"), "�", ""), "\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "�", ""), "\r\n?", "\n")
 
 
 def scan(spark: SparkSession, root: str, project: str) -> DataFrame:
