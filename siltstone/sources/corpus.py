@@ -36,8 +36,8 @@ def decoded(content: Column) -> Column:
 def scan(spark: SparkSession, root: str, project: str) -> DataFrame:
     """All files below a root that aren't in excluded directories, by the binary file reader of the root's file system.
 
-    Texts are decoded with invalid bytes dropped; `strict` says whether they were valid. A path has the project before
-    it and slashes only.
+    Texts are decoded with invalid bytes (and U+FFFD) dropped; `strict` says whether they were valid. A path has the project before
+    it and slashes only. Files without a byte are left out: the binary reader doesn't list them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file://")

@@ -96,7 +96,7 @@ def test_scan(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     rows = {r["relative_path"]: r for r in corpus.scan(spark, str(tmp_path), "proj").collect()}
-    assert sorted(rows) == ["proj/bad.md", "proj/deep/er/d.json", "proj/empty.md", "proj/src/a.ts"]
+    assert sorted(rows) == ["proj/bad.md", "proj/deep/er/d.json", "proj/src/a.ts"]
     assert rows["proj/src/a.ts"]["content"] == "x\ny\nz" and rows["proj/bad.md"]["content"] == "ok!"
     assert not rows["proj/bad.md"]["strict"] and rows["proj/src/a.ts"]["strict"]
 
