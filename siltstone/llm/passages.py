@@ -63,6 +63,11 @@ def seeds_of(words: np.ndarray, k: int = SEED_WORDS, window: int = WINDOW) -> tu
     w = min(window, n)
     least = np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(n - w + 1)
     at = np.unique(least)
+    # in a text that repeats one seed over and over, every window's worth of such seeds needs one only
+    again = np.append(False, (h[at[1:]] == h[at[:-1]]) & (np.diff(at) < window))
+    begin = at[np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))]
+    step = (at - begin) // window
+    at = at[~again | np.append(False, step[1:] != step[:-1])]
     return h[at].view(np.int64), at.astype(np.int32)
 
 
@@ -135,16 +140,55 @@ def chains_of(x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS, cost: float = G
     return out
 
 
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, other, at, other_at), sorted: chains that span a piece with their margins at least."""
+def reaching(spans: list[tuple[int, int]], min_words: int) -> list[bool]:
+    """Which spans (first word, end) of a document lie in a stretch of so many words that spans may cover together.
+
+    Equal words without a seed reach SEED_WORDS + WINDOW - 1 words at most beyond a span, so a repeat of `min_words`
+    equal words is never left out; lone seeds of shorter repeats are.
+    """
+    reach = SEED_WORDS + WINDOW - 1
+    order = sorted(range(len(spans)), key=lambda i: spans[i])
+    out, run, low, high = [False] * len(spans), [], 0, -1
+    for i in [*order, None]:
+        if i is None or spans[i][0] - reach > high + 2:
+            for j in run:
+                out[j] = high - max(low, 0) >= min_words
+            if i is None:
+                break
+            run, low, high = [], spans[i][0] - reach, -1
+        run.append(i)
+        high = max(high, spans[i][1] + reach)
+    return out
+
+
+def _chained(min_words: int):
+    """Rows (id, other, at, other_at), sorted, to the chains that may be part of a passage."""
     names = ["id", "other", "xs", "ys"]
-    for group in _pairs(batches):
-        doc, other = group[0], group[1]
-        found = [(x, y) for x, y in chains_of(group[2], group[3]) if x[-1] - x[0] + SEED_WORDS + 2 * WINDOW >= MIN_PIECE]
-        if found:
-            n = len(found)
-            lists = [pa.array([c[i] for c in found], pa.list_(pa.int32())) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([other] * n, pa.int64()), *lists], names=names)
+
+    def batch_of(doc: int, found: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple]:
+        kept = reaching([(int(x[0]), int(x[-1]) + SEED_WORDS) for _, x, _ in found], min_words)
+        return [(doc, *f) for f, k in zip(found, kept, strict=True) if k]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, found, ready = None, [], []
+        for own, other, x, y in _pairs(batches):
+            if own != doc:
+                ready += batch_of(doc, found)
+                doc, found = own, []
+                if len(ready) >= 2000:
+                    yield packed(ready)
+                    ready = []
+            found += [(other, *chain) for chain in chains_of(x, y)]
+        ready += batch_of(doc, found)
+        if ready:
+            yield packed(ready)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        ids, others, xs, ys = zip(*rows, strict=True)
+        lists = [pa.array(v, pa.list_(pa.int32())) for v in (xs, ys)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), *lists], names=names)
+
+    return go
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -280,7 +324,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """One row per passage of a document that an earlier one (by key) has as well: the key, `start` (first word, from 0),
     `n_words`, and of its longest equal piece `other_id`, `other_start`, `other_words`, `columns`, `equal`.
 
-    Stretches are found from SEED_WORDS + WINDOW - 1 equal words in a row on. The first document with a passage has
+    Stretches are found from SEED_WORDS + WINDOW - 1 equal words in a row on; every repeat of `min_words` equal words is
+    covered. The first document with a passage has
     no row for it. Null, empty and short texts give none; nor do rows without a key. Rows of one key are one
     document: repeats inside it don't count. Ties in length go to the smaller other key. Other columns are dropped.
     """
@@ -288,7 +333,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     seeds = rows.mapInArrow(_seeded, "seed long, id long, at int")
     matches = seeds.repartition("seed").sortWithinPartitions("seed", "id", "at").mapInArrow(_matched, "id long, other long, at int, other_at int")
     chains = matches.repartition("id").sortWithinPartitions("id", "other", "at", "other_at")
-    chains = staged(chains.mapInArrow(_chained, "id long, other long, xs array<int>, ys array<int>"), "chains")
+    chains = staged(chains.mapInArrow(_chained(min_words), "id long, other long, xs array<int>, ys array<int>"), "chains")
     first = lambda c: F.greatest(F.element_at(c, 1) - MARGIN, F.lit(0))
     last = lambda c: F.element_at(c, -1) + SEED_WORDS + MARGIN
     placed = chains.select("*", first("xs").alias("lo"), last("xs").alias("hi"), first("ys").alias("other_lo"), last("ys").alias("other_hi"))
