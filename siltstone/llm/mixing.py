@@ -16,9 +16,9 @@ bounded groups of a source, so a source misses its target by little more than it
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,19 +115,29 @@ def solve(histogram: DataFrame, cap: float = CAP) -> DataFrame:
     return state.select("source", "multiplier")
 
 
-def _rounded(rows: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """Copies for one group: longest first, each takes what the carried remainder allows between 0 and the cap."""
-    rows = rows.sort_values(["size", "id"], ascending=[False, True], kind="stable", na_position="last")
-    carry, copies = 0.0, []
-    for size, rate in zip(rows["size"].tolist(), rows["rate"].tolist(), strict=True):
-        if not size:
-            copies.append(0)
-            continue
-        carry += size * rate
-        n = min(cap, max(0, int(carry / size + 0.5)))
-        carry -= n * size
-        copies.append(n)
-    return rows.assign(copies=copies)
+def _rounded(cap: int):
+    """Copies of rows (source, group, id, size, source_size, target, rate), sorted by group and falling size.
+
+    In each group every document takes what the carried remainder allows, between 0 and the cap. Rows stream.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, carry = None, 0.0
+        for batch in batches:
+            copies = []
+            for source, group, size, rate in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 6)), strict=True):
+                if (source, group) != at:
+                    at, carry = (source, group), 0.0
+                n = 0
+                if size:
+                    carry += size * rate
+                    n = min(cap, max(0, int(carry / size + 0.5)))
+                    carry -= n * size
+                copies.append(n)
+            names = ["source", "id", "size", "source_size", "target", "rate", "copies"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(copies, pa.int64())], names=names)
+
+    return run
 
 
 def mix(
@@ -153,13 +163,10 @@ def mix(
     known = known.join(solved, F.col("name").eqNullSafe(F.col("of")), "left").drop("of")
     rate = F.when(F.col("target") >= cap * F.col("source_size"), F.lit(float(cap))).otherwise(_rate(F.col("multiplier"), z, cap))
     rated = sized.join(known, F.col("source").eqNullSafe(F.col("name"))).select(
-        "id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"),
-        F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("docs") / GROUP_ROWS)).alias("group"),
+        "source", F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("docs") / GROUP_ROWS)).alias("group"), "id", "size", "source_size", "target",
+        F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"),
     )
-
-    def rounded(rows: pd.DataFrame) -> pd.DataFrame:
-        return _rounded(rows, cap).drop(columns="group")
-
-    schema = rated.drop("group").schema.add("copies", "long")
-    out = rated.groupBy("source", "group").applyInPandas(rounded, schema)
+    dealt = rated.repartition("source", "group").sortWithinPartitions("source", "group", F.desc("size"), "id")
+    kind = dealt.schema["id"].dataType.simpleString()
+    out = dealt.mapInArrow(_rounded(cap), f"source string, id {kind}, size long, source_size long, target double, rate double, copies long")
     return out.select(F.col("id").alias(key), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
