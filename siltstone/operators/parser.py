@@ -29,7 +29,7 @@ _STATEMENTS = {
 }
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str
     text: str
@@ -38,7 +38,7 @@ class Token:
     line: int
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     kind: str
     start: int
@@ -60,16 +60,20 @@ def tokens(text: str) -> list[Token]:
             token = Token("string", m[0], at, m.end(), line)
         else:
             m = _TOKEN.match(text, at)
+            if m.lastgroup == "space":
+                line += m[0].count("\n")
+                at = m.end()
+                continue
             token = Token(m.lastgroup, m[0], at, m.end(), line)
             if token.kind == "punct" and len(token.text) > 1 and token.text not in ("=>", "..."):
                 cut = next((i for i in range(1, len(token.text)) if token.text[i] == "/"), len(token.text))
                 token = Token("punct", token.text[:cut], at, at + cut, line)
-        line += token.text.count("\n")
+        if token.kind in ("comment", "string"):
+            line += token.text.count("\n")
         at = token.end
-        if token.kind != "space":
-            out.append(token)
-            if token.kind != "comment":
-                previous = token
+        out.append(token)
+        if token.kind != "comment":
+            previous = token
     return out
 
 
@@ -108,18 +112,24 @@ class Parser:
 
     def peek(self, ahead: int = 0) -> Token | None:
         """The next token but for comments."""
-        i = self.at
-        while i < len(self.tokens):
-            if self.tokens[i].kind != "comment":
+        i, known = self.at, self.tokens
+        while i < len(known):
+            token = known[i]
+            if token.kind != "comment":
                 if not ahead:
-                    return self.tokens[i]
+                    return token
                 ahead -= 1
             i += 1
         return None
 
     def is_(self, *texts: str) -> bool:
-        token = self.peek()
-        return token is not None and token.kind != "string" and token.text in texts
+        i, known = self.at, self.tokens
+        while i < len(known):
+            token = known[i]
+            if token.kind != "comment":
+                return token.text in texts and token.kind != "string"
+            i += 1
+        return False
 
     def take(self, into: list[Node]) -> Token:
         """The next token; comments on the way become nodes."""

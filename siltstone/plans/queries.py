@@ -339,6 +339,7 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     method = F.transform("ls", lambda x: F.concat(F.lit("  m"), x["l_linenumber"], F.lit("(a) {\n"), F.repeat(F.lit("    a += 1;\n"), x["l_quantity"].cast("int") % 16), F.lit("    return a;\n  }\n")))
     body = F.concat(F.lit('import { x } from "y";\n\nexport class C {\n'), F.array_join(method, "\n"), F.lit("}\n"))
     files = lines.select(F.concat(F.lit("proj/o"), F.col("l_orderkey"), F.lit(".ts")).alias("relative_path"), body.alias("content"))
+    files = files.repartition(2 * spark.sparkContext.defaultParallelism)  # small rows, and much to do for each
     out = chunks.merge_table(chunks.code_chunks(files).where("error IS NULL").drop("error"), "relative_path")
     return out.select("relative_path", "chunk_type", "hierarchical_name", "start_line", "end_line")
 
