@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.vectors import Provider, embed, hashed_provider
-from ..operators import audit, cards, chunks, gate, graph, jsonstore
+from ..operators import audit, cards, chunks, fallback, gate, graph, jsonstore
 from ..sources import corpus, scip
 from ..sources.config import Settings
 
 STAGES = ("audit", "graph", "cards", "chunks", "json")
+BACKENDS = ("scip", "source")
 
 
 class Refused(Exception):
@@ -79,15 +80,17 @@ def run_json(files: DataFrame, manifest: DataFrame, stores: Stores) -> DataFrame
 
 
 def build(spark: SparkSession, settings: Settings, index_path: str | None = None, override: bool = False) -> Stores:
-    """All stages over a source tree. Without an index the graph has the files as its nodes."""
+    """All stages over a source tree. The graph comes from an index, or with the backend `source` from the texts themselves."""
+    if settings.graph_backend not in BACKENDS:
+        raise ValueError(f"graph_backend is one of {', '.join(BACKENDS)}")
     stores = Stores(settings.store_root)
     files = corpus.scan(spark, settings.source_root, settings.project)
     manifest = run_audit(files, stores, settings, override)
-    if index_path:
+    if settings.graph_backend == "scip" and index_path:
         built = run_graph(spark, index_path, manifest, stores, settings)
     else:
-        occurrences, relations = spark.createDataFrame([], scip.OCCURRENCES), spark.createDataFrame([], scip.RELATIONS)
-        graph.write(graph.build(occurrences, relations, manifest, settings.project), stores.graph)
+        made = fallback.build(corpus.with_content(manifest.select("relative_path"), files))
+        graph.write(graph.Graph(made.nodes, graph.resolved(made)), stores.graph)
         built = graph.read(spark, stores.graph)
     run_cards(files, manifest, built.nodes, stores)
     run_chunks(files, manifest, stores)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, symbols, text
-from ..operators import audit, cards, chunks, gate, graph, jsonstore, search
+from ..operators import audit, cards, chunks, fallback, gate, graph, jsonstore, search
 from ..sources import corpus
 
 QUESTION = 0  # the vector that searches ask for
@@ -333,23 +333,33 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(text.like_search([F.col("source"), F.col("text")], "THIS")).select("doc_id")
 
 
-def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of generated TypeScript, a file per order: its lines become the fields and methods of a class."""
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated TypeScript, a file per order: its lines become the methods of a class."""
     lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("ls"))
-    method = F.transform("ls", lambda x: F.concat(F.lit("  m"), x["l_linenumber"], F.lit("(a) {\n"), F.repeat(F.lit("    a += 1;\n"), x["l_quantity"].cast("int") % 16), F.lit("    return a;\n  }\n")))
+    method = F.transform("ls", lambda x: F.concat(F.lit("  m"), x["l_linenumber"], F.lit("(a) {\n"), F.repeat(F.lit("    a += 1;\n"), x["l_quantity"].cast("int") % 16), F.lit("    return run(a);\n  }\n")))
     body = F.concat(F.lit('import { x } from "y";\n\nexport class C {\n'), F.array_join(method, "\n"), F.lit("}\n"))
     files = lines.select(F.concat(F.lit("proj/o"), F.col("l_orderkey"), F.lit(".ts")).alias("relative_path"), body.alias("content"))
-    files = files.repartition(2 * spark.sparkContext.defaultParallelism)  # small rows, and much to do for each
-    out = chunks.merge_table(chunks.code_chunks(files).where("error IS NULL").drop("error"), "relative_path")
+    return files.repartition(2 * spark.sparkContext.defaultParallelism)  # small rows, and much to do for each
+
+
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.merge_table(chunks.code_chunks(_sources(spark, sf_dir)).where("error IS NULL").drop("error"), "relative_path")
     return out.select("relative_path", "chunk_type", "hierarchical_name", "start_line", "end_line")
 
 
+def source_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of the generated sources, counted by type."""
+    built = fallback.build(_sources(spark, sf_dir))
+    counted = lambda df, what: df.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "type", "n")
+    return counted(built.nodes, "nodes").unionByName(counted(graph.resolved(built), "edges"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         file_kinds, excluded_dirs, coverage_matrix, gate_blocking, gate_decision, indexed_languages, valid_files, audit_score, ranked_manifest, ext_stats, dir_top10,
         audit_totals, primary_language, cards_topk, chunks_topk_filtered, vector_preview, json_store, json_search, graph_nodes, graph_edges, graph_stats,
         graph_neighbours, node_types, file_children, symbol_parse, innermost_container, chunk_merge, text_split, doc_comment_clean, chunk_format, truncated, prompts,
-        parent_names, file_cards, cards_resume, text_search, code_chunks,
+        parent_names, file_cards, cards_resume, text_search, code_chunks, source_graph,
     )
     return {f.__name__: f for f in own}
 
@@ -413,6 +423,9 @@ def oracle_sql() -> dict[str, str]:
               WHERE event_type <> 'signup' AND a.s // 60 BETWEEN sl AND el)
             SELECT event_id, id AS signup_id FROM m WHERE n = 1""",
         "chunk_merge": MERGE_SQL,
+        "source_graph": """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem), k AS (SELECT count(DISTINCT o) AS files, count(*) AS methods FROM l)
+            SELECT 'nodes' AS what, 'File' AS type, files AS n FROM k UNION ALL SELECT 'nodes', 'Class', files FROM k UNION ALL SELECT 'nodes', 'Method', methods FROM k
+            UNION ALL SELECT 'nodes', 'Function', 1 UNION ALL SELECT 'edges', 'DEFINED_IN', (SELECT count(*) FROM lineitem) UNION ALL SELECT 'edges', 'CALLS', (SELECT count(*) FROM lineitem)""",
         "doc_comment_clean": r"""SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)),
             lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> ''), chr(10))) AS digest, '/**' AS summary FROM documents""",
         "chunk_format": _sql(

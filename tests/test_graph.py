@@ -167,3 +167,30 @@ def test_stream(spark, tmp_path):
             (root / "new.md").write_text("More to read about shapes.")
         ingest.stream_cards(ingest.stream_files(spark, str(root), "demo"), nodes, store, marks).awaitTermination()
         assert spark.read.parquet(store).count() == expected
+
+
+def test_fallback(spark):
+    from siltstone.operators import fallback
+
+    a = (
+        "import { P } from './b';\nexport abstract class Shape extends Base implements P, Q<string> {\n  x = 1;\n  constructor() { super(); setUp(1); }\n"
+        "  static async draw(a: number, b = f(2, 3)): Promise<void> {\n    helper(a);\n    this.draw(a);\n  }\n}\nclass Base {}\nexport async function helper(a) {\n  return other(a);\n}\n"
+    )
+    b = "export interface P extends Q {\n  a: number;\n  b?: string;\n  c(): void;\n}\ninterface Q {}\n"
+    files = spark.createDataFrame([("p/a.ts", a), ("p/b.ts", b), ("p/n.md", "x"), ("p/c.json", "{}"), ("p/bad.js", "`")], "relative_path string, content string")
+    g = fallback.build(files)
+    nodes = {r["id"]: r for r in g.nodes.collect()}
+    assert {i for i in nodes if not i.endswith("unresolved.file")} == {
+        "File::a.ts::p/a.ts", "File::b.ts::p/b.ts", "Config::n.md::p/n.md", "File::bad.js::p/bad.js", "Class::Shape::p/a.ts", "Class::Base::p/a.ts", "Method::draw::p/a.ts",
+        "Function::helper::p/a.ts", "Interface::P::p/b.ts", "Interface::Q::p/b.ts",
+    }
+    shape, draw, p = nodes["Class::Shape::p/a.ts"], nodes["Method::draw::p/a.ts"], nodes["Interface::P::p/b.ts"]
+    assert (shape["isAbstract"], shape["isExported"], shape["members"], shape["line"]) == (True, True, 3, 2)
+    assert (draw["isStatic"], draw["isAsync"], draw["parameters"]) == (True, True, 2) and p["properties"] == 2
+    edges = {(r["type"], r["source"].split("::")[1], r["target"].split("::", 1)[1], r["callLine"]) for r in g.edges.collect()}
+    assert edges == {
+        ("INHERITS", "Shape", "Base::p/a.ts", None), ("IMPLEMENTS", "Shape", "P::p/b.ts", None), ("IMPLEMENTS", "Shape", "Q<string>::unresolved.file", None),
+        ("DEFINED_IN", "draw", "Shape::p/a.ts", None), ("CALLS", "Shape", "super::unresolved.file", 4), ("CALLS", "Shape", "setUp::unresolved.file", 4),
+        ("CALLS", "draw", "helper::p/a.ts", 6), ("CALLS", "draw", "draw::p/a.ts", 7), ("CALLS", "helper", "other::unresolved.file", 12), ("INHERITS", "P", "Q::p/b.ts", None),
+    }
+    assert graph.resolved(g).count() == len(edges)
