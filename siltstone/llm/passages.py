@@ -6,7 +6,8 @@ document with the smallest key: a seed with n occurrences gives n - 1 matches, n
 
 The matches of two documents are chained: the best ascending chain under a cost per word of gap comes from one pass in
 text order with a Fenwick tree of prefix maxima. Chains are aligned word by word, also across their gaps and
-beyond their ends. Pieces that touch in a document are one passage.
+beyond their ends; where a gap leaves too few equal words they are cut, and each piece is judged alone. Pieces that
+touch in a document are one passage.
 """
 
 from __future__ import annotations
@@ -234,11 +235,18 @@ def _extension(equal: np.ndarray) -> tuple[int, int]:
     return top + 1, int(equal[: top + 1].sum())
 
 
-def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = SEED_WORDS) -> tuple[int, int, int, int, int, int]:
-    """Align two word arrays along a chain: bounds in each (first, end), columns, and columns that are equal."""
-    x, y = int(xs[0]), int(ys[0])
+Piece = tuple[int, int, int, int, int, int]
+
+
+def _good(piece: Piece) -> bool:
+    return piece[5] >= MIN_IDENTITY * piece[4]
+
+
+def _steps(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> np.ndarray:
+    """Per match of a chain that isn't inside the ones before it: first words, ends, and the columns and equal columns up to its end."""
     columns = equal = 0
-    ex, ey = x, y
+    ex, ey = int(xs[0]), int(ys[0])
+    out = []
     for ax, ay in zip(xs.tolist(), ys.tolist(), strict=True):
         if ax - ay != ex - ey:  # on another diagonal: an edit script bridges what lies between
             lap = max(ex - ax, ey - ay, 0)
@@ -254,12 +262,71 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int =
             columns += len(same)
             equal += int(same.sum())
             ex, ey = ax + k, ay + k
-    n = min(x, y)
-    more, right = _extension(a[x - n : x][::-1] == b[y - n : y][::-1])
-    x, y, columns, equal = x - more, y - more, columns + more, equal + right
-    n = min(len(a) - ex, len(b) - ey)
-    more, right = _extension(a[ex : ex + n] == b[ey : ey + n])
-    return x, ex + more, y, ey + more, columns + more, equal + right
+        out.append((ax, ay, ex, ey, columns, equal))
+    return np.array(out)
+
+
+def _cut(columns: np.ndarray, equal: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Split a chain into runs of matches (first, last) that are equal enough, the longest first, given the columns and equal columns
+    up to the end of each match."""
+    percent = round(100 * MIN_IDENTITY)
+    score = 100 * equal - percent * columns
+    out, todo = [], [(0, len(score))]
+    while todo:
+        lo, hi = todo.pop()
+        if lo == hi:
+            continue
+        part = score[lo:hi]
+        top = np.maximum.accumulate(part[::-1])[::-1]
+        # the last match up to which the columns from a match on, its own included, are equal enough
+        far = np.searchsorted(-top, (100 - percent) * k - part, side="right") - 1
+        at = np.arange(hi - lo)
+        if (far == at).all():
+            out += [(i, i) for i in range(lo, hi)]
+            continue
+        first = int(np.argmax(columns[lo + far] - columns[lo:hi]))
+        out.append((lo + first, lo + int(far[first])))
+        todo += [(lo, lo + first), (lo + int(far[first]) + 1, hi)]
+    return sorted(out)
+
+
+def _stretched(a: np.ndarray, b: np.ndarray, piece: Piece, low: tuple[int, int], high: tuple[int, int]) -> Piece:
+    """A piece with what it gains beyond its ends, within bounds."""
+    x, ex, y, ey, columns, equal = piece
+    n = min(x - low[0], y - low[1], MARGIN)
+    if n > 0:
+        more, right = _extension(a[x - n : x][::-1] == b[y - n : y][::-1])
+        x, y, columns, equal = x - more, y - more, columns + more, equal + right
+    n = min(high[0] - ex, high[1] - ey, MARGIN)
+    if n > 0:
+        more, right = _extension(a[ex : ex + n] == b[ey : ey + n])
+        ex, ey, columns, equal = ex + more, ey + more, columns + more, equal + right
+    return x, ex, y, ey, columns, equal
+
+
+def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = SEED_WORDS) -> list[Piece]:
+    """Align two word arrays along a chain: bounds in each (first, end), columns, and columns that are equal, of every piece.
+
+    A chain that is equal enough is one piece. Others are cut at the gaps that they bridge into pieces that are, each with what
+    it gains at its ends as far as it stays equal enough.
+    """
+    steps = _steps(a, b, xs, ys, k)
+    x, y = int(xs[0]), int(ys[0])
+    whole = _stretched(a, b, (x, int(steps[-1, 2]), y, int(steps[-1, 3]), int(steps[-1, 4]), int(steps[-1, 5])), (0, 0), (len(a), len(b)))
+    if _good(whole):
+        return [whole]
+    out, runs = [], _cut(steps[:, 4], steps[:, 5], k)
+    for n, (i, j) in enumerate(runs):
+        x, y = steps[i, :2].tolist()
+        ex, ey = steps[j, 2:4].tolist()
+        columns, equal = (k + steps[j, 4:] - steps[i, 4:]).tolist()
+        core = (x, ex, y, ey, columns, equal)
+        low = tuple(steps[runs[n - 1][1], 2:4].tolist()) if n else (0, 0)
+        high = tuple(steps[runs[n + 1][0], :2].tolist()) if n + 1 < len(runs) else (len(a), len(b))
+        ways = (low, high), (low, (ex, ey)), ((x, y), high)
+        good = [p for p in (_stretched(a, b, core, *way) for way in ways) if _good(p)]
+        out.append(max(good, key=lambda p: p[4], default=core))
+    return out
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,9 +350,9 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             xs, ys = np.array(xs) - lo, np.array(ys) - olo
             if xs[-1] + SEED_WORDS > len(a) or ys[-1] + SEED_WORDS > len(b):  # another text under the same key
                 continue
-            x, ex, y, ey, columns, equal = align(a, b, xs, ys)
-            if columns >= MIN_PIECE and equal >= MIN_IDENTITY * columns:
-                rows.append((doc, x + lo, ex + lo, other, y + olo, ey + olo, columns, equal))
+            for x, ex, y, ey, columns, equal in align(a, b, xs, ys):
+                if columns >= MIN_PIECE:
+                    rows.append((doc, x + lo, ex + lo, other, y + olo, ey + olo, columns, equal))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 

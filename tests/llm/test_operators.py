@@ -427,6 +427,33 @@ def test_fuzzy_passage(spark):
     assert [(r["doc_id"], r["start"], r["n_words"], r["other_id"], r["other_start"], r["other_words"], r["columns"], r["equal"]) for r in got] == [(9, 40, 88, 5, 40, 90, 90, 87)]
 
 
+def test_passages_apart(spark):
+    """Two passages that a document shares with one other, far enough apart that the words between outweigh them."""
+    rng, rows, want = random.Random(9), [], set()
+    own = lambda n: [f"u{rng.getrandbits(60)}" for _ in range(n)]
+    for i, (gap, other_gap) in enumerate([(100, 100), (30, 30), (200, 200), (100, 60), (40, 90), (250, 250)]):
+        one, two = own(50), own(50)
+        rows += [(2 * i, " ".join(own(20) + one + own(other_gap) + two + own(20))), (2 * i + 1, " ".join(own(30) + one + own(gap) + two + own(9)))]
+        want |= {(2 * i + 1, 30, 50, 2 * i, 20, 50), (2 * i + 1, 80 + gap, 50, 2 * i, 70 + other_gap, 50)}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start"], r["n_words"], r["other_id"], r["other_start"], r["equal"]) for r in got} == want
+
+
+def test_cut_keeps_what_was_whole():
+    """Where the whole chain is equal enough it stays one piece; where it isn't, every piece is, and a tail can't take the rest along."""
+    a, b = np.arange(200, dtype=np.uint32), np.arange(200, dtype=np.uint32)
+    b[20:25] += 1000  # 20 equal words, 5 others, 20 equal words
+    b[45:] += 2000
+    at = lambda *v: np.array(v)
+    assert passages.align(a, b, at(0, 12, 25, 37), at(0, 12, 25, 37)) == [(0, 45, 0, 45, 45, 40)]
+    b[100:120] -= 2000
+    pieces = passages.align(a, b, at(0, 12, 25, 37, 100, 112), at(0, 12, 25, 37, 100, 112))
+    assert pieces == [(0, 45, 0, 45, 45, 40), (100, 120, 100, 120, 20, 20)]
+    b[45:] = np.where(np.arange(155) % 3 == 0, b[45:] + 7, np.arange(45, 200))
+    tail = passages.align(a, b, at(25, 37), at(25, 37))
+    assert len(tail) == 1 and tail[0][0] == 25 and tail[0][1] >= 45 and tail[0][5] >= passages.MIN_IDENTITY * tail[0][4]
+
+
 def test_passages_odd(odd, empty):
     got = passages.repeated_passages(odd).collect()
     assert [(r["doc_id"], r["other_id"], r["start"], r["n_words"]) for r in got] == [(7, 6, 0, 60_000)]
