@@ -29,6 +29,8 @@ MARGIN = 48
 MIN_PIECE, MIN_WORDS, MIN_IDENTITY = 15, 40, 0.8
 #: An extension ends where its score (1 for an equal word, -2 for another) falls so far below its best.
 DROP = 6
+#: Words on each side of a seed that travel with it, to see whether an extension ends there; equal words without a seed are fewer.
+CONTEXT = 16
 CACHE = 200_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -72,32 +74,75 @@ def seeds_of(words: np.ndarray, k: int = SEED_WORDS, window: int = WINDOW) -> tu
     return h[at].view(np.int64), at.astype(np.int32)
 
 
+def contexts_of(words: np.ndarray, at: np.ndarray, k: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The CONTEXT words before and after the seeds at some places, four bits of each: 0 where the text has none, else 1 to 15.
+
+    Equal words have equal bits, so what differs here differs; in a long the nearest word before a seed has the highest bits,
+    the nearest one after it the lowest.
+    """
+    codes = np.zeros(len(words) + 2 * CONTEXT + 1, np.uint8)
+    codes[CONTEXT : CONTEXT + len(words)] = words % np.uint64(15) + np.uint64(1)
+    pairs = codes[:-1] | codes[1:] << 4
+    steps = np.arange(0, CONTEXT, 2)
+    begin = at.astype(np.int64)[:, None] + steps  # codes start CONTEXT before the words
+    return tuple(np.ascontiguousarray(pairs[i]).view("<i8")[:, 0] for i in (begin, begin + CONTEXT + k))
+
+
+def open_ends(before: np.ndarray, other_before: np.ndarray, after: np.ndarray, other_after: np.ndarray) -> np.ndarray:
+    """Whether an extension of matches may go beyond their contexts: bit 1 to the left, bit 2 to the right.
+
+    The rule of `_extension` over the contexts; their words are at least as often equal as the real ones, so one that ends there
+    ends in the texts as well, after CONTEXT - 1 words at most.
+    """
+    out = np.zeros(len(before), np.int8)
+    for bit, mine, theirs, order in ((1, before, other_before, range(CONTEXT - 1, -1, -1)), (2, after, other_after, range(CONTEXT))):
+        mine, differ = mine.view(np.uint64), (mine ^ theirs).view(np.uint64)
+        score, best, alive = np.zeros(len(mine), np.int8), np.zeros(len(mine), np.int8), np.ones(len(mine), bool)
+        for i in order:
+            mask = np.uint64(15 << (4 * i))
+            score += np.where(((differ & mask) == 0) & ((mine & mask) != 0), 1, -2).astype(np.int8)
+            np.maximum(best, score, out=best)
+            alive &= best - score <= DROP
+        out |= np.where(alive, bit, 0).astype(np.int8)
+    return out
+
+
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         for i in range(0, len(texts), 1000):
-            found = [seeds_of(words.of(t)) for t in texts[i : i + 1000]]
-            owner = np.repeat(ids[i : i + 1000], [len(h) for h, _ in found])
-            yield pa.RecordBatch.from_pydict({"seed": np.concatenate([h for h, _ in found]), "id": owner, "at": np.concatenate([a for _, a in found])})
+            found = []
+            for t in texts[i : i + 1000]:
+                hashed = words.of(t)
+                seeds, at = seeds_of(hashed)
+                found.append((seeds, at, *contexts_of(hashed, at)))
+            owner = np.repeat(ids[i : i + 1000], [len(f[0]) for f in found])
+            seed, at, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_pydict({"seed": seed, "id": owner, "at": at, "before": before, "after": after})
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (seed, id, at), sorted: each occurrence in another document with the first one. Streams; holds one batch."""
+    """Rows (seed, id, at, before, after), sorted: each occurrence in another document with the first one, and where a stretch
+    around it may be long (`ends`). Streams; holds one batch.
+    """
     last = None
     for batch in batches:
-        seed, doc, at = (batch.column(i).to_numpy() for i in range(3))
+        seed, doc, at, before, after = (batch.column(i).to_numpy() for i in range(5))
         if not len(seed):
             continue
         starts = np.append(True, seed[1:] != seed[:-1])
         head = np.maximum.accumulate(np.where(starts, np.arange(len(seed)), 0))
-        other, other_at = doc[head], at[head]
+        firsts = [c[head] for c in (doc, at, before, after)]
         if last is not None and seed[0] == last[0]:
             n = len(seed) if seed[-1] == last[0] else int(np.argmax(seed != last[0]))
-            other[:n], other_at[:n] = last[1], last[2]
-        last = (seed[-1], other[-1], other_at[-1])
-        far = doc != other
-        yield pa.RecordBatch.from_pydict({"id": doc[far], "other": other[far], "at": at[far], "other_at": other_at[far]})
+            for c, value in zip(firsts, last[1:], strict=True):
+                c[:n] = value
+        last = (seed[-1], *(c[-1] for c in firsts))
+        far = doc != firsts[0]
+        other, other_at, other_before, other_after = (c[far] for c in firsts)
+        ends = open_ends(before[far], other_before, after[far], other_after)
+        yield pa.RecordBatch.from_pydict({"id": doc[far], "other": other, "at": at[far], "other_at": other_at, "ends": ends})
 
 
 def chains_of(x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS, cost: float = GAP_COST) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -141,45 +186,54 @@ def chains_of(x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS, cost: float = G
     return out
 
 
-def reaching(spans: list[tuple[int, int]], min_words: int) -> list[bool]:
-    """Which spans (first word, end) of a document lie in a stretch of so many words that spans may cover together.
+def reaching(spans: list[tuple[int, int, int]], min_words: int) -> list[bool]:
+    """Which spans (first word, end, open ends) of a document lie in a stretch of so many words that spans may cover together.
 
-    Equal words without a seed reach SEED_WORDS + WINDOW - 1 words at most beyond a span, so a repeat of `min_words`
-    equal words is never left out; lone seeds of shorter repeats are.
+    An alignment takes in MARGIN words at most beyond an open end, CONTEXT - 1 beyond another, so no part of a passage is left out,
+    equal words or not; lone seeds of shorter repeats are.
     """
-    reach = SEED_WORDS + WINDOW - 1
-    order = sorted(range(len(spans)), key=lambda i: spans[i])
-    out, run, low, high = [False] * len(spans), [], 0, -1
+    reach = [CONTEXT - 1, MARGIN]
+    wide = [(max(lo - reach[ends & 1], 0), hi + reach[ends >> 1]) for lo, hi, ends in spans]
+    order = sorted(range(len(wide)), key=lambda i: wide[i])
+    out, run, low, high = [False] * len(wide), [], 0, -1
     for i in [*order, None]:
-        if i is None or spans[i][0] - reach > high + 2:
+        if i is None or wide[i][0] > high + 2:
             for j in run:
-                out[j] = high - max(low, 0) >= min_words
+                out[j] = high - low >= min_words
             if i is None:
                 break
-            run, low, high = [], spans[i][0] - reach, -1
+            run, low, high = [], wide[i][0], -1
         run.append(i)
-        high = max(high, spans[i][1] + reach)
+        high = max(high, wide[i][1])
     return out
 
 
 def _chained(min_words: int):
-    """Rows (id, other, at, other_at), sorted, to the chains that may be part of a passage."""
+    """Rows (id, other, at, other_at, ends), sorted, to the chains that may be part of a passage."""
     names = ["id", "other", "xs", "ys"]
 
-    def batch_of(doc: int, found: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple]:
-        kept = reaching([(int(x[0]), int(x[-1]) + SEED_WORDS) for _, x, _ in found], min_words)
-        return [(doc, *f) for f, k in zip(found, kept, strict=True) if k]
+    def batch_of(doc: int, found: list[tuple[int, np.ndarray, np.ndarray, int]]) -> list[tuple]:
+        kept = reaching([(int(x[0]), int(x[-1]) + SEED_WORDS, ends) for _, x, _, ends in found], min_words)
+        return [(doc, *f[:3]) for f, k in zip(found, kept, strict=True) if k]
+
+    def ended(x: np.ndarray, y: np.ndarray, ends: dict[tuple[int, int], int]) -> int:
+        """Open ends of a chain: its first match's to the left, any match's to the right, as the last one may lie inside others."""
+        every = [ends[m] for m in zip(x.tolist(), y.tolist(), strict=True)]
+        return every[0] & 1 | (2 if any(e & 2 for e in every) else 0)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, found, ready = None, [], []
-        for own, other, x, y in _pairs(batches):
+        for own, other, x, y, opened in _pairs(batches):
             if own != doc:
                 ready += batch_of(doc, found)
                 doc, found = own, []
                 if len(ready) >= 2000:
                     yield packed(ready)
                     ready = []
-            found += [(other, *chain) for chain in chains_of(x, y)]
+            ends: dict[tuple[int, int], int] = {}
+            for m, e in zip(zip(x.tolist(), y.tolist(), strict=True), opened.tolist(), strict=True):
+                ends[m] = ends.get(m, 0) | e  # a match stands twice if rows of one key repeat
+            found += [(other, *chain, ended(*chain, ends)) for chain in chains_of(x, y)]
         ready += batch_of(doc, found)
         if ready:
             yield packed(ready)
@@ -193,22 +247,22 @@ def _chained(min_words: int):
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """One (id, other, at, other_at) per run of equal (id, other), the last two as arrays; a run may go over batches."""
-    key, xs, ys = None, [], []
+    """One (id, other, at, other_at, ends) per run of equal (id, other), the last three as arrays; a run may go over batches."""
+    key, parts = None, []
+    joined = lambda: (np.concatenate(c) for c in zip(*parts, strict=True))
     for batch in batches:
-        a, b, x, y = (batch.column(i).to_numpy() for i in range(4))
+        a, b, x, y, ends = (batch.column(i).to_numpy() for i in range(5))
         if not len(a):
             continue
         cuts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))).tolist()
         for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):
             if (a[lo], b[lo]) != key and key is not None:
-                yield *key, np.concatenate(xs), np.concatenate(ys)
-                xs, ys = [], []
+                yield *key, *joined()
+                parts = []
             key = (a[lo], b[lo])
-            xs.append(x[lo:hi].astype(np.int64))
-            ys.append(y[lo:hi].astype(np.int64))
+            parts.append((x[lo:hi].astype(np.int64), y[lo:hi].astype(np.int64), ends[lo:hi]))
     if key is not None:
-        yield *key, np.concatenate(xs), np.concatenate(ys)
+        yield *key, *joined()
 
 
 def _edits(a: np.ndarray, b: np.ndarray) -> int:
@@ -392,13 +446,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     `n_words`, and of its longest equal piece `other_id`, `other_start`, `other_words`, `columns`, `equal`.
 
     Stretches are found from SEED_WORDS + WINDOW - 1 equal words in a row on; every repeat of `min_words` equal words is
-    covered. The first document with a passage has
+    covered, and so is any other stretch that an alignment from one common seed on takes in. The first document with a passage has
     no row for it. Null, empty and short texts give none; nor do rows without a key. Rows of one key are one
     document: repeats inside it don't count. Ties in length go to the smaller other key. Other columns are dropped.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    seeds = rows.mapInArrow(_seeded, "seed long, id long, at int")
-    matches = seeds.repartition("seed").sortWithinPartitions("seed", "id", "at").mapInArrow(_matched, "id long, other long, at int, other_at int")
+    seeds = rows.mapInArrow(_seeded, "seed long, id long, at int, before long, after long")
+    matches = seeds.repartition("seed").sortWithinPartitions("seed", "id", "at").mapInArrow(_matched, "id long, other long, at int, other_at int, ends byte")
     chains = matches.repartition("id").sortWithinPartitions("id", "other", "at", "other_at")
     chains = staged(chains.mapInArrow(_chained(min_words), "id long, other long, xs array<int>, ys array<int>"), "chains")
     first = lambda c: F.greatest(F.element_at(c, 1) - MARGIN, F.lit(0))

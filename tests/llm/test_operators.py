@@ -454,6 +454,42 @@ def test_cut_keeps_what_was_whole():
     assert len(tail) == 1 and tail[0][0] == 25 and tail[0][1] >= 45 and tail[0][5] >= passages.MIN_IDENTITY * tail[0][4]
 
 
+def test_passages_with_one_seed(spark):
+    """Passages of 60 words with every 10th changed: found wherever one seed is left, alone or not, at any place in the text."""
+    rng, rows, want, lone = random.Random(10), [], {}, 0
+    own = lambda n: [f"u{rng.getrandbits(60)}" for _ in range(n)]
+    for i in range(60):
+        shared, lead = own(60), rng.choice((0, 30))
+        changed = [w if j % 10 != 9 else own(1)[0] for j, w in enumerate(shared)]
+        texts = " ".join(own(20) + shared + own(20)), " ".join(own(lead) + changed + own(rng.choice((0, 30))))
+        rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
+        there, here = (dict(zip(*(v.tolist() for v in passages.seeds_of(passages.Words().of(t))), strict=True)) for t in texts)
+        if at := [p for h, p in here.items() if h in there]:
+            lone += len(at) == 1
+            want[2 * i + 1] = lead, min(at), max(at)
+    assert lone >= 5
+    got = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(want)
+    for doc, (lead, first, last) in want.items():
+        end = got[doc]["start"] + got[doc]["n_words"]
+        assert got[doc]["start"] <= max(lead, first - passages.MARGIN) + 2 and end >= min(lead + 58, last + 8 + passages.MARGIN) - 2
+
+
+def test_contexts():
+    """Ends that the contexts close are those that an extension over the words themselves doesn't pass."""
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    b = np.where(rng.random(400) < 0.4, rng.integers(0, 2**63, 400, dtype=np.uint64), a)
+    at = np.arange(len(a) - 7)
+    (before, after), (other_before, other_after) = passages.contexts_of(a, at), passages.contexts_of(b, at)
+    ends = passages.open_ends(before, other_before, after, other_after)
+    same = a == b
+    for p, e in zip(at.tolist(), ends.tolist(), strict=True):
+        left, right = passages._extension(same[:p][::-1][:48])[0], passages._extension(same[p + 8 :][:48])[0]
+        assert (e & 1 or left < passages.CONTEXT) and (e & 2 or right < passages.CONTEXT)
+    assert {0, 1, 2, 3} == set(ends.tolist())
+
+
 def test_passages_odd(odd, empty):
     got = passages.repeated_passages(odd).collect()
     assert [(r["doc_id"], r["other_id"], r["start"], r["n_words"]) for r in got] == [(7, 6, 0, 60_000)]
