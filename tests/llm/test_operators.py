@@ -584,5 +584,16 @@ def test_pipeline(spark, sf_dir, docs):
     assert Counter(tuple(r) for r in ran) == Counter(tuple(r) for r in packed)
 
 
+def test_pipeline_keeps_long_texts(spark):
+    """A clean text of over 200,000 words passes the first stage; a text of one word over and over doesn't."""
+    import corpus_pipeline as p
+
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    long = " ".join(letters(i) for i in range(210_000))
+    rows = [(1, long, "en", "a", len(long)), (2, "word " * 60, "en", "a", 300)]
+    kept = p.quality_rules(spark, spark.createDataFrame(rows, DOCS), "")
+    assert [(r["doc_id"], r["text"] == long) for r in kept.collect()] == [(1, True)]
+
+
 def test_shared_folder(spark):
     assert common.shared_dir(spark).startswith(("file:", "/")) and spark.sparkContext.getCheckpointDir() is not None
