@@ -59,21 +59,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-#: Documents without the lines that at least eight sites share; `{docs}` names the table.
+#: Documents without the lines that at least eight sites have as a minor part of a page; `{docs}` names the table.
 LINES_CTE = rf"""
 line_rows AS (
-  SELECT doc_id, source, i, l, trim(l, {_BLANKS}) AS t FROM (
-    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {{docs}})),
+  SELECT doc_id, source, page, i, l, trim(l, {_BLANKS}) AS t FROM (
+    SELECT doc_id, coalesce(source, chr(0)) AS source, length(text) AS page, unnest(string_split(text, chr(10))) AS l,
+      generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {{docs}})),
+line_wide AS (SELECT t FROM line_rows WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 8),
+line_pages AS (SELECT doc_id FROM line_rows JOIN line_wide USING (t) GROUP BY doc_id HAVING 100 * sum(length(l)) <= 50 * any_value(page)),
 line_bad AS (
-  SELECT t FROM line_rows WHERE t <> '' GROUP BY t HAVING count(DISTINCT coalesce(source, chr(0))) >= 8),
+  SELECT t FROM line_rows JOIN line_wide USING (t) JOIN line_pages USING (doc_id) GROUP BY t HAVING count(DISTINCT source) >= 8),
 line_docs AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad,
-    sum(len(regexp_extract_all(l, '{WORD}'))) AS n_words, sum(len(regexp_extract_all(l, '{WORD}'))) FILTER (bad) AS n_lost,
-    coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT bad), '') AS rest
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT bad), '') AS rest
   FROM (SELECT r.*, b.t IS NOT NULL AS bad FROM line_rows r LEFT JOIN line_bad b USING (t)) GROUP BY doc_id),
 lined AS (
-  SELECT d.* EXCLUDE (text), coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN 100 * n_lost > 50 * n_words THEN 0 ELSE coalesce(n_bad, 0) END)::BIGINT AS n_removed,
-    CASE WHEN n_bad > 0 AND 100 * n_lost <= 50 * n_words THEN rest ELSE d.text END AS text
+  SELECT d.* EXCLUDE (text), coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_bad, 0)::BIGINT AS n_removed, CASE WHEN n_bad > 0 THEN rest ELSE d.text END AS text
   FROM {{docs}} d LEFT JOIN line_docs USING (doc_id))"""
 
 SQL_LINES = f"""WITH {LINES_CTE.format(docs="documents")}
@@ -126,7 +126,7 @@ rule_base AS (
   FROM rule_words d LEFT JOIN rule_repeats USING (doc_id) LEFT JOIN rule_lines USING (doc_id)),
 rule_failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM rule_base),
 ruled AS (
-  SELECT *, NOT (base_failed OR n_words > 200000 OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+  SELECT *, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words
     OR 10 * n_symbols > 4 * n_words OR (n_dup_lines >= 4 AND 2 * n_dup_lines > n_text_lines) OR 100 * n_repeat_words > 30 * n_words
     OR 10 * other > 4 * word_chars OR 10 * capitals > 4 * word_chars OR 2 * n_kinds < least(n_words, 10)) AS kept
   FROM rule_failed)"""

@@ -506,15 +506,38 @@ def test_lines_odd(odd, empty):
     assert lines.remove_boilerplate(empty).count() == 0
 
 
-def test_lines_near_the_threshold(spark):
+@pytest.mark.parametrize("in_place", [lines.IN_PLACE, 1])
+def test_lines_near_the_threshold(spark, monkeypatch, in_place):
+    monkeypatch.setattr(lines, "IN_PLACE", in_place)
     sites = lambda n: [f"s{i}" for i in range(n)]
     body = lambda i, j: "\n".join(f"own words of page {i} {j} {k} go on and on" for k in range(4))
     rows = [(i * 100 + j, f"  seen by {n} \n{body(i, j)}", s) for i, n in enumerate((2, 3, 4, 60)) for j, s in enumerate(sites(n))]
-    rows.append((999, "seen by 60\nshort", "s0"))  # most of it is boilerplate: a copy that stays whole
+    rows += [(999, "seen by 60\nshort", "s0"), (998, "seen by 60", None)]  # pages of little else, or nothing else
+    copy = "a text of one line that stands on every site\nand another one"
+    rows += [(2000 + i, copy + (f" {i}" if i % 2 else ""), s) for i, s in enumerate(sites(9))]  # copies, equal or nearly so: no page has their line besides
     got = lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=4)
     cut = {r["doc_id"]: (r["n_removed"], r["text"]) for r in got.collect()}
     assert all(cut[i * 100 + j] == ((1, body(i, j)) if n >= 4 else (0, f"  seen by {n} \n{body(i, j)}")) for i, n in enumerate((2, 3, 4, 60)) for j in range(n))
-    assert cut[999] == (0, "seen by 60\nshort")
+    assert cut[999] == (1, "short") and cut[998] == (1, "")
+    assert all(cut[2000 + i][0] == 0 for i in range(9))
+
+
+def test_lines_clash(spark):
+    """Columns that are called like the operator's own pass through; those called like an output are replaced."""
+    names = "hashes string, row long, id long, page long, key string, kept string, hash long, c0 string, n_removed string"
+    rows = [(i, f"shared line\nown words of page {i} that are many more than those", f"s{i}", "h", 1, 2, 3, "k", "x", 4, "c", "old") for i in range(9)]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, source string, {names}")
+    got = lines.remove_boilerplate(frame).collect()
+    assert all(r["n_removed"] == 1 and (r["hashes"], r["row"], r["id"], r["page"], r["key"], r["kept"], r["hash"], r["c0"]) == ("h", 1, 2, 3, "k", "x", 4, "c") for r in got)
+
+
+def test_rules_by_rejection_per_cost(spark, monkeypatch):
+    """The greedy order on what earlier rules leave."""
+    rule = lambda name: rules.Rule(name, F.lit(False))
+    given = [rule("dear"), rule("inside"), rule("cheap"), rule("rare")]
+    flags = [(True, False, False, False)] * 6 + [(True, True, True, False)] * 4 + [(False, False, False, True)] * 2 + [(False,) * 4] * 9
+    monkeypatch.setattr(rules, "measured", lambda *_: ([0.1, 0.01, 0.01, 0.01], flags))
+    assert [r.name for r in rules.ordered_rules(None, given)] == ["inside", "rare", "dear", "cheap"]  # once "inside" has gone first, "cheap" rejects nothing more
 
 
 def test_rules_odd(odd, empty, docs):
