@@ -14,12 +14,17 @@ from siltstone.llm.common import read_table, staged
 
 #: Percent of Jaccard similarity at which the pipeline counts documents as near-duplicates.
 NEAR_PERCENT = 80
+#: Shorter texts are rejected by the rules.
+MIN_WORDS = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. Length alone rejects none: packing splits long ones."""
-    applied = [r for r in rules.default_rules() if r.name != "too_long"]
-    return rules.apply_rules(docs, applied).where("kept").select(*docs.columns)
+    """Documents that the rules keep. Their length matters little: short clean texts stay, and packing splits long ones.
+
+    Null, empty and blank texts go, and so do others under MIN_WORDS words. Repeated rows and rows of one doc_id with
+    different texts are judged by their own text each.
+    """
+    return rules.apply_rules(docs, min_words=MIN_WORDS).where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
