@@ -42,6 +42,11 @@ def fold_of(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
 
 
+def fold_is(key: Column, n: int, rest: int) -> Column:
+    """Whether a key is in the fold that is held out. Rows without a key aren't; they aren't learned from either."""
+    return F.coalesce(fold_of(key, n) == rest, F.lit(False))
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate `value` once and hand it to `body` as a lambda variable, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

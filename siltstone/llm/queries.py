@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, lines, minhash, mixing, packing, passages, quality, rules, topk, toxicity
-from .common import fold_of, read_table
+from .common import fold_is, fold_of, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", fold_of(F.col("doc_id"), 4) == 2)
-    model = langid.train(docs.where(~F.col("held_out")))
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", fold_is(F.col("doc_id"), 4, 2))
+    model = langid.train(docs.where(fold_of(F.col("doc_id"), 4) != 2))
     return langid.identify(docs, model, keep=("doc_id", "held_out"))
 
 
@@ -33,17 +33,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = fold_of(F.col("doc_id"), 4) == 2
+    held_out = fold_is(F.col("doc_id"), 4, 2)
     docs = read_table(spark, sf_dir, "documents")
-    model = toxicity.train(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 4) != 2))
     out = toxicity.score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = fold_of(F.col("doc_id"), 5) == 0
+    held_out = fold_is(F.col("doc_id"), 5, 0)
     docs = read_table(spark, sf_dir, "documents")
-    model = quality.train(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    model = quality.train(docs, read_table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 5) != 0))
     out = quality.score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

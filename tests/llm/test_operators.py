@@ -62,16 +62,70 @@ def test_language_of_held_out_texts(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
-def test_profiles_are_bundles(spark, docs):
-    """Products looked up per n-gram equal those of the bundled vectors themselves."""
-    model = langid.train(docs, dim=512)
-    letters = langid.letter_vectors(512, model.seed)
-    for text in [r["text"] for r in docs.limit(5).collect()]:
-        codes, n = langid.gram_counts(text)
-        bundle = n @ langid.gram_vectors(codes, letters).astype(float)
-        cosines = langid.Scorer(model).cosines(text) * math.sqrt(512 * float(n @ n))
-        assert np.allclose(model.prototypes @ bundle, cosines, rtol=1e-3, atol=0.5)
-        assert abs(np.linalg.norm(bundle) / math.sqrt(512 * float(n @ n)) - 1) < 0.5
+SCRIPTS = {
+    "en": "The quick brown fox, and the slow one: they meet by the river.", "ru": "Быстрая лиса встретила медленную у реки, и они говорили.",
+    "ar": "التقى الثعلب السريع بالثعلب البطيء عند النهر وتحدثا", "zh": "敏捷的狐狸在河边遇见了缓慢的狐狸,它们交谈了很久。", "el": "Η γρήγορη αλεπού συνάντησε την αργή στο ποτάμι.",
+}
+
+
+def plain_profile(text, dim, seed):
+    """Letter by letter and n-gram by n-gram, without counts."""
+    letters, out = [], np.zeros(dim)
+    for c in "".join(c if c.isalpha() else " " for c in f" {text.lower()} "):
+        point = 0 if c == " " else ord(c)
+        if point or not letters or letters[-1]:
+            letters.append(point)
+    vector = {p: langid.letter_vectors(np.array([p]), dim, seed)[0].astype(float) for p in set(letters)}
+    for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+        out += np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c]
+    return out
+
+
+def test_language_by_plain_profiles(spark, docs):
+    """Prototypes, cosines and answers of the operator against bundles made one n-gram at a time, in five scripts."""
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(SCRIPTS.items())] + [(100 + r["doc_id"], r["text"], r["lang"]) for r in docs.limit(8).collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(frame, dim=512)
+    want = {}
+    for _, text, lang in rows:
+        want[lang] = want.get(lang, 0) + plain_profile(text, 512, model.seed)
+    assert model.languages == sorted(want)
+    for lang, row in zip(model.languages, model.prototypes, strict=True):
+        assert np.allclose(row, want[lang] / np.linalg.norm(want[lang]), atol=1e-9)
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(frame, model).collect()}
+    for key, text, _ in rows:
+        by = {lang: cosine(plain_profile(text, 512, model.seed), v) for lang, v in want.items()}
+        best = max(sorted(by), key=lambda lang: by[lang])
+        assert got[key][0] == best and got[key][1] == pytest.approx(by[best], abs=1e-3)
+    assert all(got[i][0] == lang for i, lang in enumerate(SCRIPTS))
+
+
+def test_letters_of_all_scripts_differ():
+    points = np.array(sorted({ord(c) for c in "aйعßλ狐河慢中文字"} | set(range(0x4E00, 0x4E00 + 400))))
+    vectors = langid.letter_vectors(points, 2048, 1).astype(float)
+    products = vectors @ vectors.T / 2048
+    assert set(np.unique(vectors)) == {-1, 1} and np.abs(products - np.eye(len(points))).max() < 0.15
+    assert abs(vectors.mean()) < 0.01
+
+
+def test_language_training_hands_on(docs, monkeypatch):
+    whole = langid.train(docs, dim=256)
+    monkeypatch.setattr(langid, "PENDING", 300)
+    parts = langid.train(docs, dim=256)
+    assert whole.languages == parts.languages and np.allclose(whole.prototypes, parts.prototypes)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.train(docs, dim=256)
+
+
+def test_language_cache(docs, monkeypatch):
+    model, texts = langid.train(docs, dim=256), [r["text"] for r in docs.limit(20).collect()]
+    want = [langid.Scorer(model).cosines(t) for t in texts]
+    monkeypatch.setattr(langid, "CACHE", 300)
+    monkeypatch.setattr(langid, "PART", 128)
+    scorer = langid.Scorer(model)
+    assert all(np.allclose(w, scorer.cosines(t), atol=1e-6) for w, t in zip(want, texts, strict=True))
 
 
 def test_segments_change_nothing(monkeypatch):
@@ -83,8 +137,8 @@ def test_segments_change_nothing(monkeypatch):
 
 def test_language_odd(odd, empty, docs):
     model = langid.train(docs)
-    got = langid.identify(odd.drop("score"), model).collect()
-    assert len(got) == len(ODD) and {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)} == {"und"}
+    got = langid.identify(odd, model, keep=("doc_id", "score", "kept")).collect()
+    assert len(got) == len(ODD) and all(r["kept"] and 0 <= r["score"] <= 1 for r in got) and {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)} == {"und"}
     nothing = langid.train(empty)
     assert langid.identify(empty, model).count() == 0
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(docs, nothing).collect()} == {("und", 0.0)}
