@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD_PATTERN)
 
+#: The longest texts that a bounded sample of labelled documents takes in. Scoring takes whole texts of any length.
+MAX_SAMPLE_CHARS = 50_000
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ASCII_LOWER = str.maketrans(_UPPER, _UPPER.lower())
 
@@ -97,12 +100,16 @@ def sampled_labels(labels: DataFrame, key: str, label: str, per_class: int) -> t
     rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     rows = rows.dropna().groupBy("k").agg(F.max("y").alias("y"))
     rates = {r["y"]: min(1.0, per_class / r["n"]) for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    part = F.pmod(F.xxhash64(F.col("k"), F.lit("sample")), F.lit(1_000_000))
-    bound = F.when(F.col("y") == 1, int(1_000_000 * rates.get(1, 0))).otherwise(int(1_000_000 * rates.get(0, 0)))
+    whole = 1 << 52
+    part = F.pmod(F.xxhash64(F.col("k"), F.lit("sample")), F.lit(whole))
+    bound = F.when(F.col("y") == 1, int(whole * rates.get(1, 0))).otherwise(int(whole * rates.get(0, 0)))
     return rows.where(part < bound), rates
 
 
-def labelled_texts(docs: DataFrame, sample: DataFrame, key: str, text: str) -> DataFrame:
-    """Key, text and label (`k`, `t`, `y`) of a bounded sample's documents that have a text; the documents don't move."""
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+def labelled_texts(docs: DataFrame, sample: DataFrame, key: str, text: str, max_chars: int = MAX_SAMPLE_CHARS) -> DataFrame:
+    """Key, text and label (`k`, `t`, `y`) of a bounded sample's documents that have a text; the documents don't move.
+
+    Texts of more than `max_chars` characters aren't trained on, so the sample is bounded in bytes as well.
+    """
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") <= max_chars)
     return texts.join(F.broadcast(sample), "k")

@@ -1,9 +1,8 @@
 """Quality classifier on supervised subword embeddings.
 
-Every word stands for its own hash and those of its character n-grams; each hash bucket has a learned vector. A
-document's vector is the mean over its words' buckets plus the vectors of a few shape features (its length and how
-much it repeats itself, in steps). A linear layer and a softmax over two classes follow. Vectors and layer are
-trained together by stochastic gradient descent in numpy.
+Every word stands for its own hash and those of its character n-grams, and so does every line's end; each hash bucket
+has a learned vector. A document's vector is the mean over its words' buckets. A linear layer and a softmax over two
+classes follow. Vectors and layer are trained together by stochastic gradient descent in numpy.
 
 The layer is linear, so a bucket's vector times the difference of the two classes' weights is one number per
 bucket; scoring adds such numbers up, which is the same sum in another order.
@@ -29,10 +28,11 @@ DIM = 12
 GRAMS = (2, 3, 4)
 EPOCHS = 6
 RATE = 0.5
+#: A document's shares of its buckets are small: the vectors' steps are longer than the layer's.
+VECTOR_RATE = 20
 #: The bound of the training sample: so many labelled rows of each class.
 MAX_DOCS_PER_CLASS = 3_000
 CACHE = 100_000
-SHAPES = 64
 
 
 def word_features(vocabulary: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +59,9 @@ def _placed(padded: Padded) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shapes(words: list[str]) -> list[int]:
-    """Shape features: the length in powers of two, the share of distinct words and of distinct 3-word windows in eighths."""
-    n = len(words)
-    if not n:
-        return [0]
-    kinds = len(set(words)) * 8 // n
-    windows = max(n - 2, 1)
-    distinct = len(set(zip(words, words[1:], words[2:], strict=False))) if n > 2 else 1
-    return [1 + min(20, n.bit_length()), 22 + kinds, 31 + distinct * 8 // windows]
+def tokens_of(text: str | None) -> Counter:
+    """The words of a text, and a token for each line's end; a null text is an empty one."""
+    return Counter(words_of(text)) + Counter({"\n": 1 + (text or "").count("\n")})
 
 
 class Features:
@@ -99,61 +93,76 @@ class Features:
 
 @dataclass(frozen=True)
 class QualityModel:
-    """One number per bucket and per shape, and a bias: a fixed size, whatever the corpus."""
+    """One number per bucket, and a bias: a fixed size, whatever the corpus."""
 
     buckets: np.ndarray
-    shapes: np.ndarray
     bias: float
 
 
+@dataclass
+class Network:
+    """Bucket vectors, a linear layer and a softmax over two classes."""
+
+    vectors: np.ndarray
+    layer: np.ndarray
+    bias: np.ndarray
+
+    @classmethod
+    def fresh(cls, rng: np.random.Generator, buckets: int, dim: int) -> Network:
+        return cls(((rng.random((buckets, dim)) - 0.5) / dim).astype(np.float32), np.zeros((dim, 2), np.float32), np.zeros(2, np.float32))
+
+    def probabilities(self, ids: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A document's vector, and the softmax over the classes."""
+        hidden = share @ self.vectors[ids]
+        out = hidden @ self.layer + self.bias
+        p = np.exp(out - out.max())
+        return hidden, p / p.sum()
+
+    def gradients(self, ids: np.ndarray, share: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the log loss of one document: for the vectors of its buckets, the layer and the bias."""
+        hidden, p = self.probabilities(ids, share)
+        p[label] -= 1
+        return np.outer(share, self.layer @ p), np.outer(hidden, p), p
+
+    def step(self, ids: np.ndarray, share: np.ndarray, label: int, rate: float) -> None:
+        vectors, layer, bias = self.gradients(ids, share, label)
+        self.layer -= rate * layer
+        self.bias -= rate * bias
+        self.vectors[ids] -= rate * VECTOR_RATE * vectors
+
+
 def fit(texts: list[str], labels: np.ndarray, prior: float = 0.0, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, seed: int = 9) -> QualityModel:
     """Stochastic gradient descent, one document a step, with a falling rate. `prior` is added to the bias."""
     rng = np.random.default_rng(seed)
     if not len(labels) or labels.min() == labels.max():
         rate = (labels.sum() + 0.5) / (len(labels) + 1)
-        return QualityModel(np.zeros(buckets), np.zeros(SHAPES), math.log(rate / (1 - rate)))
+        return QualityModel(np.zeros(buckets), math.log(rate / (1 - rate)))
     features, rows = Features(buckets), []
     for i in range(0, len(texts), 256):
-        split = [words_of(t) for t in texts[i : i + 256]]
-        bags = [Counter(w) for w in split]
+        bags = [tokens_of(t) for t in texts[i : i + 256]]
         features.prepare(bags)
-        for w, bag in zip(split, bags, strict=True):
-            ids, share = features.of(bag)
-            rows.append((ids.astype(np.int32), share.astype(np.float32), shapes(w)))
-    vectors = ((rng.random((buckets, dim)) - 0.5) / dim).astype(np.float32)
-    shape_vectors = ((rng.random((SHAPES, dim)) - 0.5) / dim).astype(np.float32)
-    layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
+        rows += [(ids.astype(np.int32), share.astype(np.float32)) for ids, share in map(features.of, bags)]
+    network = Network.fresh(rng, buckets, dim)
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            ids, share, shape = rows[i]
-            rate = RATE * (1 - done / steps)
+            network.step(*rows[i], int(labels[i]), RATE * (1 - done / steps))
             done += 1
-            hidden = share @ vectors[ids] + shape_vectors[shape].mean(axis=0)
-            out = hidden @ layer + bias
-            p = np.exp(out - out.max())
-            p /= p.sum()
-            p[int(labels[i])] -= 1
-            back = layer @ p
-            layer -= rate * np.outer(hidden, p)
-            bias -= rate * p
-            vectors[ids] -= (rate * 20 * share)[:, None] * back  # shares are small: a bucket's own step is scaled up
-            shape_vectors[shape] -= rate * back
-    gap = layer[:, 1] - layer[:, 0]
-    return QualityModel((vectors @ gap).astype(np.float32), (shape_vectors @ gap).astype(np.float32), float(bias[1] - bias[0]) + prior)
+    gap = network.layer[:, 1] - network.layer[:, 0]
+    return QualityModel((network.vectors @ gap).astype(np.float32), float(network.bias[1] - network.bias[0]) + prior)
 
 
 def train(
     docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id",
     max_docs_per_class: int = MAX_DOCS_PER_CLASS,
 ) -> QualityModel:
-    """Fit on a bounded sample of labelled documents, picked by key hash, in key order.
+    """Fit on a bounded sample of labelled documents, picked by key hash, in the order of key and text.
 
     Labels other than 0 and 1, and documents without a text, don't count. Without documents of both classes the
     score is the share of label 1. The bound, not the corpus, sets what comes to the driver.
     """
     sample, rates = sampled_labels(labels, key, label, max_docs_per_class)
-    rows = labelled_texts(docs, sample, key, text).toArrow().sort_by("k")
+    rows = labelled_texts(docs, sample, key, text).toArrow().sort_by([("k", "ascending"), ("t", "ascending")])
     prior = math.log(rates[0] / rates[1]) if len(rates) == 2 else 0.0
     return fit(rows["t"].to_pylist(), rows["y"].to_numpy(), prior)
 
@@ -165,8 +174,7 @@ class Scorer:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
         for i in range(0, len(texts), 256):
-            split = [words_of(t) for t in texts[i : i + 256]]
-            bags = [Counter(w) for w in split]
+            bags = [tokens_of(t) for t in texts[i : i + 256]]
             if len(self.known) > CACHE:
                 self.known.clear()
             new = list({w for bag in bags for w in bag if w not in self.known})
@@ -175,23 +183,23 @@ class Scorer:
                 ids, owner = word_features(part, len(self.model.buckets))
                 sums, sizes = np.bincount(owner, self.model.buckets[ids], len(part)), np.bincount(owner, minlength=len(part))
                 self.known.update(zip(part, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True))
-            for j, (w, bag) in enumerate(zip(split, bags, strict=True)):
-                logit, total, n = self.model.bias + self.model.shapes[shapes(w)].mean(), 0.0, 0
+            for j, bag in enumerate(bags):
+                total, n = 0.0, 0
                 for word, c in bag.items():
                     value, k = self.known[word]
                     total += c * value
                     n += c * k
-                out[i + j] = logit + (total / n if n else 0)
+                out[i + j] = self.model.bias + total / n
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with `score`, the probability of label 1, for every row and whole text. One pass, no shuffle.
 
-    Null, empty and blank texts are scored by the shape of an empty text. Repeated rows score alike. The model has
-    a fixed size and travels as a broadcast.
+    Null and empty texts are scored as a line without words. Repeated rows score alike. The model has a fixed size and
+    travels as a broadcast. Columns that aren't kept don't matter, whatever their names; a kept `score` is replaced.
     """
-    kept = docs.select(*keep, F.col(text).alias("_text"))
+    kept = docs.select(*[c for c in keep if not isinstance(c, str) or c != "score"], F.col(text).alias("_text"))
     schema = kept.drop("_text").schema.add("score", "double", False)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -420,17 +420,105 @@ def test_toxic_words_score_high(spark):
     assert min(got[i] for i in range(300, 400, 5)) > 0.5 > max(got[i] for i in range(300, 400) if i % 5)
 
 
+def test_words_keep_digits_and_signs():
+    assert toxicity.words("You 1d1ot, f*ck (really)! 'tis_ 12 -- é") == ["you", "1d1ot", "f*ck", "really", "tis", "12", "é"]
+
+
+def test_features_are_per_symbol():
+    model = toxicity.class_ratios(["aa", "bbb"], np.array([[5.0, 1.0], [1.0, 5.0]]), 3)
+    one, two = model.word_ratios(["aa", "bbb"])
+    got = toxicity.Scorer(model, margin=0.5).features(["aa bbb bbb", "", None])
+    assert got[0] == pytest.approx([(one + 2 * two) / 11, (max(one - 0.5, 0) + 2 * max(two - 0.5, 0)) / 11]) and not got[1:].any()
+
+
+def plain_network(tokens, network, buckets):
+    """Probability of class 1 from a mean over tokens' buckets, by loops."""
+    parts = [int(b) for t in tokens for b in quality.word_features([t], buckets)[0]]
+    hidden = np.mean([network.vectors[b] for b in parts], axis=0)
+    out = [sum(hidden[d] * network.layer[d, k] for d in range(len(hidden))) + network.bias[k] for k in range(2)]
+    return math.exp(out[1]) / (math.exp(out[0]) + math.exp(out[1]))
+
+
+def test_forward_pass_and_gradient():
+    buckets, rng = 512, np.random.default_rng(0)
+    network = quality.Network(rng.normal(size=(buckets, 4)), rng.normal(size=(4, 2)), rng.normal(size=2))
+    text = "Some words, and words\nagain é 12"
+    tokens = words(text) + ["\n"] * 2
+    features = quality.Features(buckets)
+    bag = quality.tokens_of(text)
+    assert bag == Counter(tokens)
+    features.prepare([bag])
+    ids, share = features.of(bag)
+    want = plain_network(tokens, network, buckets)
+    assert network.probabilities(ids, share)[1][1] == pytest.approx(want)
+    gap = network.layer[:, 1] - network.layer[:, 0]
+    model = quality.QualityModel(network.vectors @ gap, float(network.bias[1] - network.bias[0]))
+    assert quality.Scorer(model).scores([text])[0] == pytest.approx(want)
+    loss = lambda: -math.log(network.probabilities(ids, share)[1][0])
+    for array, gradient in zip((network.vectors, network.layer, network.bias), network.gradients(ids, share, 0), strict=True):
+        for at in np.ndindex(gradient.shape):
+            own = (ids[at[0]], *at[1:]) if array is network.vectors else at
+            before, h = array[own], 1e-5
+            array[own] = before + h
+            up = loss()
+            array[own] = before - h
+            down = loss()
+            array[own] = before
+            assert gradient[at] == pytest.approx((up - down) / (2 * h), abs=1e-6)
+
+
+def test_rows_in_any_order_train_alike(spark):
+    """Repeated keys with different texts: the order that rows come in doesn't matter."""
+    rows = [(i % 20, f"{'good clean words' if i % 3 else 'bad junk words'} number {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(20)], "doc_id long, quality int")
+    models = [quality.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert np.array_equal(models[0].buckets, models[1].buckets) and models[0].bias == models[1].bias
+
+
+@pytest.mark.parametrize(("name", "label", "n", "rest"), [("op5_toxicity", "toxic", 4, 2), ("op9_quality_classifier", "quality", 5, 0)])
+def test_held_out_accuracy(spark, name, label, n, rest):
+    """The registered queries on labelled rows that they didn't learn from."""
+    folder = "/root/testdata/sf0.1"
+    got = queries.queries()[name](spark, folder)
+    rows = got.join(common.read_table(spark, folder, "labels"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % n == rest) and r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in rows)
+    held = [(r["predicted"], r[label]) for r in rows if r["held_out"]]
+    right = Counter(held)
+    print(name, right)
+    if label == "toxic":
+        assert right[1, 1] >= 0.75 * (right[1, 1] + right[0, 1]) and right[1, 1] >= 0.85 * (right[1, 1] + right[1, 0])
+    else:
+        assert right[1, 1] + right[0, 0] >= 0.95 * len(held) and right[1, 1] >= 0.98 * (right[1, 1] + right[0, 1])
+
+
+def test_long_texts_do_not_train(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, y int")
+    frame = spark.createDataFrame([(1, "a " * 30_000), (2, "b")], "doc_id long, text string")
+    sample, _ = common.sampled_labels(labels, "doc_id", "y", 10)
+    assert [(r["k"], r["y"]) for r in common.labelled_texts(frame, sample, "doc_id", "text").collect()] == [(2, 0)]
+
+
 def test_scores_odd(odd, empty, docs, spark, sf_dir):
     labels = common.read_table(spark, sf_dir, "labels")
     for module, label in ((toxicity, "toxic"), (quality, "quality")):
         model = module.train(docs, labels)
-        got = module.score(odd.drop("score"), model).collect()
-        assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+        got = module.score(odd, model, keep=("doc_id", "score", "rank")).collect()
+        assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 and r["rank"] == 3 for r in got)
         assert module.score(empty, model).count() == 0
         none = module.train(empty, labels.limit(0))
         assert {r["score"] for r in module.score(docs, none).collect()} == {0.5}, label
 
 
+def test_rows_without_a_key_are_not_held_out(spark, tmp_path):
+    """Null keys: scored, never held out, never learned from."""
+    rows = [(None if i % 7 == 0 else i, f"{'the and of words' if i % 2 else 'der die das ist'} {i}", "en" if i % 2 else "de", "s", 5) for i in range(200)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op1_language_id", "op5_toxicity", "op9_quality_classifier"):
+        got = queries.queries()[name](spark, str(tmp_path)).collect()
+        assert len(got) == 200 and {r["held_out"] for r in got if r["doc_id"] is None} == {False}
+
+
 # --- passages
 
 
