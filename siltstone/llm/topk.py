@@ -2,12 +2,15 @@
 
 A query's components are its terms, and a term's posting list holds the component's value in every vector. Values
 may be negative, so each list is measured from its least contribution: what a vector adds beyond it is between 0
-and the list's bound. Terms in falling order of bounds are essential until the rest can't lift a vector to the
-k-th best score so far. Essential lists are traversed; vectors that stay competitive with the bounds of the lists
-to come are probed in those, one list after another, and drop out as soon as they aren't.
-
-Vectors lie in shards and queries in blocks of bounded size. Every block meets every shard in one task, and the
-shards' best are merged. Scores are integers throughout.
+and the list's bound. Lists are ordered by falling bound. The essential ones are those at the front without which no
+vector could reach the k-th best score known so far, even if it had all that the others can add; they are traversed.
+Vectors that stay competitive are probed in the others, one list after another, and drop out as soon as what is left
+can't lift them to that score.
+
+Vectors stay where they lie: every Arrow batch of a task is a shard with its own posting lists. Queries come to them in
+blocks of bounded size, as broadcasts, each query with a score that its k-th best reaches at least: first that of a
+pilot of some thousand vectors, then that of the shards which the task has been through. The shards' best are merged.
+Scores are integers throughout.
 """
 
 from __future__ import annotations
@@ -20,12 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, staged_folder, unstage
 
 K = 20
-SHARD_ROWS, BLOCK_ROWS = 8192, 1024
-#: Lists are traversed or probed so many at a time.
-STRIDE = 8
+#: Queries that go to the shards at a time, and vectors that give them their first threshold.
+BLOCK_ROWS, PILOT_ROWS = 8192, 4096
+#: The largest shard.
+SHARD_ROWS = 8192
+#: Queries that go through a shard together, and lists that are traversed, and probed, at a time once the essential ones are through.
+GROUP, STEP, STRIDE = 64, 8, 4
+#: Vectors are probed once less than one in so many is competitive.
+DENSE = 64
+BEST = "query_id long, vec_id long, score long"
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -35,73 +44,134 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.when(~F.coalesce(bad, F.lit(True)), F.transform(wide, lambda x: F.floor(x * F.lit(float(scale)))))
 
 
-def maxscore(query: np.ndarray, own: int, ids: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of a shard for one query, ties to smaller ids: their positions and scores.
+def exact_type(most: float, size: int) -> type:
+    """The narrowest number type in which products of vectors of so many components, of at most so much, are exact."""
+    reach = int(most) ** 2 * max(size, 1)
+    if reach >= 1 << 61:
+        raise ValueError(f"components reach {most} in vectors of up to {size}: products don't fit a long")
+    return np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64
+
+
+def least_of(kind: type) -> float | int:
+    """Below every score."""
+    return -(1 << 62) if kind is np.int64 else -np.inf
+
+
+class Shard:
+    """Posting lists of some vectors: one row per term, its least and greatest value, and the vectors' keys."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
+        self.ids, self.lists = ids, np.ascontiguousarray(matrix.T)
+        self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
+        self.none = least_of(matrix.dtype.type)
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int, thresholds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best vectors for each of a few queries that reach its threshold, ties to smaller keys: query, position, score.
+
+        The queries share an order of lists, by their mean bound, so the essential lists of all are a prefix, and one
+        matrix product traverses them.
+        """
+        size, n = self.lists.shape
+        thresholds = np.full(len(queries), self.none, queries.dtype) if thresholds is None else thresholds
+        least = np.minimum(queries * self.low, queries * self.high)
+        bound = np.maximum(queries * self.low, queries * self.high) - least
+        order = np.argsort(-bound.sum(axis=0), kind="stable")
+        least, bound, queries = least[:, order], bound[:, order], queries[:, order]
+        base = least.sum(axis=1)
+        rest = np.zeros((len(queries), size + 1), queries.dtype)  # what a vector may have without the lists before
+        rest[:, :size] = np.cumsum(bound[:, ::-1], axis=1)[:, ::-1]
+        rest += base[:, None]
+        # without its essential lists, all that the others add up to stays below the threshold
+        essential = int(min(size, (rest >= thresholds[:, None]).sum(axis=1).max(initial=0)))
+        if not (rest[:, 0] >= thresholds).any():
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, queries.dtype),)
+        score = queries[:, :essential] @ self.lists[order[:essential]] - least[:, :essential].sum(axis=1)[:, None]  # above the base
+        same = self.ids[None, :] == own[:, None]
+        score[same] = self.none
+        if n > k:  # k vectors have this much already
+            thresholds = np.maximum(thresholds, np.partition(score, n - k, axis=1)[:, n - k] + base)
+        at = essential
+        while True:  # where many vectors are competitive yet, traversing more lists is cheaper than probing for each
+            alive = (score >= (thresholds - rest[:, at])[:, None]) & ~same
+            if at == size or np.count_nonzero(alive) * DENSE < alive.size:
+                break
+            upto = min(at + STEP, size)
+            score += queries[:, at:upto] @ self.lists[order[at:upto]] - least[:, at:upto].sum(axis=1)[:, None]
+            at = upto
+        traversed, (of, at) = at, np.nonzero(alive)
+        score = score[of, at]
+        for begin in range(traversed, size, STRIDE):
+            end = min(begin + STRIDE, size)
+            probed = self.lists[np.ix_(order[begin:end], at)].T
+            score = score + (queries[of, begin:end] * probed).sum(axis=1) - least[of, begin:end].sum(axis=1)
+            keep = score + rest[of, end] >= thresholds[of]
+            of, at, score = of[keep], at[keep], score[keep]
+        score = score + base[of]
+        order = np.lexsort((self.ids[at], -score, of))
+        of, at, score = of[order], at[order], score[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        return of[place < k], at[place < k], score[place < k]
+
+
+def _by_size(rows: pa.RecordBatch | pa.Table, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, keys and matrix of the vectors (id, v) of each length: others have no product with them."""
+    ids, column = rows.column(0).to_numpy(), rows.column(1)
+    vectors = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = vectors.offsets.to_numpy()
+    sizes, flat = np.diff(offsets), vectors.values.to_numpy()
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        yield own, ids[own], flat[offsets[own][:, None] + np.arange(size)].astype(kind)
+
+
+class Asked:
+    """Queries of one length: keys, vectors, the score that the k-th best of each reaches at least, and the best scores so far."""
+
+    def __init__(self, keys: np.ndarray, vectors: np.ndarray, thresholds: np.ndarray):
+        self.keys, self.vectors, self.thresholds = keys, vectors, thresholds
+        self.held: dict[int, np.ndarray] = {}
+
+    def meet(self, shard: Shard, k: int) -> Iterator[pa.RecordBatch]:
+        """Each query's best in a shard; the thresholds follow."""
+        for i in range(0, len(self.keys), GROUP):
+            own = slice(i, i + GROUP)
+            of, at, scores = shard.best(self.vectors[own], self.keys[own], k, self.thresholds[own])
+            if not len(of):
+                continue
+            yield pa.RecordBatch.from_pydict({"query_id": self.keys[own][of], "vec_id": shard.ids[at], "score": scores.astype(np.int64)})
+            for q in np.unique(of).tolist():
+                held = np.concatenate([self.held.get(i + q, scores[:0]), scores[of == q]])
+                if len(held) >= k:
+                    held = np.partition(held, len(held) - k)[len(held) - k :]
+                    self.thresholds[i + q] = max(self.thresholds[i + q], held[0])
+                self.held[i + q] = held
+
+
+def _searched(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple], kind: type, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, v) to the best of each shard for queries by their length."""
+    asked = {size: Asked(keys, vectors, thresholds.copy()) for size, (keys, vectors, thresholds) in queries.items()}
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SHARD_ROWS):
+            for _, ids, matrix in _by_size(batch.slice(begin, SHARD_ROWS), kind):
+                if matrix.shape[1] in asked:
+                    yield from asked[matrix.shape[1]].meet(Shard(ids, matrix), k)
+
 
-    `values` holds one posting list per row, with the least and greatest value of each in `low` and `high`.
-    """
-    least = np.minimum(query * low, query * high)
-    bound = np.maximum(query * low, query * high) - least
-    order = np.argsort(-bound, kind="stable")
-    rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what the lists from here on can add at most
-    alive = np.flatnonzero(ids != own)
-    base = int(least.sum())
-    score = np.full(len(alive), base, np.int64)
-    at = 0
-    while at < len(order) and len(alive):
-        upto = min(len(order), at + STRIDE)
-        terms = order[at:upto]
-        part = values[terms] if len(alive) == values.shape[1] else values[np.ix_(terms, alive)]
-        score = score + query[terms] @ part - int(least[terms].sum())
-        at = upto
-        if len(alive) > k and at < len(order):
-            threshold = np.partition(score, len(score) - k)[len(score) - k]  # k vectors reach this already
-            keep = score + rest[at] >= threshold
-            alive, score = alive[keep], score[keep]
-    best = np.lexsort((ids[alive], -score))[:k]
-    return alive[best], score[best]
-
-
-def _searched(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _tasks(batches):
-            ids, queries = rows["id"].to_numpy(), rows["query"].to_numpy(zero_copy_only=False)
-            vectors = rows["v"].combine_chunks()
-            sizes = np.diff(vectors.offsets.to_numpy())
-            flat = vectors.values.to_numpy()[vectors.offsets[0].as_py() :]
-            starts = np.cumsum(sizes) - sizes
-            for size in np.unique(sizes):  # vectors of other lengths have no product
-                own = np.flatnonzero(sizes == size)
-                matrix = flat[starts[own][:, None] + np.arange(size)]
-                here, asked = own[~queries[own]], own[queries[own]]
-                if not len(here) or not len(asked):
-                    continue
-                values = np.ascontiguousarray(matrix[~queries[own]].T)
-                low, high = (values.min(axis=1), values.max(axis=1)) if size else (np.zeros(0, np.int64),) * 2
-                out = []
-                for q, vector in zip(ids[asked], matrix[queries[own]], strict=True):
-                    where, scores = maxscore(vector, q, ids[here], values, low, high, k)
-                    out.append((np.full(len(where), q), ids[here][where], scores))
-                q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_pydict({"query_id": q, "vec_id": v, "score": s})
-
-    return run
-
-
-def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows (shard, block, id, query, v), sorted by the first two, as one table per run of those."""
-    at, parts = None, []
+def _piloted(batches: Iterator[pa.RecordBatch], pilot: pa.Table, kind: type, k: int) -> Iterator[pa.RecordBatch]:
+    """Queries (id, v) with the score of their k-th best in the pilot; null where it has fewer."""
+    first = {matrix.shape[1]: Shard(ids, matrix) for _, ids, matrix in _by_size(pilot, kind)} if pilot.num_rows else {}
     for batch in batches:
-        shard, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (block[1:] != block[:-1]))) if len(shard) else []
-        for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True):
-            if (shard[a], block[a]) != at and parts:
-                yield pa.Table.from_batches(parts)
-                parts = []
-            at = (shard[a], block[a])
-            parts.append(batch.slice(a, b - a))
-    if parts:
-        yield pa.Table.from_batches(parts)
+        reached: list[int | None] = [None] * batch.num_rows
+        for places, keys, vectors in _by_size(batch, kind):
+            if (shard := first.get(vectors.shape[1])) is None:
+                continue
+            for i in range(0, len(keys), GROUP):
+                of, _, scores = shard.best(vectors[i : i + GROUP], keys[i : i + GROUP], k)
+                last = np.flatnonzero(np.append(of[1:] != of[:-1], True)) if len(of) else []
+                for q in last:
+                    if q >= k - 1 and of[q - k + 1] == of[q]:
+                        reached[places[i + of[q]]] = int(scores[q])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reached, pa.int64())], names=["id", "v", "block", "reached"])
 
 
 def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
@@ -110,18 +180,32 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     Vectors that are null or hold a null or non-finite component take no part, neither do rows without a key. A
     vector has no product with one of another length. Repeated rows of a key are candidates each; ranks among rows
     that tie in score and key are arbitrary and their values equal. A repeated query is asked once, if its vectors
-    are equal. Fewer candidates than k give fewer rows.
+    are equal. Fewer candidates than k give fewer rows. Components so large that products may not fit a long raise.
+    Other columns don't matter, whatever their names.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), quantised(F.col(vector)).alias("v"))
     rows = staged(rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()), "vectors")
-    asked = rows.where("query").dropDuplicates(["id", "v"])
-    n = rows.agg(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
-    shards, blocks = max(1, -(-n["n"] // SHARD_ROWS)), max(1, -(-n["q"] // BLOCK_ROWS))
-    shard, block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks))
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    here = rows.select(shard.alias("shard"), every(blocks).alias("block"), "id", F.lit(False).alias("query"), "v")
-    there = asked.select(every(shards).alias("shard"), block.alias("block"), "id", F.lit(True).alias("query"), "v")
-    meeting = here.unionByName(there).repartition("shard", "block").sortWithinPartitions("shard", "block")
-    found = meeting.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    n = rows.agg(F.count("*").alias("n"), F.count_if("query").alias("q"), F.max(largest).alias("most"), F.max(F.size("v")).alias("size")).first()
+    kind = exact_type(n["most"] or 0.0, n["size"] or 0)
+    here = rows.select("id", "v")
+    sampled = F.pmod(F.xxhash64("id", F.lit("pilot")), F.lit(max(1, n["n"]))) < PILOT_ROWS
+    pilot = spark.sparkContext.broadcast(here.where(sampled).limit(2 * PILOT_ROWS).toArrow())
+    blocks = max(1, -(-n["q"] // BLOCK_ROWS))
+    asked = rows.where("query").select("id", "v").distinct().withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
+    asked = staged(asked.mapInArrow(lambda batches: _piloted(batches, pilot.value, kind, k), "id long, v array<long>, block int, reached long"), "queries")
+    path = staged_folder(spark, "best")
+    for block in range(blocks):
+        own = asked.where(F.col("block") == block).select("id", "v", "reached").toArrow()
+        reached = [least_of(kind) if r is None else r for r in own["reached"].to_pylist()]
+        thresholds = np.array(reached, kind)
+        sent = spark.sparkContext.broadcast({vs.shape[1]: (keys, vs, thresholds[at]) for at, keys, vs in _by_size(own, kind)} if own.num_rows else {})
+        best = here.mapInArrow(lambda batches, sent=sent: _searched(batches, sent.value, kind, k), BEST)
+        best.write.mode("append").parquet(path)
+        sent.unpersist()
+    for done in (asked, rows):
+        unstage(done)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = spark.read.schema(BEST).parquet(path)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

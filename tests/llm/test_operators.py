@@ -711,7 +711,9 @@ def test_topk_small_shards(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(301, None), (302, [float("nan")] * 16), (303, [None] * 16), (320, [1.0, 2.0]), (304, vectors[3].tolist()), (304, vectors[3].tolist())]
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "PILOT_ROWS", 30)
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    frame = plain.withColumns({"id": F.lit("x"), "v": F.lit(1), "query": F.lit(None), "block": F.lit(2), "rank": F.lit(3), "score": F.lit(4)})
     got = defaultdict(list)
     for r in topk.search(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
@@ -723,6 +725,34 @@ def test_topk_small_shards(spark, monkeypatch):
     assert topk.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_shard_against_all_scores():
+    """Thresholds below, at and above the k-th score, in all number types, with copies that tie."""
+    rng = np.random.default_rng(3)
+    for case in range(40):
+        size, kind = int(rng.integers(1, 30)), (np.float64, np.int64, np.float32)[case % 3]
+        matrix = rng.integers(-20, 20, (200, size)).astype(kind)
+        matrix[150:] = matrix[:50]
+        ids = rng.permutation(1000)[:200]
+        shard, queries, own, k = topk.Shard(ids, matrix), rng.integers(-20, 20, (3, size)).astype(kind), ids[[7, 8, 9]], int(rng.integers(1, 30))
+        ranked = [sorted((-int(s), int(i)) for s, i in zip(matrix @ q, ids, strict=True) if i != o)[:k] for q, o in zip(queries, own, strict=True)]
+        kth = np.array([-r[-1][0] for r in ranked], kind)
+        for thresholds in (None, kth - 50, kth, kth + 1, kth + np.array([-50, 0, 1], kind)):
+            of, where, scores = shard.best(queries, own, k, thresholds)
+            for q in range(3):
+                want = [r for r in ranked[q] if thresholds is None or -r[0] >= thresholds[q]]
+                assert [(-int(s), int(ids[w])) for o, w, s in zip(of, where, scores, strict=True) if o == q] == want
+
+
+def test_products_stay_exact(spark):
+    assert topk.exact_type(36, 64) is np.float32 and topk.exact_type(1000, 64) is np.float64 and topk.exact_type(1 << 26, 64) is np.int64
+    large = [(i, [float((1 << 20) + i), float(i)]) for i in range(25)]
+    got = topk.search(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=2).collect()
+    want = sorted(((64 * (1 << 20) * 64 * ((1 << 20) + i), i) for i, _ in large[1:]), reverse=True)[:2]
+    assert [(r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == want
+    with pytest.raises(ValueError):
+        topk.search(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+
+
 # --- pipeline
 
 
