@@ -34,4 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
             unstage(done)
         labels = after
         if not moved:
+            unstage(down)
+            unstage(both)
             return labels.select("node", "label")

@@ -6,8 +6,14 @@ exact Jaccard similarities on full shingle sets decide.
 
 Texts with the same words are one node from the start, whatever the size of their group. Nodes that share a band
 are joined to the band's first node, and connected components of that graph are candidate clusters: every
-candidate pair lies inside one. A cluster's documents meet once, in blocks of bounded size, where a prefix filter
-and a union-find skip the pairs that can't be linked or already are. So nothing emits the pairs of a group.
+candidate pair lies inside one. Only members of clusters are looked at again, by their shingle sets.
+
+A cluster is cut into blocks of bounded size, each with the same few of its nodes as pilots, and a block's sets meet in
+one task, where a prefix filter and a union-find skip the pairs that can't be linked or already are. A family of near
+copies is one component after that, as its blocks hang together by the pilots; its work grows with its size, not the
+square of it. Where a cluster of several blocks falls into more than one component, links between blocks may be left:
+nodes that share a band meet once more, unless all nodes of the band are connected by then. So nothing emits the pairs of
+a group, and every pair that shares a band is either compared or known to be connected.
 """
 
 from __future__ import annotations
@@ -19,17 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words_of, staged
+from .common import lower_words_of, staged, unstage
 from .graph import components
 
 SHINGLE = 5
 #: Coordinates of a signature, and the largest probability with which a link at the threshold may share no band.
 COORDINATES, MISS = 256, 1e-4
-#: Documents, and shingles, that one block of a candidate cluster holds at most; two blocks meet in a task.
-BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1_000_000
+#: Documents, and shingles, that one block of a candidate cluster or of a band holds, about; and pilots that all blocks of a cluster have.
+BLOCK_DOCS, BLOCK_SHINGLES, PILOTS = 256, 1_000_000, 4
+#: So many members of clusters are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 CACHE = 200_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -140,11 +148,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"u": n[far], "v": heads[far]})
 
 
-def linked_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
+def linked_groups(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> np.ndarray:
     """Exact connected components of sets, linked if 100 * intersection >= percent * union; a root for each.
 
     Sets come in ascending size, and each is held only against earlier ones that share one of its rarest
-    shingles (two linked sets must) and aren't connected with it yet.
+    shingles (two linked sets must) and aren't connected with it yet. Sets with the same `known` label are from the start.
     """
     sizes = np.array([len(s) for s in sets])
     flat, where, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -154,6 +162,9 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
     freq_of = np.empty(len(flat), np.int64)
     freq_of[rank] = freq
     root = np.arange(len(sets))
+    if known is not None:
+        first: dict[int, int] = {}
+        root = np.array([first.setdefault(c, i) for i, c in enumerate(known)])
     members: dict[int, set[int]] = {}
     postings: dict[int, list[int]] = defaultdict(list)
 
@@ -186,13 +197,82 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([find(x) for x in range(len(sets))])
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, label, print, text) to shingle sets as bytes; another text under the same key drops out."""
+    shingler = Shingler()
+    for batch in batches:
+        kept, sets = [], []
+        for i, (digest, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            words = lower_words_of(text)
+            if _print(words) == digest:
+                kept.append(i)
+                sets.append(shingler.of(words).tobytes())
+        some = batch.take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.binary())], names=["node", "label", "shingles"])
+
+
+def _solved(percent: int):
+    """Rows (group, lo, hi, node, known, shingles), sorted by all but the last two: links (u, v) that connect what is linked in a run of
+    the first three and wasn't known to be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            unique = {node: (known, shingles) for node, known, shingles in group}  # rows of one key may repeat
+            names, known = list(unique), [k for k, _ in unique.values()]
+            if len(set(known)) < 2:
+                continue
+            roots = linked_groups([np.frombuffer(s, np.uint64) for _, s in unique.values()], percent, known)
+            far = [i for i in range(len(names)) if known[i] != known[roots[i]]]
+            yield pa.RecordBatch.from_pydict({"u": pa.array([names[i] for i in far], pa.int64()), "v": pa.array([names[roots[i]] for i in far], pa.int64())})
+
+    return run
+
+
+def _links(meeting: DataFrame, percent: int) -> DataFrame:
+    ordered = meeting.select("group", "lo", "hi", "node", "known", "shingles").repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "node")
+    return staged(ordered.mapInArrow(_solved(percent), "u long, v long"), "links")
+
+
+def _blocks(docs: Column, weight: Column) -> Column:
+    return F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(weight / BLOCK_SHINGLES))
+
+
+def _within_clusters(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links inside the blocks of clusters, and with their pilots."""
+    placed = sets.join(sizes.select("label", "blocks"), "label")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    large = placed.where("blocks > 1")
+    pilots = large.groupBy("label", F.pmod(F.xxhash64("node", F.lit("pilot")), F.lit(PILOTS)).alias("p")).agg(F.min("node").alias("node"))
+    everywhere = large.join(pilots.select("node"), "node", "left_semi").withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meeting = placed.withColumn("lo", own).unionByName(everywhere.select(*placed.columns, "lo"))
+    return _links(meeting.select(F.col("label").alias("group"), "lo", F.col("lo").alias("hi"), "node", F.col("node").alias("known"), "shingles"), percent)
+
+
+def _across_blocks(banded: DataFrame, sets: DataFrame, open_labels: DataFrame, percent: int) -> DataFrame | None:
+    """Links that blocks keep apart: among nodes (`node`, `label`, `known` component) of clusters that several components are left of,
+    by the bands that still hold more than one. A band's blocks meet in pairs."""
+    rows = staged(banded.join(open_labels, "node"), "open-bands")
+    bands = rows.groupBy("band").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"), F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b")
+    bands = staged(bands.select("band", _blocks(F.col("docs"), F.col("weight")).alias("blocks")), "bands")
+    if bands.isEmpty():
+        return None
+    held = rows.join(bands, "band").join(sets.select("node", "shingles"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    found = _links(other.select(F.col("band").alias("group"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "known", "shingles"), percent)
+    unstage(rows)
+    unstage(bands)
+    return found
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """One row per document: `n_shingles`, `component_id` (smallest key reachable over links), `kept`.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct 5-word shingles
     (A-Z lower-cased; with fewer words, the whole sequence as one shingle). A link at the threshold is missed
-    with a probability below MISS (4e-5 at 85, 3e-6 at 80), one above it far more rarely. Null, empty and blank texts have no shingle and stay alone. Rows with
-    the same key and text are one document, each returned; ties don't arise. Other columns are dropped.
+    with a probability below MISS (4e-5 at 85, 3e-6 at 80), one above it far more rarely. Null, empty and blank texts have
+    no shingle and stay alone. Rows with the same key and text are one document, each returned; ties don't arise. Rows
+    without a key are documents too, whose component is named by the smallest key among them, null if they have none.
+    Other columns are dropped, whatever their names.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = staged(rows.mapInArrow(_signed(*banding(percent)), "id long, print binary, n_shingles long, bands array<long>"), "signed")
@@ -200,47 +280,45 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     nodes = own.groupBy("print").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    firsts = signed.select("id", "print", "bands").dropDuplicates(["id", "print"])
-    banded = nodes.join(firsts, (nodes["first_id"] == firsts["id"]) & (nodes["print"] == firsts["print"]))
-    banded = banded.select("node", F.explode("bands").alias("band"))
+    firsts = signed.select("id", F.col("print").alias("own"), "bands")
+    banded = nodes.join(firsts, (nodes["first_id"] == firsts["id"]) & (nodes["print"] == firsts["own"])).select("node", "n", F.explode("bands").alias("band"))
     edges = banded.select("band", "node").repartition("band").sortWithinPartitions("band", "node").mapInArrow(_runs, "u long, v long")
     clusters = components(edges.distinct())
 
-    weights = clusters.join(nodes.select("node", "n"), "node").groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("weight") / BLOCK_SHINGLES))
-    members = clusters.join(weights.select("label", blocks.alias("blocks")), "label").join(nodes.select("node", "first_id", "print"), "node")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    placed = members.join(rows.withColumnRenamed("id", "first_id"), "first_id").select("label", "blocks", "node", "block", "print", "text", others.alias("other"))
-    keys = [F.col("label"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
-    meeting = placed.select(*keys, "node", "print", "text").repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "node")
+    members = staged(clusters.join(nodes, "node").select("node", "label", "print", "first_id", "n"), "members")
+    sizes = members.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
+    sizes = staged(sizes.select("label", _blocks(F.col("docs"), F.col("weight")).alias("blocks")), "sizes")
+    wanted = members.select("node", "label", "print", F.col("first_id").alias("id"))
+    few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = rows.join(F.broadcast(wanted) if few else wanted, "id").select("node", "label", "print", "text")
+    sets = staged(met.mapInArrow(_sets, "node long, label long, shingles binary"), "sets")
 
-    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for group in _groups(batches):
-            names, sets = [], []
-            for node, digest, t in group:
-                words = lower_words_of(t)
-                if _print(words) == digest and (not names or names[-1] != node):
-                    names.append(node)
-                    sets.append(shingler.of(words))
-            if len(sets) > 1:
-                roots = linked_groups(sets, percent)
-                far = [i for i in range(len(names)) if roots[i] != i]
-                yield pa.RecordBatch.from_pydict({"u": pa.array([names[i] for i in far], pa.int64()), "v": pa.array([names[roots[i]] for i in far], pa.int64())})
-
-    links = staged(meeting.mapInArrow(solved, "u long, v long"), "links")
+    links = _within_clusters(sets, sizes, percent)
     labels = components(links)
+    large = sizes.where("blocks > 1").select("label")
+    if not large.isEmpty():
+        known = members.join(large, "label", "left_semi").select("node", "label")
+        known = known.join(labels.withColumnRenamed("label", "found"), "node", "left").select("node", "label", F.coalesce("found", "node").alias("known"))
+        torn = known.groupBy("label").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("label")
+        apart = staged(known.join(torn, "label", "left_semi").select("node", "known"), "apart")
+        across = None if apart.isEmpty() else _across_blocks(banded, sets, apart, percent)
+        if across is not None:
+            labels = components(links.unionByName(across))
+            unstage(across)
+        unstage(apart)
+    for done in (members, sizes, sets, links):
+        unstage(done)
     settled = nodes.join(labels, "node", "left").select("print", "first_id", F.coalesce("label", "node").alias("label"))
     least = settled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = settled.join(least, "label").select("print", "component_id")
-    out = signed.select("id", "print", "n_shingles").join(named, "print", "left")
-    component = F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    # texts without words have no print: they go around the join, where all of them would have the same key
+    worded = own.join(named, "print").select("id", "n_shingles", "component_id")
+    out = worded.unionByName(signed.where(F.col("print").isNull()).select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (label, lo, hi, node, print, text), sorted by the first three, as one list per run of those."""
+    """Rows (group, lo, hi, ...), sorted by the first three, as one list per run of those, without them."""
     at, group = None, []
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(6)]

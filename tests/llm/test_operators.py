@@ -252,8 +252,31 @@ def test_chains_of_near_copies(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = components([(k, shingles(t)) for k, t in rows], 85)
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame).collect()} == want
-    monkeypatch.setattr(minhash, "BLOCK_DOCS", 7)
-    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame).collect()} == want
+    for blocks, broadcast in ((7, 10), (2, 1000), (30, 1000)):  # nodes of different blocks are linked with each other, and not with the pilots
+        monkeypatch.setattr(minhash, "BLOCK_DOCS", blocks)
+        monkeypatch.setattr(minhash, "BROADCAST_ROWS", broadcast)
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame).collect()} == want
+
+
+def test_tight_family_needs_no_second_round(spark, monkeypatch):
+    """Near copies of one text hang together by the pilots."""
+    rng, base = random.Random(6), [f"v{i}" for i in range(150)]
+    rows = [(i, " ".join([*base[:k], f"n{i}", *base[k + 1 :]])) for i, k in enumerate(rng.randrange(150) for _ in range(80))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+    ran = []
+    across = minhash._across_blocks
+    monkeypatch.setattr(minhash, "_across_blocks", lambda *args: ran.append(across(*args)) or ran[-1])
+    assert {r["component_id"] for r in minhash.near_duplicates(frame).collect()} == {0} and not ran
+
+
+def test_all_pairs_of_a_thousand(spark):
+    """The registered query against all pairs of a whole table."""
+    rows = [(r["doc_id"], shingles(r["text"])) for r in common.read_table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    want = components(rows, 85)
+    got = queries.op3_minhash_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < len(rows)
+    assert all(r["kept"] == (r["component_id"] == r["doc_id"]) for r in got)
 
 
 def test_circulant_signature():
