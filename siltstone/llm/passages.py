@@ -2,7 +2,9 @@
 
 Seeds are hashes of k words in a row; of every window of such seeds the least is taken (minimizers), so equal
 stretches give equal seeds wherever they stand. All occurrences of a seed are joined to its first one, in the
-document with the smallest key: a seed with n occurrences gives n - 1 matches, not their square.
+document with the smallest key: a seed with n occurrences gives n - 1 matches, not their square. Seeds that are
+frequent in a sample are dealt to parts by document; there the first occurrence of each part takes the place of the first
+of all, and is joined to that itself.
 
 The matches of two documents are chained: the best ascending chain under a cost per word of gap comes from one pass in
 text order with a Fenwick tree of prefix maxima. Chains are aligned word by word, also across their gaps and
@@ -26,12 +28,19 @@ SEED_WORDS, WINDOW = 8, 8
 GAP_COST = 0.1
 #: Words beyond a chain's ends that an alignment may take in.
 MARGIN = 48
-MIN_PIECE, MIN_WORDS, MIN_IDENTITY = 15, 40, 0.8
+MIN_WORDS, MIN_IDENTITY = 40, 0.8
 #: An extension ends where its score (1 for an equal word, -2 for another) falls so far below its best.
 DROP = 6
 #: Words on each side of a seed that travel with it, to see whether an extension ends there; equal words without a seed are fewer.
 CONTEXT = 16
 CACHE = 200_000
+#: Of one document in SAMPLE the seeds are counted; those found HOT times are dealt to PARTS parts, at most MOST_HOT of them. This is about
+#: balance only: what isn't found to be frequent is matched in one run.
+SAMPLE, HOT, PARTS, MOST_HOT = 64, 64, 32, 100_000
+SEEDS = "seed long, part int, id long, at int, before long, after long"
+MATCHES = "id long, other long, at int, other_at int, ends byte"
+#: Bytes of slices that are handed on together.
+SLICES = 1 << 24
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,42 +116,80 @@ def open_ends(before: np.ndarray, other_before: np.ndarray, after: np.ndarray, o
     return out
 
 
-def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
-    for batch in batches:
-        ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        for i in range(0, len(texts), 1000):
-            found = []
-            for t in texts[i : i + 1000]:
-                hashed = words.of(t)
-                seeds, at = seeds_of(hashed)
-                found.append((seeds, at, *contexts_of(hashed, at)))
-            owner = np.repeat(ids[i : i + 1000], [len(f[0]) for f in found])
-            seed, at, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield pa.RecordBatch.from_pydict({"seed": seed, "id": owner, "at": at, "before": before, "after": after})
+def _seeded(hot: np.ndarray):
+    """Rows (id, text) to seeds with their contexts, and the part that they are matched in: 0, or one of PARTS for frequent seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for i in range(0, len(texts), 1000):
+                found = []
+                for t in texts[i : i + 1000]:
+                    hashed = words.of(t)
+                    seeds, at = seeds_of(hashed)
+                    found.append((seeds, at, *contexts_of(hashed, at)))
+                owner = np.repeat(ids[i : i + 1000], [len(f[0]) for f in found])
+                seed, at, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
+                dealt = ((owner.astype(np.uint64) * _PRIME) >> np.uint64(40)) % np.uint64(PARTS) + np.uint64(1)
+                part = np.where(np.isin(seed, hot), dealt, 0).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"seed": seed, "part": part, "id": owner, "at": at, "before": before, "after": after})
+
+    return run
+
+
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """Seeds that are frequent in a sample of the documents, by the hash of their keys: a bounded number."""
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit("seeds")), F.lit(SAMPLE)) == 0).mapInArrow(_seeded(np.zeros(0, np.int64)), SEEDS)
+    counted = some.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    return counted.orderBy(F.desc("n"), "seed").limit(MOST_HOT).select("seed").toArrow()["seed"].to_numpy()
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (seed, id, at, before, after), sorted: each occurrence in another document with the first one, and where a stretch
-    around it may be long (`ends`). Streams; holds one batch.
+    """Rows (seed, part, id, at, before, after), sorted: each occurrence in another document with the first one of its part, and where a
+    stretch around it may be long (`ends`). The first ones of parts other than 0 are handed on with their contexts. Streams; holds one batch.
     """
     last = None
     for batch in batches:
-        seed, doc, at, before, after = (batch.column(i).to_numpy() for i in range(5))
+        seed, part, doc, at, before, after = (batch.column(i).to_numpy() for i in range(6))
         if not len(seed):
             continue
-        starts = np.append(True, seed[1:] != seed[:-1])
-        head = np.maximum.accumulate(np.where(starts, np.arange(len(seed)), 0))
-        firsts = [c[head] for c in (doc, at, before, after)]
-        if last is not None and seed[0] == last[0]:
-            n = len(seed) if seed[-1] == last[0] else int(np.argmax(seed != last[0]))
-            for c, value in zip(firsts, last[1:], strict=True):
+        starts = np.append(True, (seed[1:] != seed[:-1]) | (part[1:] != part[:-1]))
+        if last is not None and (seed[0], part[0]) == last[:2]:
+            starts[0] = False
+        head = np.maximum.accumulate(np.where(starts, np.arange(len(seed)), -1))
+        firsts = [c[np.maximum(head, 0)] for c in (doc, at, before, after)]
+        if n := int(np.count_nonzero(head < 0)):
+            for c, value in zip(firsts, last[2:], strict=True):
                 c[:n] = value
-        last = (seed[-1], *(c[-1] for c in firsts))
+        last = (seed[-1], part[-1], *(c[-1] for c in firsts))
         far = doc != firsts[0]
         other, other_at, other_before, other_after = (c[far] for c in firsts)
         ends = open_ends(before[far], other_before, after[far], other_after)
-        yield pa.RecordBatch.from_pydict({"id": doc[far], "other": other, "at": at[far], "other_at": other_at, "ends": ends})
+        nothing = np.zeros(len(ends), np.int64)
+        own = starts & (part > 0)
+        zero = np.zeros(int(own.sum()), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(c))
+                for c in (
+                    (doc[far], doc[own]), (other, zero), (at[far], at[own]), (other_at, zero.astype(np.int32)), (ends, zero.astype(np.int8)),
+                    (nothing, seed[own]), (nothing, before[own]), (nothing, after[own]), (np.zeros(len(ends), bool), np.ones(len(zero), bool)),
+                )
+            ],
+            names=["id", "other", "at", "other_at", "ends", "seed", "before", "after", "first"],
+        )
+
+
+def _matches(rows: DataFrame) -> DataFrame:
+    """Each seed of a document with the first occurrence in another: (id, other, at, other_at, ends)."""
+    seeds = rows.mapInArrow(_seeded(_frequent(rows)), SEEDS)
+    ordered = seeds.repartition("seed", "part").sortWithinPartitions("seed", "part", "id", "at")
+    found = staged(ordered.mapInArrow(_matched, f"{MATCHES}, seed long, before long, after long, first boolean"), "matches")
+    heads = found.where("first").select("seed", F.lit(0).alias("part"), "id", "at", "before", "after")
+    heads = heads.repartition("seed").sortWithinPartitions("seed", "id", "at").mapInArrow(_matched, f"{MATCHES}, seed long, before long, after long, first boolean")
+    names = ["id", "other", "at", "other_at", "ends"]
+    return found.where("NOT first").select(*names).unionByName(heads.select(*names))
 
 
 def chains_of(x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS, cost: float = GAP_COST) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -384,15 +431,25 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int =
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, lo, hi, text) to the words in between, as bytes of 32-bit hashes."""
-    words, text, hashed = Words(), None, np.zeros(0, np.uint32)
+    """Rows (id, spans, text) to the words of each span, as bytes of 32-bit hashes. A text is read once for all its spans."""
+    words = Words()
+    names = ["id", "lo", "hi", "words"]
+    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    ready, held = [], 0
     for batch in batches:
-        slices = []
-        for lo, hi, t in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            if t != text:
-                text, hashed = t, (words.of(t) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            slices.append(hashed[lo:hi].tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(slices, pa.binary())], names=["id", "lo", "hi", "words"])
+        for i in range(batch.num_rows):
+            doc, spans, text = (batch.column(c)[i].as_py() for c in range(3))
+            hashed = (words.of(text) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            for span in spans:
+                piece = hashed[span["lo"] : span["hi"]].tobytes()
+                ready.append((doc, span["lo"], span["hi"], piece))
+                held += len(piece) + 32
+                if held > SLICES:
+                    yield packed(ready)
+                    ready, held = [], 0
+    if ready:
+        yield packed(ready)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,9 +461,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             xs, ys = np.array(xs) - lo, np.array(ys) - olo
             if xs[-1] + SEED_WORDS > len(a) or ys[-1] + SEED_WORDS > len(b):  # another text under the same key
                 continue
-            for x, ex, y, ey, columns, equal in align(a, b, xs, ys):
-                if columns >= MIN_PIECE:
-                    rows.append((doc, x + lo, ex + lo, other, y + olo, ey + olo, columns, equal))
+            rows += [(doc, x + lo, ex + lo, other, y + olo, ey + olo, columns, equal) for x, ex, y, ey, columns, equal in align(a, b, xs, ys)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
@@ -446,20 +501,20 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     `n_words`, and of its longest equal piece `other_id`, `other_start`, `other_words`, `columns`, `equal`.
 
     Stretches are found from SEED_WORDS + WINDOW - 1 equal words in a row on; every repeat of `min_words` equal words is
-    covered, and so is any other stretch that an alignment from one common seed on takes in. The first document with a passage has
-    no row for it. Null, empty and short texts give none; nor do rows without a key. Rows of one key are one
+    covered, and so is any other stretch that an alignment from one common seed on takes in. Where pieces that different documents had
+    first touch, they are one passage, and its length counts. The first document with a passage has no row for it. A frequent passage
+    is reported against the first holder of its part of the documents. Null, empty and short texts give none; nor do rows without a key. Rows of one key are one
     document: repeats inside it don't count. Ties in length go to the smaller other key. Other columns are dropped.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    seeds = rows.mapInArrow(_seeded, "seed long, id long, at int, before long, after long")
-    matches = seeds.repartition("seed").sortWithinPartitions("seed", "id", "at").mapInArrow(_matched, "id long, other long, at int, other_at int, ends byte")
-    chains = matches.repartition("id").sortWithinPartitions("id", "other", "at", "other_at")
+    chains = _matches(rows).repartition("id").sortWithinPartitions("id", "other", "at", "other_at")
     chains = staged(chains.mapInArrow(_chained(min_words), "id long, other long, xs array<int>, ys array<int>"), "chains")
     first = lambda c: F.greatest(F.element_at(c, 1) - MARGIN, F.lit(0))
     last = lambda c: F.element_at(c, -1) + SEED_WORDS + MARGIN
     placed = chains.select("*", first("xs").alias("lo"), last("xs").alias("hi"), first("ys").alias("other_lo"), last("ys").alias("other_hi"))
-    spans = placed.select("id", "lo", "hi").union(placed.select("other", "other_lo", "other_hi")).distinct()
-    sliced = spans.join(rows, "id").select("id", "lo", "hi", "text").mapInArrow(_sliced, "id long, lo int, hi int, words binary")
+    spans = placed.select("id", "lo", "hi").union(placed.select("other", "other_lo", "other_hi"))
+    spans = spans.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    sliced = spans.join(rows, "id").select("id", "spans", "text").mapInArrow(_sliced, "id long, lo int, hi int, words binary")
     sliced = staged(sliced, "slices")
     there = sliced.select(F.col("id").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("words").alias("other_words"))
     paired = placed.join(sliced, ["id", "lo", "hi"]).join(there, ["other", "other_lo", "other_hi"])

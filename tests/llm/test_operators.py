@@ -640,6 +640,55 @@ def test_passages_with_one_seed(spark):
         assert got[doc]["start"] <= max(lead, first - passages.MARGIN) + 2 and end >= min(lead + 58, last + 8 + passages.MARGIN) - 2
 
 
+def test_recall_of_changed_passages(spark):
+    """120 words with every 9th, 10th, 12th or 15th changed: nearly all that share a seed are found, and no others."""
+    rng, rows, seeded = random.Random(12), [], defaultdict(set)
+    own = lambda n: [f"u{rng.getrandbits(60)}" for _ in range(n)]
+    doc = 0
+    for every in (9, 10, 12, 15):
+        for _ in range(40):
+            shared = own(120)
+            changed = [w if (j + 1) % every else own(1)[0] for j, w in enumerate(shared)]
+            texts = " ".join(own(30) + shared + own(20)), " ".join(own(15) + changed + own(40))
+            there, here = (set(passages.seeds_of(passages.Words().of(t))[0].tolist()) for t in texts)
+            rows += [(doc, texts[0]), (doc + 1, texts[1])]
+            if there & here:
+                seeded[every].add(doc + 1)
+            doc += 2
+    got = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) <= set().union(*seeded.values())
+    for every, docs in seeded.items():
+        assert len(docs) >= 10 and sum(d in got for d in docs) >= 0.9 * len(docs), every
+        assert np.mean([got[d]["n_words"] for d in docs if d in got]) > 80
+
+
+def test_frequent_seeds(spark, monkeypatch):
+    """A passage that all documents share is found in all but the first, however its seeds are dealt."""
+    rng = random.Random(13)
+    own = lambda n: [f"u{rng.getrandbits(60)}" for _ in range(n)]
+    shared = own(60)
+    rows = [(i, " ".join(own(10) + shared + own(10))) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(i, 10, 60) for i in range(1, 120)]
+    for sample, hot in ((1, 2), (64, 64)):
+        monkeypatch.setattr(passages, "SAMPLE", sample)
+        monkeypatch.setattr(passages, "HOT", hot)
+        got = passages.repeated_passages(frame).collect()
+        assert sorted((r["doc_id"], r["start"], r["n_words"]) for r in got) == want and all(r["other_id"] < r["doc_id"] for r in got)
+        assert (len({r["other_id"] for r in got}) > 5) == (sample == 1)
+
+
+def test_passage_of_lines_from_many(spark):
+    """A passage of short lines, each of which another document had first."""
+    rng = random.Random(14)
+    own = lambda n: [f"u{rng.getrandbits(60)}" for _ in range(n)]
+    lines_ = [own(15) for _ in range(4)]
+    rows = [(i, " ".join(own(20) + line + own(20))) for i, line in enumerate(lines_)]
+    rows.append((9, " ".join(own(5) + sum(lines_, []) + own(5))))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["start"], r["n_words"]) for r in got] == [(9, 5, 60)]
+
+
 def test_contexts():
     """Ends that the contexts close are those that an extension over the words themselves doesn't pass."""
     rng = np.random.default_rng(11)
