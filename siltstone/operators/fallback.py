@@ -1,14 +1,17 @@
 """A graph straight from source texts, for corpora without a code index.
 
-Declarations and what they name come from the source reader, file by file; names are then resolved by joins: a base or
-interface to a declaration of its name, in the same file before others; a call to a function or method of its own
-file. What isn't found becomes a node of `unresolved.file`. Types of expressions aren't inferred, so calls across files
-stay unresolved: a code index resolves far more.
+Declarations and what they name come from the source reader, file by file, once; names are then resolved by joins: a base or
+interface to a declaration of its name, in the same file before others; a call to a function or method of its own file, or to
+what the file imports under that name from another file of the corpus. Calls of what comes from packages are left out. What isn't
+found becomes a node of `unresolved.file`. Types of expressions aren't inferred, so a method of another file's class isn't
+found: a code index resolves far more.
 """
 
 from __future__ import annotations
 
+import posixpath
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import TYPESCRIPT, ext_of, name_of, posix, registry
+from ..staging import staged, unstage
 from .graph import Graph, first_rows
 from .parser import Node, Parser, tokens
 
@@ -23,8 +27,14 @@ PARSED = (".ts", ".tsx", ".js", ".jsx", ".mjs")
 FILE_KINDS = (".ts", ".tsx", ".js")
 UNRESOLVED = "unresolved.file"
 _NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "new", "in", "of", "do", "else", "case", "throw", "import", "constructor"}
-NODES = "type string, name string, line int, isExported boolean, isAbstract boolean, isAsync boolean, isStatic boolean, members int, parameters int, properties int"
-REFERENCES = "edge string, source_type string, source string, target_type string, target string, callLine int"
+NODES = "type string, name string, line int, isExported boolean, isAbstract boolean, isAsync boolean, isStatic boolean, members int, parameters int, properties int, implied boolean"
+REFERENCES = "edge string, source_type string, source string, target_type string, target string, callLine int, stem string, imported string"
+_EXTENSION = re.compile(r"(\.d)?\.(ts|tsx|js|jsx|mjs)$")
+_IMPORT = re.compile(r"\bimport\s+(?:type\s+)?([^'\"]*?)\s*from\s*['\"]([^'\"]+)['\"]", re.S)
+_FUNCTION_VALUE = re.compile(r"(?:const|let)\s+([\w$]+)\s*(?::[^=]*)?=\s*(async\b\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]*)?=>|[\w$]+\s*=>)", re.S)
+_INNER = re.compile(r"(export\s+|declare\s+)*(namespace|module)\b|export\b|declare\b")
+#: What a call's name may be imported from: the file's path without its extension and the name there; a package has no path.
+Imports = dict[str, tuple[str | None, str]]
 
 
 def node_id(kind: Column, name: Column, path: Column) -> Column:
@@ -64,79 +74,134 @@ def _parameters(header: str) -> int:
     return 0
 
 
-def _calls(text: str, node: Node, first_line: int) -> Iterator[tuple[str, int]]:
-    """Names that are called inside a declaration's body, with their lines from 1."""
+def _imports(text: str, path: str) -> Imports:
+    """Local names to what they are imported from. A name in `*` stands for all of a module's."""
+    out: Imports = {}
+    for clause, module in _IMPORT.findall(text):
+        stem = _EXTENSION.sub("", posixpath.normpath(posixpath.join(posixpath.dirname(path), module))) if module.startswith(".") else None
+        named = re.search(r"\{(.*?)\}", clause, re.S)
+        for part in _commas(named[1]) if named else []:
+            names = re.sub(r"^type\s+", "", part).split(" as ")
+            out[names[-1].strip()] = (stem, names[0].strip())
+        rest = re.sub(r"\{.*?\}", "", clause, flags=re.S)
+        for part in _commas(rest):
+            if m := re.match(r"\*\s*as\s+([\w$]+)", part):
+                out[m[1]] = (stem, "*")
+            else:
+                out[part] = (stem, "default")
+    return out
+
+
+def _calls(text: str, node: Node, first_line: int, imports: Imports) -> Iterator[tuple[str, int, str | None, str | None]]:
+    """Names that are called inside a declaration's body, with their lines from 1 and where they are imported from; not those of packages."""
     head = len(_header(text, node))
     part = text[node.start + head : node.end]
-    line = first_line + text[node.start : node.start + head].count("\n")
+    line = first_line + text.count("\n", node.start, node.start + head)
     known = [t for t in tokens(part) if t.kind != "comment"]
-    for t, after in zip(known, known[1:], strict=False):
-        if t.kind == "word" and after.text == "(" and after.kind == "punct" and t.text not in _NOT_CALLS:
-            yield t.text, line + t.line
-
-
-def extract(text: str, typed: bool) -> tuple[list[tuple], list[tuple]]:
-    """Nodes and references of one source text: its classes, interfaces and functions at the top, and classes' methods."""
+    for i, (t, after) in enumerate(zip(known, known[1:], strict=False)):
+        if t.kind != "word" or after.text != "(" or after.kind != "punct" or t.text in _NOT_CALLS:
+            continue
+        of = known[i - 2].text if i > 1 and known[i - 1].text in (".", "?.") else None
+        if i and known[i - 1].text in (".", "?."):
+            stem, name = imports.get(of, ("", ""))
+            name = t.text if name == "*" else ""
+        else:
+            stem, name = imports.get(t.text, ("", ""))
+        if stem is not None:
+            yield t.text, line + t.line, stem if name else None, name or None
+
+
+def _declarations(text: str, nodes: list[Node], exported: bool = False) -> Iterator[tuple[Node, bool]]:
+    """Declarations at the top and inside namespaces, and whether they are exported."""
+    for node in nodes:
+        if node.kind != "statement":
+            yield node, exported or text.startswith("export", node.start)
+        elif _INNER.match(text, node.start):
+            yield from _declarations(text, node.children, text.startswith("export", node.start))
+
+
+def extract(text: str, typed: bool, path: str = "") -> tuple[list[tuple], list[tuple]]:
+    """Nodes and references of one source text: its classes, interfaces and functions, also in namespaces, and classes' methods.
+
+    Functions that are values of constants are nodes only where something refers to them (`implied`).
+    """
     nodes, references = [], []
-    line = lambda at: text.count("\n", 0, at) + 1
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_right(breaks, at - 1) + 1
+    imports = _imports(text, path)
+
+    def called(kind: str, name: str, node: Node) -> None:
+        references.extend(("CALLS", kind, name, "Function", *call) for call in _calls(text, node, line(node.start), imports))
 
-    def declared(node: Node, exported: bool) -> None:
+    for node, exported in _declarations(text, Parser(text, typed).statements()):
         header = _header(text, node)
         if node.kind in ("class_declaration", "abstract_class_declaration") and node.name:
             members = [m for m in node.body or [] if m.kind != "comment"]
-            nodes.append(("Class", node.name, line(node.start), exported, node.kind.startswith("abstract"), None, None, len(members), None, None))
+            nodes.append(("Class", node.name, line(node.start), exported, node.kind.startswith("abstract"), None, None, len(members), None, None, False))
             if m := re.search(r"\bextends\s+([\w$.]+)", header):
-                references.append(("INHERITS", "Class", node.name, "Class", m[1], None))
+                references.append(("INHERITS", "Class", node.name, "Class", m[1], None, None, None))
             if m := re.search(r"\bimplements\s+(.+)$", header, re.S):
-                references.extend(("IMPLEMENTS", "Class", node.name, "Interface", i, None) for i in _commas(m[1]))
+                references.extend(("IMPLEMENTS", "Class", node.name, "Interface", i, None, None, None) for i in _commas(m[1]))
             for m in members:
                 if m.kind != "method_definition" or not m.name:
                     continue
                 own = _header(text, m)
                 if m.name != "constructor":
                     before = own[: own.find(m.name)]
-                    nodes.append(("Method", m.name, line(m.start), None, None, "async" in before, "static" in before, None, _parameters(own), None))
-                    references.append(("DEFINED_IN", "Method", m.name, "Class", node.name, None))
-                caller = ("Class", node.name) if m.name == "constructor" else ("Method", m.name)
-                references.extend(("CALLS", *caller, "Function", called, at) for called, at in _calls(text, m, line(m.start)))
+                    nodes.append(("Method", m.name, line(m.start), None, None, "async" in before, "static" in before, None, _parameters(own), None, False))
+                    references.append(("DEFINED_IN", "Method", m.name, "Class", node.name, None, None, None))
+                called(*(("Class", node.name) if m.name == "constructor" else ("Method", m.name)), m)
         elif node.kind == "interface_declaration" and (m := re.search(r"\binterface\s+([\w$]+)", header)):
             inside = Parser(text[node.start + len(header) : node.end], True).class_body()
-            nodes.append(("Interface", m[1], line(node.start), exported, None, None, None, None, None, sum(n.kind == "public_field_definition" for n in inside)))
+            nodes.append(("Interface", m[1], line(node.start), exported, None, None, None, None, None, sum(n.kind == "public_field_definition" for n in inside), False))
             if e := re.search(r"\bextends\s+(.+)$", header, re.S):
-                references.extend(("INHERITS", "Interface", m[1], "Interface", i, None) for i in _commas(e[1]))
+                references.extend(("INHERITS", "Interface", m[1], "Interface", i, None, None, None) for i in _commas(e[1]))
         elif node.kind in ("function_declaration", "generator_function_declaration") and node.name:
-            nodes.append(("Function", node.name, line(node.start), exported, None, header.lstrip().startswith("async"), None, None, _parameters(header), None))
-            references.extend(("CALLS", "Function", node.name, "Function", called, at) for called, at in _calls(text, node, line(node.start)))
-
-    for top in Parser(text, typed).statements():
-        exported = text.startswith("export", top.start)
-        for node in [top, *top.children] if top.kind == "statement" else [top]:
-            declared(node, exported)
+            nodes.append(("Function", node.name, line(node.start), exported, None, header.lstrip().startswith("async"), None, None, _parameters(header), None, False))
+            called("Function", node.name, node)
+        elif node.kind == "lexical_declaration" and (m := _FUNCTION_VALUE.match(text, node.start, node.end)):
+            nodes.append(("Function", m[1], line(node.start), exported, None, bool(m[2]), None, None, _parameters(m[0]), None, True))
     return nodes, references
 
 
-def build(files: DataFrame) -> Graph:
-    """Nodes and edges of a corpus (`relative_path`, `content`). JSON files have no node; other kinds than sources are Config."""
-    path = posix(F.col("relative_path"))
-    rows = files.where(ext_of(path) != ".json").select(path.alias("filePath"), "content", ext_of(path).alias("ext"))
+def parsed(files: DataFrame) -> DataFrame:
+    """Nodes, references and `error` of every source file (`filePath`, `content`, `ext`), read once and staged."""
     known = {e: registry()[e].name == TYPESCRIPT.name for e in PARSED}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [[c.split(" ")[0] for c in s.split(", ")] for s in (NODES, REFERENCES)]
         for batch in batches:
             out: tuple[list, list] = ([], [])
-            for content, ext in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+            errors: list[str | None] = []
+            for path, content, ext in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
-                    found = extract(content or "", known[ext])
-                except (RecursionError, ValueError, IndexError, AttributeError):  # a text that can't be read declares nothing
+                    found = extract(content or "", known[ext], path)
+                    errors.append(None)
+                except (RecursionError, ValueError, IndexError, AttributeError) as e:  # a text that can't be read declares nothing
                     found = ([], [])
+                    errors.append(f"{type(e).__name__}: {e}")
                 for held, fields, made in zip(out, names, found, strict=True):
                     held.append([dict(zip(fields, row, strict=True)) for row in made])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], kinds[0]), pa.array(out[1], kinds[1])], names=["filePath", "nodes", "refs"])
+            columns = [batch.column(0), pa.array(out[0], kinds[0]), pa.array(out[1], kinds[1]), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["filePath", "nodes", "refs", "error"])
 
-    kinds = [pa.list_(pa.struct([(c.split(" ")[0], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split(" ")[1]]) for c in s.split(", ")])) for s in (NODES, REFERENCES)]
+    arrow = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    kinds = [pa.list_(pa.struct([(c.split(" ")[0], arrow[c.split(" ")[1]]) for c in s.split(", ")])) for s in (NODES, REFERENCES)]
     struct = lambda s: f"array<struct<{', '.join(c.replace(' ', ': ') for c in s.split(', '))}>>"
-    read = rows.where(F.col("ext").isin(*PARSED)).mapInArrow(run, f"filePath string, nodes {struct(NODES)}, refs {struct(REFERENCES)}")
+    schema = f"filePath string, nodes {struct(NODES)}, refs {struct(REFERENCES)}, error string"
+    return staged(files.where(F.col("ext").isin(*PARSED)).select("filePath", "content", "ext").mapInArrow(run, schema), "parsed")
+
+
+def build(files: DataFrame, rejects: str | None = None) -> Graph:
+    """Nodes and edges of a corpus (`relative_path`, `content`). JSON files have no node; other kinds than sources are Config.
+
+    Source files that can't be read declare nothing; with `rejects`, they are written there with their errors.
+    """
+    path = posix(F.col("relative_path"))
+    rows = files.where(ext_of(path) != ".json").select(path.alias("filePath"), "content", ext_of(path).alias("ext"))
+    read = parsed(rows)
+    if rejects is not None:
+        read.where("error IS NOT NULL").select("filePath", "error").write.mode("overwrite").parquet(rejects)
     name = name_of(F.col("filePath"))
     kind = F.when(F.col("ext").isin(*FILE_KINDS), "File").otherwise("Config")
     own = rows.select(node_id(kind, name, F.col("filePath")).alias("id"), "filePath", kind.alias("type"), name.alias("name"), F.lit(0).alias("line"))
@@ -144,18 +209,30 @@ def build(files: DataFrame) -> Graph:
     declared = first_rows(declared, ["id"], ["line"])  # equal names of one kind in a file are one node
     references = read.select("filePath", F.posexplode("refs").alias("at", "r")).select("filePath", "at", "r.*")
 
-    here = declared.where("type IN ('Function', 'Method')").groupBy(F.col("filePath").alias("_f"), F.col("name").alias("_n")).agg(F.min("id").alias("local"))
-    calls = references.where("edge = 'CALLS'").join(here, (F.col("filePath") == F.col("_f")) & (F.col("target") == F.col("_n")), "left").select("filePath", "at", "edge", "source_type", "source", "target_type", "target", "callLine", F.col("local").alias("found"))
-    named = declared.select(F.col("type").alias("_t"), F.col("name").alias("_n"), F.col("filePath").alias("_f"), F.col("id").alias("_id"))
-    others = references.where("edge <> 'CALLS'").join(named, (F.col("target_type") == F.col("_t")) & (F.col("target") == F.col("_n")), "left")
+    functions = declared.where("type IN ('Function', 'Method')")
+    here = functions.groupBy(F.col("filePath").alias("_f"), F.col("name").alias("_n")).agg(F.min("id").alias("local"))
+    bare = F.regexp_replace("filePath", r"(\.d)?\.(ts|tsx|js|jsx|mjs)$", "")
+    stems = F.explode(F.array_distinct(F.array(bare, F.regexp_replace(bare, "/index$", ""))))
+    there = functions.where("type = 'Function'").select("id", "name", stems.alias("_s")).groupBy("_s", F.col("name").alias("_i")).agg(F.min("id").alias("far"))
     keys = ["filePath", "at", "edge", "source_type", "source", "target_type", "target", "callLine"]
-    near = F.struct((F.col("_f") != F.col("filePath")).alias("far"), F.col("_f").alias("f"))
-    others = others.groupBy(*keys).agg(F.min_by("_id", near).alias("found"))
-    resolved = calls.unionByName(others)
+    calls = references.where("edge = 'CALLS'").join(here, (F.col("filePath") == F.col("_f")) & (F.col("target") == F.col("_n")), "left")
+    calls = calls.join(there, (F.col("stem") == F.col("_s")) & (F.col("imported") == F.col("_i")), "left").select(*keys, F.coalesce("local", "far").alias("found"))
+    # the file's own declaration has an id that follows from its name; of others, the first by path is worked out per name, so that a name
+    # which many files declare meets no more rows than any other
+    ids = declared.select(F.col("id").alias("_id"))
+    named = declared.groupBy(F.col("type").alias("_t"), F.col("name").alias("_n")).agg(F.min_by("id", "filePath").alias("far"))
+    others = references.where("edge <> 'CALLS'")
+    others = others.join(ids, node_id(F.col("target_type"), F.col("target"), F.col("filePath")) == F.col("_id"), "left")
+    others = others.join(named, (F.col("target_type") == F.col("_t")) & (F.col("target") == F.col("_n")), "left").select(*keys, F.coalesce("_id", "far").alias("found"))
+    resolved = staged(calls.unionByName(others), "resolved")
     target = F.coalesce("found", node_id(F.col("target_type"), F.col("target"), F.lit(UNRESOLVED)))
     phantoms = resolved.where("found IS NULL").select(target.alias("id"), F.lit(UNRESOLVED).alias("filePath"), F.col("target_type").alias("type"), F.col("target").alias("name"), F.lit(0).alias("line"), F.lit(True).alias("unresolved")).distinct()
     source = node_id(F.col("source_type"), F.col("source"), F.col("filePath"))
     identity = F.concat(F.lit("e_"), F.substring(F.sha2(F.concat_ws("\x1f", "filePath", F.col("at").cast("string")), 256), 1, 16))
-    edges = resolved.select(identity.alias("id"), source.alias("source"), target.alias("target"), F.col("edge").alias("type"), "callLine", F.lit(None).cast("int").alias("refLine"))
-    nodes = own.unionByName(declared, allowMissingColumns=True).unionByName(phantoms, allowMissingColumns=True)
+    edges = staged(resolved.select(identity.alias("id"), source.alias("source"), target.alias("target"), F.col("edge").alias("type"), "callLine", F.lit(None).cast("int").alias("refLine")), "edges")
+    asked = resolved.select(F.col("found").alias("id")).where("id IS NOT NULL").distinct()
+    kept = declared.where("NOT implied").unionByName(declared.where("implied").join(asked, "id", "left_semi")).drop("implied")
+    nodes = staged(own.unionByName(kept, allowMissingColumns=True).unionByName(phantoms, allowMissingColumns=True), "nodes")
+    for done in (read, resolved):
+        unstage(done)
     return Graph(nodes, edges)

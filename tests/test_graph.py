@@ -194,3 +194,51 @@ def test_fallback(spark):
         ("CALLS", "draw", "helper::p/a.ts", 6), ("CALLS", "draw", "draw::p/a.ts", 7), ("CALLS", "helper", "other::unresolved.file", 12), ("INHERITS", "P", "Q::p/b.ts", None),
     }
     assert graph.resolved(g).count() == len(edges)
+
+
+def test_fallback_across_files(spark, tmp_path):
+    """Calls of what other files export, under other names too; calls of packages are left out; namespaces and function values."""
+    from siltstone.operators import fallback
+
+    a = (
+        "import { helper as h, type T } from './lib/util';\nimport * as tools from '../q/tools.js';\nimport lodash from 'lodash';\nimport { join } from 'path';\n"
+        "export function run(x) {\n  h(x);\n  tools.sharpen(x);\n  lodash.map(x);\n  join(x);\n  arrow(x);\n  gone(x);\n  x.other();\n}\nconst arrow = async (y: number) => y;\nconst unused = (z) => z;\n"
+        "export namespace Inner {\n  export function deep() {\n    run(1);\n  }\n}\n"
+    )
+    files = {"p/a.ts": a, "p/lib/util/index.ts": "export function helper(a) {}\n", "q/tools.ts": "export function sharpen(a, b) {}\n", "p/other.ts": "export function helper() {}\n"}
+    frame = spark.createDataFrame(list(files.items()), "relative_path string, content string")
+    g = fallback.build(frame, str(tmp_path / "rejects"))
+    edges = {(r["source"], r["target"], r["callLine"]) for r in g.edges.where("type = 'CALLS'").collect()}
+    run = "Function::run::p/a.ts"
+    assert edges == {
+        (run, "Function::helper::p/lib/util/index.ts", 6), (run, "Function::sharpen::q/tools.ts", 7), (run, "Function::arrow::p/a.ts", 10),
+        (run, "Function::gone::unresolved.file", 11), (run, "Function::other::unresolved.file", 12), ("Function::deep::p/a.ts", run, 18),
+    }
+    nodes = {r["id"]: r for r in g.nodes.collect()}
+    assert "Function::unused::p/a.ts" not in nodes and nodes["Function::arrow::p/a.ts"]["isAsync"] and nodes["Function::arrow::p/a.ts"]["line"] == 14
+    assert nodes["Function::deep::p/a.ts"]["isExported"] and spark.read.parquet(str(tmp_path / "rejects")).count() == 0
+
+
+def test_fallback_reads_sources_once(spark, tmp_path, monkeypatch):
+    """One pass over the texts, whatever the graph is asked; files that can't be read are told."""
+    from siltstone.operators import fallback
+
+    frame = spark.createDataFrame([("p/a.ts", "function f() { g(); }\n")] * 1, "relative_path string, content string")
+    g = fallback.build(frame)
+    plan = graph.resolved(g)._jdf.queryExecution().executedPlan().toString() + g.nodes._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    deep = "f(" * 20_000
+    fallback.build(spark.createDataFrame([("p/deep.ts", deep), ("p/ok.ts", "class A {}")], "relative_path string, content string"), str(tmp_path / "r"))
+    assert [(r["filePath"], r["error"][:14]) for r in spark.read.parquet(str(tmp_path / "r")).collect()] == [("p/deep.ts", "RecursionError")]
+
+
+def test_fallback_names_of_many(spark):
+    """A base that its own file declares, one that others declare, first by path, and a name that every file has."""
+    from siltstone.operators import fallback
+
+    files = [(f"p/f{i}.ts", "class C {\n  m() {}\n}\nclass D extends C {}\n" + ("class Far {}\n" if i in (3, 7) else "class E extends Far {}\n" if i == 5 else "")) for i in range(40)]
+    g = fallback.build(spark.createDataFrame(files, "relative_path string, content string"))
+    edges = {(r["type"], r["source"], r["target"]) for r in g.edges.collect()}
+    assert edges == {("DEFINED_IN", f"Method::m::p/f{i}.ts", f"Class::C::p/f{i}.ts") for i in range(40)} | {("INHERITS", f"Class::D::p/f{i}.ts", f"Class::C::p/f{i}.ts") for i in range(40)} | {
+        ("INHERITS", "Class::E::p/f5.ts", "Class::Far::p/f3.ts")
+    }
