@@ -229,11 +229,11 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(known, "#(?=[0-9])", "_").alias("symbol"))
 
 
-SUFFIXES = ("Alpha#", "Alpha#run().", "run().", "Alpha#Beta#go(+1).", "value.", "Alpha#value.", "run().(x)", "Alpha#`odd name`().")
+SUFFIXES = ("Alpha#", "Alpha#run().", "run().", "Alpha#Beta#go(+1).", "value.", "Alpha#value.", "run().(x)", "Alpha#`odd name`().", "Alpha#[T]", "Alpha#`a``b`().")
 SYMBOL_CTE = """
 sy AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'local ' || p_partkey ELSE regexp_replace('scip-typescript npm ' || p_brand, '#([0-9])', '_\\1', 'g')
-  || ' 1.0 src/`f' || p_partkey || '.ts`/' || (['Alpha#', 'Alpha#run().', 'run().', 'Alpha#Beta#go(+1).', 'value.', 'Alpha#value.', 'run().(x)', 'Alpha#`odd name`().'])[p_partkey % 8 + 1]
-  END AS symbol, p_partkey % 8 AS k FROM part)"""
+  || ' 1.0 src/`f' || p_partkey || '.ts`/' || (['Alpha#', 'Alpha#run().', 'run().', 'Alpha#Beta#go(+1).', 'value.', 'Alpha#value.', 'run().(x)', 'Alpha#`odd name`().', 'Alpha#[T]', 'Alpha#`a``b`().'])
+    [p_partkey % 10 + 1] END AS symbol, p_partkey % 10 AS k FROM part)"""
 
 
 def symbol_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,9 +413,9 @@ def oracle_sql() -> dict[str, str]:
         "file_children": f"""WITH {GRAPH_CTE} SELECT f.filePath, count(c.id) AS children FROM nodes f LEFT JOIN nodes c ON c.filePath = f.filePath AND c.type <> 'File'
             WHERE f.type = 'File' GROUP BY 1""",
         "symbol_parse": f"""WITH {SYMBOL_CTE} SELECT p_partkey, symbol, symbol NOT LIKE 'local %' AS valid,
-            CASE WHEN symbol LIKE 'local %' THEN NULL ELSE (['TYPE', 'METHOD', 'FUNCTION', 'METHOD', 'term', 'term', 'param', 'METHOD'])[k + 1] END AS kind,
-            CASE WHEN symbol LIKE 'local %' THEN NULL ELSE (['Alpha', 'run', 'run', 'go', 'value', 'value', 'x', 'odd name'])[k + 1] END AS name,
-            CASE WHEN symbol LIKE 'local %' OR k NOT IN (1, 3, 7) THEN NULL WHEN k = 1 THEN replace(symbol, 'run().', '') WHEN k = 3 THEN replace(symbol, 'go(+1).', '')
+            CASE WHEN symbol LIKE 'local %' THEN NULL ELSE (['TYPE', 'METHOD', 'FUNCTION', 'METHOD', 'term', 'term', 'param', 'METHOD', 'type_param', 'METHOD'])[k + 1] END AS kind,
+            CASE WHEN symbol LIKE 'local %' THEN NULL ELSE (['Alpha', 'run', 'run', 'go', 'value', 'value', 'x', 'odd name', 'T', 'a`b'])[k + 1] END AS name,
+            CASE WHEN symbol LIKE 'local %' OR k NOT IN (1, 3, 7, 9) THEN NULL WHEN k = 9 THEN replace(symbol, '`a``b`().', '') WHEN k = 1 THEN replace(symbol, 'run().', '') WHEN k = 3 THEN replace(symbol, 'go(+1).', '')
               ELSE replace(symbol, '`odd name`().', '') END AS owner FROM sy""",
         "innermost_container": """WITH ev AS (SELECT event_id, user_id, event_type, epoch(ts)::BIGINT AS s FROM events),
             op AS (SELECT user_id, event_id AS id, s // 60 AS sl, s // 60 + 1440 * (1 + event_id % 7) AS el FROM ev WHERE event_type = 'signup'),

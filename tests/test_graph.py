@@ -54,6 +54,9 @@ def test_symbols(spark):
         SHAPE: (True, "TYPE", "Shape", None), DRAW: (True, "METHOD", "draw", SHAPE), RUN: (True, "FUNCTION", "run", None), P + "value.": (True, "term", "value", None),
         P + "Shape#`odd. name`().": (True, "METHOD", "odd. name", SHAPE), P + "run().(x)": (True, "param", "x", None), "local 4": (False, None, None, None),
         "a b c": (False, None, None, None), "": (False, None, None, None), "s m p v dir/": (True, "namespace", "dir", None),
+        P + "Shape#[T]": (True, "type_param", "T", None), P + "Shape#`a``b`(+2).": (True, "METHOD", "a`b", SHAPE), P + "Shape#Inner#go().": (True, "METHOD", "go", P + "Shape#Inner#"),
+        "two  words npm @a/b 1.0 x!": (True, "macro", "x", None), "s m p v": (False, None, None, None), "s m p v x": (False, None, None, None), "s m p v `x": (False, None, None, None),
+        "s m p v `a#b`/run().": (True, "FUNCTION", "run", None), "s m p v größe:": (True, "meta", "größe", None), P + "Shape#f(a b).": (False, None, None, None),
     }
     rows = spark.createDataFrame([(c,) for c in cases], "s string").select("s", symbols.parsed_symbol(F.col("s")).alias("p")).collect()
     assert {r["s"]: tuple(r["p"]) for r in rows} == cases
