@@ -1,15 +1,14 @@
-"""Helpers that the corpus operators share: words, folds, shared staging and guards for odd inputs."""
+"""Helpers that the corpus operators share: words, folds, staging and samples of labels."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import shared_dir, staged, staged_folder, unstage  # noqa: F401
+
 #: A word is a longest run of characters other than the six ASCII blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD_PATTERN)
@@ -55,48 +54,6 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one in local mode only."""
-    sc = spark.sparkContext
-    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if known is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
-        known = tempfile.mkdtemp(prefix="shared-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(known)
-    return known
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = staged_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def staged_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the program ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def unstage(df: DataFrame) -> None:
-    """Drop the files of a staged frame that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def sampled_labels(labels: DataFrame, key: str, label: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
     """At most about `per_class` keys of each label 0 and 1, picked by key hash, and the rates they were picked at.
 

@@ -126,8 +126,8 @@ def _signed(bands: int, rows: int):
                 sizes.append(len(s))
                 prints.append(_print(words) if words else None)
                 banded.append(band_hashes(signature(s, bands * rows), bands, rows) if words else None)
-            arrays = [batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(banded, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "print", "n_shingles", "bands"])
+            arrays = [batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(banded, pa.list_(pa.int64())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "print", "n_shingles", "bands", "row"])
 
     return run
 
@@ -265,18 +265,19 @@ def _across_blocks(banded: DataFrame, sets: DataFrame, open_labels: DataFrame, p
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """One row per document: `n_shingles`, `component_id` (smallest key reachable over links), `kept`.
+    """One row per document: `n_shingles`, `component_id` (smallest key reachable over links), `kept`, `row`.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct 5-word shingles
     (A-Z lower-cased; with fewer words, the whole sequence as one shingle). A link at the threshold is missed
     with a probability below MISS (4e-5 at 85, 3e-6 at 80), one above it far more rarely. Null, empty and blank texts have
     no shingle and stay alone. Rows with the same key and text are one document, each returned; ties don't arise. Rows
     without a key are documents too, whose component is named by the smallest key among them, null if they have none.
-    Other columns are dropped, whatever their names.
+    Other columns are dropped, whatever their names. `row` is xxhash64 of key and text: it tells rows of one key apart.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = staged(rows.mapInArrow(_signed(*banding(percent)), "id long, print binary, n_shingles long, bands array<long>"), "signed")
-    own = signed.where(F.col("print").isNotNull()).select("id", "print", "n_shingles")
+    hashed = rows.withColumn("row", F.xxhash64("id", "text"))
+    signed = staged(hashed.mapInArrow(_signed(*banding(percent)), "id long, print binary, n_shingles long, bands array<long>, row long"), "signed")
+    own = signed.where(F.col("print").isNotNull()).select("id", "print", "n_shingles", "row")
     nodes = own.groupBy("print").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -312,9 +313,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     least = settled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = settled.join(least, "label").select("print", "component_id")
     # texts without words have no print: they go around the join, where all of them would have the same key
-    worded = own.join(named, "print").select("id", "n_shingles", "component_id")
-    out = worded.unionByName(signed.where(F.col("print").isNull()).select("id", "n_shingles", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    worded = own.join(named, "print").select("id", "n_shingles", "component_id", "row")
+    out = worded.unionByName(signed.where(F.col("print").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"), "row"))
+    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "row")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:

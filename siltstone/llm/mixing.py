@@ -166,6 +166,8 @@ def mix(
         "source", F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("docs") / GROUP_ROWS)).alias("group"), "id", "size", "source_size", "target",
         F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"),
     )
+    for done in (histogram, sources):
+        unstage(done)
     dealt = rated.repartition("source", "group").sortWithinPartitions("source", "group", F.desc("size"), "id")
     kind = dealt.schema["id"].dataType.simpleString()
     out = dealt.mapInArrow(_rounded(cap), f"source string, id {kind}, size long, source_size long, target double, rate double, copies long")

@@ -107,10 +107,11 @@ def pack(
     `cluster` names a document's duplicate cluster; by default documents with the same text up to case are one.
     Only keys, word counts, sources and cluster hashes move. Documents without a word (null, empty, blank texts)
     have one row with no words and a null bin. Rows that repeat are documents of one cluster, so they land in
-    different bins. Ties in size go by key. A null source is a source of its own. Other columns are dropped.
+    different bins. Ties in size go by key. Keys are longs; what isn't one counts as null. A null source is a source of its own.
+    Other columns are dropped, whatever their names.
     """
     cluster = F.xxhash64(F.lower(F.col(text))) if cluster is None else cluster
-    sized = docs.select(F.col(key).alias("id"), word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"), cluster.cast("long").alias("cluster"))
+    sized = docs.select(F.col(key).cast("long").alias("id"), word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"), cluster.cast("long").alias("cluster"))
     sized = staged(sized, "sized")
     shards = max(1, -(-sized.where(F.col("size") > 0).count() // shard_docs))
     shard = F.pmod(F.xxhash64("id", "size", F.lit("shard")), F.lit(shards))

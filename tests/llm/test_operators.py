@@ -862,5 +862,37 @@ def test_pipeline_keeps_long_texts(spark):
     assert [(r["doc_id"], r["text"] == long) for r in kept.collect()] == [(1, True)]
 
 
+def test_pipeline_odd(spark, odd, empty):
+    """Every stage on odd rows, on none, and with one doc_id on two texts."""
+    import corpus_pipeline as p
+
+    plain = odd.select(*[c.split(" ")[0] for c in DOCS.split(", ")])
+    for name, stage in p.STAGES:
+        got = stage(spark, plain, "")
+        assert name == "best_fit_packing" or got.columns == plain.columns
+        rows = got.collect()
+        assert stage(spark, empty, "").count() == 0
+        if name == "line_dedup":
+            assert len(rows) == len(ODD)
+        if name == "near_dedup":
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == sorted((k is None, k or 0) for k in (1, 2, 3, 4, 5, 6, 8, None))
+        if name == "source_mix":
+            assert {r["doc_id"] for r in rows} <= {4, 5, 6, 7, 8, None} and max(Counter(r["doc_id"] for r in rows if r["doc_id"] != 4).values()) <= 2
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    twice = spark.createDataFrame([(1, one, "en", "s", 1), (5, one, "en", "s", 1), (5, two, "en", "s", 1), (5, two, "en", "s", 1)], DOCS)
+    assert sorted((r["doc_id"], r["text"][0]) for r in p.near_dedup(spark, twice, "").collect()) == [(1, "a"), (5, "b")]
+    sizes = spark.createDataFrame([(5, "w " * n, "en", s, 1) for n, s in ((900, "a"), (30, "a"), (40, "a"), (2000, "b"))], DOCS)
+    copies = {r["_own"]: r["copies"] for r in mixing.mix(sizes.withColumn("_own", F.xxhash64("doc_id", "text", "source")), key="_own").collect()}
+    want = Counter({r["text"]: copies[r["_own"]] for r in sizes.withColumn("_own", F.xxhash64("doc_id", "text", "source")).collect()})
+    assert Counter(r["text"] for r in p.source_mix(spark, sizes, "").collect()) == +want
+
+
+def test_pipeline_keeps_short_clean_texts(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "A short but clean text of some words.", "en", "a", 1), (2, "too few words", "en", "a", 1), (3, "# " * 30, "en", "a", 1)]
+    assert [r["doc_id"] for r in p.quality_rules(spark, spark.createDataFrame(rows, DOCS), "").collect()] == [1]
+
+
 def test_shared_folder(spark):
     assert common.shared_dir(spark).startswith(("file:", "/")) and spark.sparkContext.getCheckpointDir() is not None
