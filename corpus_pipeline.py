@@ -28,26 +28,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sources share; `n_chars` follows the text."""
+    """All documents, without the lines that many sources share; `n_chars` follows the text.
+
+    Null and empty texts stay as they are, and repeated rows are cut alike. A text that was boilerplate alone is empty after it.
+    """
     cut = lines.remove_boilerplate(docs)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group; rows that repeat stay once."""
-    stays = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The document with the smallest doc_id of each near-duplicate group; rows that repeat stay once.
+
+    Rows of one doc_id with different texts are decided by their own text each. Null and empty texts, and rows without a
+    doc_id, are no group: they stay.
+    """
+    stays = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select(F.col("row").alias("_row")).distinct()
+    rows = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    return rows.join(stays, F.col("_own") == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"]).drop("_own")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to twice; documents without a word go."""
-    taken = mixing.mix(docs).where(F.col("copies") > 0).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Each document as often as the mix takes it, up to twice; documents without a word go.
+
+    Rows of one doc_id with different texts are taken each by its own number; rows that repeat as a whole by the largest of theirs.
+    """
+    keyed = docs.withColumn("_own", F.xxhash64("doc_id", "text", "source"))
+    taken = mixing.mix(keyed, key="_own").where(F.col("copies") > 0).groupBy(F.col("_own").alias("_row")).agg(F.max("copies").alias("_copies"))
+    mixed = keyed.join(taken, F.col("_own") == F.col("_row"))
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in bins of 4096 words."""
+    """Pieces of all documents in bins of 4096 words. Documents without a word have a row without a bin; equal texts share none."""
     return packing.pack(docs)
 
 
