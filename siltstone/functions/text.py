@@ -78,6 +78,6 @@ def kib(size: Column) -> Column:
     return size / F.lit(1024.0)
 
 
-def prefixed_query(question: Column, prefix: str) -> Column:
+def prefixed_query(question: str, prefix: str) -> str:
     """Embedding models that want it get an instruction before queries, never before documents."""
-    return F.concat(F.lit(prefix), question)
+    return prefix + question

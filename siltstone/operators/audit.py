@@ -67,9 +67,14 @@ def kept(audit: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
     return audit.where((F.col("score") >= min_score) | F.col("relative_path").endswith("README.md"))
 
 
-def ranked(audit: DataFrame) -> DataFrame:
-    """Best first, then by path."""
-    return audit.orderBy(F.desc("score"), "relative_path")
+#: Rows that the report and the view of a manifest show.
+REPORT_ROWS, VIEW_ROWS = 20, 30
+
+
+def ranked(audit: DataFrame, n: int | None = None) -> DataFrame:
+    """Best first, then by path; the first n only if a number is given."""
+    best = audit.orderBy(F.desc("score"), "relative_path")
+    return best if n is None else best.limit(n)
 
 
 def by_extension(audit: DataFrame) -> DataFrame:

@@ -89,8 +89,10 @@ def build_cards(files: DataFrame, nodes: DataFrame, summarise: Summarise = extra
 
 
 def pending(files: DataFrame, existing: DataFrame, by_content: bool = False) -> DataFrame:
-    """Files that have no card yet; with `by_content` also those whose content has changed."""
+    """Files that have no card yet; with `by_content` also those whose content has changed. A card without a vector is none."""
     keys = ["relative_path"]
+    if "embedding" in existing.columns:
+        existing = existing.where(F.col("embedding").isNotNull())
     if by_content:
         files = files.withColumn("content_hash", F.sha2("content", 256))
         keys.append("content_hash")
@@ -103,5 +105,8 @@ def preview(cards: DataFrame, n: int = PREVIEW) -> DataFrame:
 
 
 def write_cards(cards: DataFrame, path: str, resume: bool = False) -> None:
-    """A fresh store, or more cards to one that is there; `pending` tells which are missing."""
-    cards.write.mode("append" if resume else "overwrite").parquet(path)
+    """A fresh store, or more cards to one that is there; `pending` tells which are missing.
+
+    Cards whose embedding failed aren't stored, so that a resumed run makes them again.
+    """
+    cards.where(F.col("embedding").isNotNull()).write.mode("append" if resume else "overwrite").parquet(path)

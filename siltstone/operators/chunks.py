@@ -105,10 +105,14 @@ def chunk_documents(files: DataFrame, providers: tuple[LanguageProvider, ...] =
     """Documents to embed, of code and text files, and the rejects: files whose code couldn't be split, with the error.
 
     Columns: page_content, source_file, hierarchical_name, chunk_type, start_line, end_line, jsdoc_summary. Files of
-    other kinds give nothing.
+    other kinds give nothing. With a column `strict`, code and text files whose bytes weren't valid UTF-8 are rejects.
     """
+    broken = files.limit(0).select("relative_path", F.lit("").alias("error"))
+    if "strict" in files.columns:
+        broken = files.where(~F.col("strict") & classify(F.col("relative_path"), providers).isin("CODE", "TEXT")).select("relative_path", F.lit("UnicodeDecodeError: the bytes aren't valid UTF-8").alias("error"))
+        files = files.where("strict")
     atoms = code_chunks(files, providers)
-    rejects = atoms.where("error IS NOT NULL").select("relative_path", "error")
+    rejects = atoms.where("error IS NOT NULL").select("relative_path", "error").unionByName(broken)
     code = merge_table(atoms.where("error IS NULL").drop("error"), "relative_path")
     path = posix(F.col("relative_path"))
     coded = code.select(

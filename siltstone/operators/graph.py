@@ -110,6 +110,11 @@ def resolved(graph: Graph) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
+def file_nodes(graph: Graph) -> DataFrame:
+    """File nodes by path."""
+    return graph.nodes.where(F.col("type") == "File").orderBy("filePath")
+
+
 def statistics(graph: Graph, documents: int | None = None) -> DataFrame:
     """Counts of documents, nodes and edges in all and by type, as one row."""
     count = lambda kinds, what: [F.count_if(F.col("type") == k).alias(f"{what}_{k.lower()}") for k in kinds]

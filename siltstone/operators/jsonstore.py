@@ -17,9 +17,13 @@ def json_files(files: DataFrame) -> DataFrame:
 
 
 def store(files: DataFrame, order: str | None = None) -> DataFrame:
-    """Valid JSON files as `relative_path`, `content`, `score`, `size_kb`; of a path that repeats, the first in order."""
+    """Valid JSON files as `relative_path`, `content`, `score`, `size_kb`; of a path that repeats, the first in order.
+
+    Without an order of its own that is the manifest's: the best score first, then by content.
+    """
     valid = strict_json(json_files(files), "content").where("valid")
-    first = W.partitionBy("relative_path").orderBy(F.col(order) if order else F.lit(0))
+    best = [F.desc("score")] if "score" in files.columns else []
+    first = W.partitionBy("relative_path").orderBy(*([F.col(order)] if order else best), "content")
     rows = valid.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     score = F.col("score") if "score" in files.columns else F.lit(0)
     return rows.select("relative_path", "content", score.alias("score"), kib(F.col("size")).alias("size_kb"))

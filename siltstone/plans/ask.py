@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import bounded
+from ..functions.text import bounded, prefixed_query
 from ..functions.vectors import Provider, hashed_provider
 from ..operators import graph, jsonstore, search
 from .pipeline import Stores
@@ -29,7 +29,7 @@ class Lookups:
     memory: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
 
     def _vector(self, question: str) -> list[float]:
-        return self.provider([self.query_prefix + question])[0]
+        return self.provider([prefixed_query(question, self.query_prefix)])[0]
 
     def cards(self, question: str, k: int = CARD_RESULTS) -> list[tuple[str, str]]:
         """The closest file cards: (path, text)."""

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import logging
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.vectors import Provider, embed, hashed_provider
 from ..operators import audit, cards, chunks, fallback, gate, graph, jsonstore
 from ..sources import corpus, scip
-from ..sources.config import Settings
+from ..sources.config import Settings, load_settings, missing_keys, missing_modules
 
 STAGES = ("audit", "graph", "cards", "chunks", "json")
+log = logging.getLogger(__name__)
 BACKENDS = ("scip", "source")
 
 
@@ -25,9 +29,16 @@ class Stores:
     """Where the stores of a project lie."""
 
     root: str
-
-    def __getattr__(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    manifest = property(lambda self: f"{self.root}/manifest")
+    manifest_json = property(lambda self: f"{self.root}/manifest_json")
+    manifest_list = property(lambda self: f"{self.root}/manifest_list")
+    coverage = property(lambda self: f"{self.root}/coverage")
+    graph = property(lambda self: f"{self.root}/graph")
+    graph_rejects = property(lambda self: f"{self.root}/graph_rejects")
+    cards = property(lambda self: f"{self.root}/cards")
+    chunks = property(lambda self: f"{self.root}/chunks")
+    rejects = property(lambda self: f"{self.root}/rejects")
+    json = property(lambda self: f"{self.root}/json")
 
 
 def run_audit(files: DataFrame, stores: Stores, settings: Settings, override: bool = False, ask: Callable[[str], str] | None = None) -> DataFrame:
@@ -74,36 +85,91 @@ def run_chunks(files: DataFrame, manifest: DataFrame, stores: Stores, provider:
 
 
 def run_json(files: DataFrame, manifest: DataFrame, stores: Stores) -> DataFrame:
-    rows = manifest.select("relative_path", "score").join(files.select("relative_path", "content", "size"), "relative_path")
+    rows = manifest.select("relative_path", "score").join(files.select("relative_path", "content", "size", "strict"), "relative_path")
     jsonstore.write_store(jsonstore.store(rows), stores.json)
     return files.sparkSession.read.parquet(stores.json)
 
 
-def build(spark: SparkSession, settings: Settings, index_path: str | None = None, override: bool = False) -> Stores:
-    """All stages over a source tree. The graph comes from an index, or with the backend `source` from the texts themselves."""
+def run_source_graph(files: DataFrame, manifest: DataFrame, stores: Stores) -> graph.Graph:
+    """A graph from the texts themselves; sources that can't be read are told in a store of their own."""
+    made = fallback.build(corpus.with_content(manifest.select("relative_path"), files), stores.graph_rejects)
+    graph.write(graph.Graph(made.nodes, graph.resolved(made)), stores.graph)
+    return graph.read(files.sparkSession, stores.graph)
+
+
+def _checked(settings: Settings, index_path: str | None) -> None:
     if settings.graph_backend not in BACKENDS:
         raise ValueError(f"graph_backend is one of {', '.join(BACKENDS)}")
+    if settings.graph_backend == "scip" and not index_path:
+        raise ValueError("the backend scip needs an index; the backend source does without")
+
+
+def run_stage(spark: SparkSession, settings: Settings, stage: str, index_path: str | None = None, override: bool = False) -> DataFrame:
+    """One stage by name, on the stores that the stages before it left. Returns what it wrote, of the graph its nodes."""
+    if stage not in STAGES:
+        raise ValueError(f"{stage} isn't a stage: {', '.join(STAGES)}")
     stores = Stores(settings.store_root)
     files = corpus.scan(spark, settings.source_root, settings.project)
-    manifest = run_audit(files, stores, settings, override)
-    if settings.graph_backend == "scip" and index_path:
-        built = run_graph(spark, index_path, manifest, stores, settings)
-    else:
-        made = fallback.build(corpus.with_content(manifest.select("relative_path"), files))
-        graph.write(graph.Graph(made.nodes, graph.resolved(made)), stores.graph)
-        built = graph.read(spark, stores.graph)
-    run_cards(files, manifest, built.nodes, stores)
-    run_chunks(files, manifest, stores)
-    run_json(files, manifest, stores)
-    return stores
-
-
-def doctor(spark: SparkSession, stores: Stores) -> DataFrame:
-    """A row per store: pass and its rows, or fail."""
+    if stage == "audit":
+        return run_audit(files, stores, settings, override)
+    manifest = spark.read.parquet(stores.manifest)
+    if stage == "graph":
+        _checked(settings, index_path)
+        built = run_graph(spark, index_path, manifest, stores, settings) if settings.graph_backend == "scip" else run_source_graph(files, manifest, stores)
+        return built.nodes
+    if stage == "cards":
+        return run_cards(files, manifest, graph.read(spark, stores.graph).nodes, stores)
+    return run_chunks(files, manifest, stores) if stage == "chunks" else run_json(files, manifest, stores)
+
+
+def build(spark: SparkSession, settings: Settings, index_path: str | None = None, override: bool = False) -> Stores:
+    """All stages over a source tree. The graph comes from an index, or with the backend `source` from the texts themselves."""
+    _checked(settings, index_path)
+    for stage in STAGES:
+        run_stage(spark, settings, stage, index_path, override)
+    return Stores(settings.store_root)
+
+
+def doctor(spark: SparkSession, stores: Stores, settings_path: str | None = None) -> DataFrame:
+    """A row per check: `pass` and a store's rows, `warn` for an empty store or settings and modules that are missing, or `fail`."""
     rows = []
     for name in ("manifest", "graph/nodes", "graph/edges", "cards", "chunks", "json"):
         try:
-            rows.append((name, "pass", spark.read.parquet(f"{stores.root}/{name}").count()))
+            n = spark.read.parquet(f"{stores.root}/{name}").count()
+            rows.append((name, "pass" if n else "warn", n))
         except Exception:  # a missing or broken store is what this looks for
             rows.append((name, "fail", None))
+    if settings_path is not None:
+        for what, missing in (("settings", missing_keys(settings_path)), ("modules", missing_modules())):
+            rows.append((f"{what}: {', '.join(missing) or 'all there'}", "warn" if missing else "pass", len(missing)))
     return spark.createDataFrame(rows, "store string, status string, rows long")
+
+
+def tallies(checks: DataFrame) -> DataFrame:
+    """How many checks passed, warned and failed."""
+    return checks.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def main(args: list[str]) -> int:
+    """`settings.ini STAGE|all|doctor [index]`: 0, or 1 if a stage fails or a check does."""
+    from ..session import session
+
+    try:
+        settings, what, index = load_settings(args[0]), args[1], args[2] if len(args) > 2 else None
+        spark = session()
+        if what == "doctor":
+            found = doctor(spark, Stores(settings.store_root), args[0]).collect()
+            print("\n".join(f"{r['status']:<6}{r['store']} {'' if r['rows'] is None else r['rows']}" for r in found))
+            return int(any(r["status"] == "fail" for r in found))
+        if what == "all":
+            build(spark, settings, index)
+        else:
+            run_stage(spark, settings, what, index)
+        return 0
+    except Exception:  # whatever a stage raises is told, and the caller stops on the code
+        log.exception("failed: %s", " ".join(args))
+        return 1
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))

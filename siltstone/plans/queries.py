@@ -110,6 +110,18 @@ def ranked_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("relative_path", "score", "category", "language", "support_status", "size")
 
 
+def manifest_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.ranked(audit.kept(audit.audited(_files(spark, sf_dir))), audit.REPORT_ROWS).select("relative_path", "score")
+
+
+def manifest_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.ranked(audit.kept(audit.audited(_files(spark, sf_dir))), audit.VIEW_ROWS).select("relative_path", "score")
+
+
+def dir_top10_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.by_directory(audit.audited(_files(spark, sf_dir)))
+
+
 def ext_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.by_extension(audit.audited(_files(spark, sf_dir)))
 
@@ -211,6 +223,65 @@ def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "type", F.array_join("out", ",").alias("out"), F.array_join("into", ",").alias("into"))
 
 
+def file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.file_nodes(_graph(spark, sf_dir)).select("filePath", "name")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    """The graph of an index made of the sales tables: a document and class per customer, a method or function per order, references per line.
+
+    Some documents aren't in the manifest, some orders have no definition, places collide, and some symbols are local.
+    """
+    head = lambda key: F.concat(F.lit("scip-typescript npm shop 1.0 src/`c"), key, F.lit(".ts`/"))
+    class_of = lambda key: F.concat(head(key), F.lit("C"), key, F.lit("#"))
+    path_of = lambda key: F.concat(F.lit("src/c"), key, F.lit(".ts"))
+    ints = lambda *v: F.array(*[(F.lit(x) if isinstance(x, int) else x).cast("int") for x in v])
+    customers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ck"))
+    at = 10 * F.pmod("ok", F.lit(997)) + 1
+    called = F.when(F.pmod("ok", F.lit(11)) == 0, F.concat(head(F.col("ck")), F.lit("f"), "ok", F.lit("()."))).otherwise(F.concat(class_of(F.col("ck")), F.lit("o"), "ok", F.lit("().")))
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("ck")).withColumns({"at": at, "called": called})
+    row = lambda order, symbol, roles, where, around: [F.col("ck").cast("int").alias("doc"), order.cast("int").alias("ord"), path_of(F.col("ck")).alias("relative_path"), symbol.alias("symbol"), F.lit(roles).alias("roles"), where.alias("range"), around.alias("enclosing")]
+    none = F.lit(None).cast("array<int>")
+    classes = customers.select(*row(F.lit(0), class_of(F.col("ck")), 1, ints(0, 6, 10), ints(0, 0, 100_000, 1)))
+    place = F.when(F.pmod("ok", F.lit(2)) == 0, ints(F.col("at"), 2, F.col("at"), 8)).otherwise(ints(F.col("at"), 2, 8))
+    methods = orders.where(F.pmod("ok", F.lit(7)) != 0).select(*row(1 + F.col("ok"), F.col("called"), 1, place, ints(F.col("at"), 2, F.col("at") + 9, 3)))
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_suppkey").alias("sk"))
+    met = items.join(orders, "ok").join(orders.select(F.col("ok").alias("other"), F.col("called").alias("there")), F.col("ok") - F.col("n") == F.col("other"), "left")
+    target = F.when(F.col("n") == 5, F.lit("local 5")).when(F.col("n") > 5, class_of(F.col("sk"))).otherwise(F.col("there"))
+    references = met.select(*row(1_000_000 + 10 * F.col("ok") + F.col("n"), target, 0, ints(F.col("at") + F.col("n"), 4, 6), none)).where("symbol IS NOT NULL")
+    relations = customers.where(F.pmod("ck", F.lit(3)) < 2).select(
+        F.col("ck").cast("int").alias("doc"), F.lit(0).alias("ord"), path_of(F.col("ck")).alias("relative_path"), class_of(F.col("ck")).alias("source"), class_of(F.col("ck") + 1).alias("target"),
+        (F.pmod("ck", F.lit(3)) == 0).alias("is_implementation"),
+    )
+    manifest = customers.where(F.pmod("ck", F.lit(5)) != 0).select(F.concat(F.lit("shop/"), path_of(F.col("ck"))).alias("relative_path"))
+    return graph.build(classes.unionByName(methods).unionByName(references), relations, manifest, "shop")
+
+
+def index_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).nodes.select("id", "name", "filePath", F.col("line").cast("long").alias("line"), "type")
+
+
+def index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _index(spark, sf_dir).edges
+    return edges.select("source", "target", "type", F.col("callLine").cast("long").alias("callLine"), F.col("refLine").cast("long").alias("refLine"))
+
+
+INDEX_CTE = """
+cu AS (SELECT c_custkey AS ck, 'scip-typescript npm shop 1.0 src/`c' || c_custkey || '.ts`/' AS head FROM customer),
+cl AS (SELECT ck, head || 'C' || ck || '#' AS symbol FROM cu),
+od AS (SELECT o_orderkey AS ok, o_custkey AS ck, 10 * (o_orderkey % 997) + 1 AS sl, CASE WHEN o_orderkey % 11 = 0 THEN head || 'f' || o_orderkey || '().' ELSE head || 'C' || ck || '#o' || o_orderkey || '().' END AS symbol
+  FROM orders JOIN cu ON ck = o_custkey),
+df AS (
+  SELECT ck, symbol, 'TYPE' AS kind, 'C' || ck AS name, 0 AS ord, 0 AS sl, 0 AS sc, 100000 AS el, 1 AS ec FROM cl WHERE ck % 5 <> 0
+  UNION ALL SELECT ck, symbol, CASE WHEN ok % 11 = 0 THEN 'FUNCTION' ELSE 'METHOD' END, CASE WHEN ok % 11 = 0 THEN 'f' ELSE 'o' END || ok, 1 + ok, sl, 2, sl + 9, 3 FROM od WHERE ck % 5 <> 0 AND ok % 7 <> 0),
+rf AS (
+  SELECT o.ck, 1000000 + 10 * l_orderkey + l_linenumber AS ord, o.sl + l_linenumber AS line, CASE WHEN l_linenumber > 5 THEN c.symbol WHEN l_linenumber < 5 THEN t.symbol END AS target
+  FROM lineitem JOIN od o ON o.ok = l_orderkey LEFT JOIN od t ON t.ok = l_orderkey - l_linenumber LEFT JOIN cl c ON c.ck = l_suppkey WHERE o.ck % 5 <> 0),
+us AS (
+  SELECT d.symbol AS source, rf.target, k.kind, rf.line, row_number() OVER (PARTITION BY rf.ck, rf.ord, rf.line, rf.target, k.kind ORDER BY (d.el - d.sl) * 100000 + d.ec - d.sc, d.ord) AS n
+  FROM rf JOIN df k ON k.symbol = rf.target JOIN df d ON d.ck = rf.ck AND d.symbol <> rf.target AND (d.sl, d.sc) <= (rf.line, 4) AND (rf.line, 4) <= (d.el, d.ec))"""
+
+
 def node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).nodes.select("type").distinct()
 
@@ -306,7 +377,9 @@ def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.first_lines(F.col("text"), 5)).alias("digest"))
+    """Summary prompts for texts that are longer than a prompt takes, some of them."""
+    long = F.repeat(F.concat("text", F.lit("\n")), 40)
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.summary_prompt(F.concat(F.lit("p/"), "doc_id"), long)).alias("digest"))
 
 
 def parent_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +432,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         file_kinds, excluded_dirs, coverage_matrix, gate_blocking, gate_decision, indexed_languages, valid_files, audit_score, ranked_manifest, ext_stats, dir_top10,
         audit_totals, primary_language, cards_topk, chunks_topk_filtered, vector_preview, json_store, json_search, graph_nodes, graph_edges, graph_stats,
         graph_neighbours, node_types, file_children, symbol_parse, innermost_container, chunk_merge, text_split, doc_comment_clean, chunk_format, truncated, prompts,
-        parent_names, file_cards, cards_resume, text_search, code_chunks, source_graph,
+        parent_names, file_cards, cards_resume, text_search, code_chunks, source_graph, manifest_top20, manifest_top30, dir_top10_level1, file_nodes, index_nodes, index_edges,
     )
     return {f.__name__: f for f in own}
 
@@ -433,7 +506,20 @@ def oracle_sql() -> dict[str, str]:
             || '// Context: File: ' || relative_path || ' | Chunk: f > C' || doc_id || chr(10) || chr(10) || chr(10) || content) AS digest FROM files"""
         ),
         "truncated": "SELECT doc_id, md5(CASE WHEN length(text) > 700 THEN left(text, 700) || ' […]' ELSE text END) AS digest FROM documents",
-        "prompts": "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:5], chr(10))) AS digest FROM documents",
+        "prompts": """SELECT doc_id, md5('Describe what this file does and how it is built, for a reader who has not seen it.' || chr(10) || 'File: p/' || doc_id || chr(10) || chr(10) || '```' || chr(10)
+            || array_to_string(string_split(repeat(text || chr(10), 40), chr(10))[1:400], chr(10)) || chr(10) || '```' || chr(10) || chr(10) || 'Summary:') AS digest FROM documents""",
+        "manifest_top20": _sql("SELECT relative_path, score FROM manifest ORDER BY score DESC, relative_path LIMIT 20"),
+        "manifest_top30": _sql("SELECT relative_path, score FROM manifest ORDER BY score DESC, relative_path LIMIT 30"),
+        "dir_top10_level1": _sql("SELECT split_part(relative_path, '/', 1) AS dir, count(*) AS files FROM audit GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
+        "file_nodes": f"WITH {GRAPH_CTE} SELECT filePath, name FROM nodes WHERE type = 'File'",
+        "index_nodes": f"""WITH {INDEX_CTE}
+            SELECT 'File::c' || ck || '.ts::shop/src/c' || ck || '.ts' AS id, 'c' || ck || '.ts' AS name, 'shop/src/c' || ck || '.ts' AS "filePath", 0::BIGINT AS line, 'File' AS type FROM cl WHERE ck % 5 <> 0
+            UNION ALL SELECT symbol, name, 'shop/src/c' || ck || '.ts', sl + 1, CASE kind WHEN 'METHOD' THEN 'Method' WHEN 'FUNCTION' THEN 'Function'
+              ELSE CASE WHEN ck > 1 AND (ck - 1) % 3 = 0 AND (ck - 1) % 5 <> 0 THEN 'Interface' ELSE 'Class' END END FROM df""",
+        "index_edges": f"""WITH {INDEX_CTE}
+            SELECT d.symbol AS source, c.symbol AS target, 'DEFINED_IN' AS type, NULL::BIGINT AS "callLine", NULL::BIGINT AS "refLine" FROM df d JOIN cl c USING (ck) WHERE d.kind = 'METHOD'
+            UNION ALL SELECT a.symbol, b.symbol, 'IMPLEMENTS', NULL, NULL FROM df a JOIN df b ON b.ck = a.ck + 1 AND a.kind = 'TYPE' AND b.kind = 'TYPE' WHERE a.ck % 3 = 0
+            UNION ALL SELECT source, target, CASE WHEN kind = 'TYPE' THEN 'USES' ELSE 'CALLS' END, CASE WHEN kind <> 'TYPE' THEN line + 1 END, CASE WHEN kind = 'TYPE' THEN line + 1 END FROM us WHERE n = 1""",
         "parent_names": "SELECT n_nationkey, 'a.' || n_name AS parent, 'a' AS root FROM nation",
         "file_cards": f"""WITH {GRAPH_CTE} SELECT filePath, md5('# Card: ' || filePath || chr(10) || '## Purpose' || chr(10) || 'A nation.' || chr(10) || chr(10) || '## Classes (' || count(*) || ')'
             || chr(10) || string_agg('- **' || name || '**: 0 members', chr(10) ORDER BY name)) AS digest, count(*) AS classes FROM nodes WHERE type = 'Class' GROUP BY filePath""",

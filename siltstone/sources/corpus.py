@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.paths import posix
 
@@ -55,8 +54,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_content(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """A manifest's rows with their files' content; files that are gone drop out."""
-    return manifest.join(files.select("relative_path", "content"), "relative_path")
+    """A manifest's rows with their files' content, and whether its bytes were valid if that is known; files that are gone drop out."""
+    return manifest.join(files.select("relative_path", "content", *[c for c in ("strict",) if c in files.columns]), "relative_path")
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
@@ -74,20 +73,21 @@ def from_documents(docs: DataFrame) -> DataFrame:
 
 
 def strict_json(df: DataFrame, column: str) -> DataFrame:
-    """Add `valid`: whether a text is JSON as Python's parser takes it (NaN and repeated keys pass, trailing text doesn't)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        for batch in batches:
-            flags = []
-            for t in batch.column(batch.schema.get_field_index(column)).to_pylist():
-                try:
-                    json.loads(t)
-                    flags.append(True)
-                except (TypeError, ValueError, RecursionError):
-                    flags.append(False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags)], names=[*batch.schema.names, "valid"])
-
-    schema = T.StructType([*df.schema.fields, T.StructField("valid", T.BooleanType())])
-    return df.mapInArrow(run, schema)
+    """Add `valid`: whether a text is JSON as Python's parser takes it (NaN and repeated keys pass, trailing text doesn't).
+
+    With a column `strict`, texts whose bytes weren't valid UTF-8 aren't valid either.
+    """
+
+    @F.pandas_udf("boolean")
+    def parses(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> bool:
+            try:
+                json.loads(t)
+                return True
+            except (TypeError, ValueError, RecursionError):
+                return False
+
+        return texts.map(one).astype(bool)
+
+    strict = F.col("strict") if "strict" in df.columns else F.lit(True)
+    return df.withColumn("valid", parses(F.col(column)) & strict)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import symbols, vectors
 from siltstone.operators import cards, graph, search
 from siltstone.plans import ask, pipeline
-from siltstone.sources import scip
+from siltstone.sources import config, scip
 from siltstone.sources.config import Settings
 from siltstone.streaming import ingest
 
@@ -143,10 +143,59 @@ def test_stages(spark, tmp_path):
     assert "demo/package.json" in lookups.ask("what is in package.json", "t") and len(lookups.memory["t"]) == 2
     (root / "b.py").write_text("x = 1")
     with pytest.raises(pipeline.Refused):
-        pipeline.build(spark, settings)
+        pipeline.build(spark, settings, str(tmp_path / "index.scip"))
+    with pytest.raises(ValueError):
+        pipeline.build(spark, settings)  # a backend that needs an index doesn't turn into another
+    with pytest.raises(AttributeError):
+        stores.manifset  # noqa: B018
     assert pipeline.doctor(spark, pipeline.Stores(str(tmp_path / "none"))).where("status = 'fail'").count() == 6
 
 
+def test_stages_by_name(spark, tmp_path):
+    root = tree(tmp_path)
+    (root / "src/bad.ts").write_bytes(b"class B { \xff }\nexport const x = 1;\nimport a from 'a';\n/** d */\n" + b"\n" * 12)
+    (root / "bad.json").write_bytes(b'{"a": "\xff", "type ": "class function const let import "}')
+    path = tmp_path / "s.ini"
+    path.write_text(f"[DEFAULT]\nproject = demo\nsource_root = {root}\nstore_root = {tmp_path / 'stores'}\ngraph_backend = source\nmin_score = 0\n")
+    settings = pipeline.load_settings(str(path))
+    with pytest.raises(ValueError):
+        pipeline.run_stage(spark, settings, "nothing")
+    assert pipeline.main([str(path), "json"]) == 1  # no manifest yet
+    assert [pipeline.main([str(path), stage]) for stage in pipeline.STAGES] == [0] * 5
+    assert pipeline.main([str(path), "doctor"]) == 0 and pipeline.main([str(tmp_path / "none.ini"), "all"]) == 1
+    stores = pipeline.Stores(settings.store_root)
+    assert [r["relative_path"] for r in spark.read.parquet(stores.rejects).collect()] == ["demo/src/bad.ts"]
+    assert [r["relative_path"] for r in spark.read.parquet(stores.json).collect()] == ["demo/package.json"]
+    checks = pipeline.doctor(spark, stores, str(path))
+    assert {r["status"]: r["n"] for r in pipeline.tallies(checks).collect()} == {"pass": 7, "warn": 1}  # some settings are left at their defaults
+    assert config.missing_modules(("json", "no_such_module")) == ["no_such_module"] and "query_prefix" in config.missing_keys(str(path))
+
+
+def test_failed_embeddings_are_made_again(spark, tmp_path):
+    files = spark.createDataFrame([(f"f{i}", f"text {i}") for i in range(20)], "relative_path string, content string")
+    nodes = spark.createDataFrame([], "id string, name string, filePath string, line int, type string")
+
+    def broken(texts):
+        if any("f7" in t for t in texts):
+            raise OSError("no server")
+        return vectors.hashed_provider(texts)
+
+    store = str(tmp_path / "cards")
+    cards.write_cards(cards.build_cards(files.coalesce(1), nodes, provider=broken), store)
+    done = spark.read.parquet(store)
+    left = {r["relative_path"] for r in cards.pending(files, done).collect()}
+    assert "f7" in left and len(left) == vectors.BATCH and done.where("embedding IS NULL").count() == 0
+    cards.write_cards(cards.build_cards(cards.pending(files, done), nodes), store, resume=True)
+    assert spark.read.parquet(store).count() == 20 and cards.pending(files, cards.build_cards(files, nodes, provider=broken)).count() == vectors.BATCH
+
+
+def test_json_in_manifest_order(spark):
+    from siltstone.operators import jsonstore
+
+    rows = spark.createDataFrame([("a.json", "[2]", 1, 10), ("a.json", "[1]", 1, 10), ("a.json", "[9]", 3, 10), ("b.json", "{", 1, 10)], "relative_path string, content string, score int, size long")
+    assert [(r["content"], r["score"]) for r in jsonstore.store(rows).collect()] == [("[9]", 3)]
+
+
 def test_resume(spark):
     files = spark.createDataFrame([("a", "1"), ("b", "2")], "relative_path string, content string")
     nodes = spark.createDataFrame([], "id string, name string, filePath string, line int, type string")
