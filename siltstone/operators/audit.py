@@ -81,6 +81,10 @@ def by_extension(audit: DataFrame) -> DataFrame:
     return audit.groupBy(ext_of(F.col("relative_path")).alias("ext")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "ext")
 
 
+def typescript_files(audit: DataFrame) -> int:
+    return audit.where(F.col("language") == "typescript").count()
+
+
 def by_directory(audit: DataFrame, level: int = 1, n: int = 10) -> DataFrame:
     """The n largest directories at a level below the root, of files that lie deeper."""
     parts = F.split(posix(F.col("relative_path")), "/")

@@ -41,6 +41,12 @@ class Stores:
     json = property(lambda self: f"{self.root}/json")
 
 
+def wipe(spark: SparkSession, stores: Stores) -> None:
+    """Remove all stores of a project: a fresh build then finds nothing stale."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stores.root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run_audit(files: DataFrame, stores: Stores, settings: Settings, override: bool = False, ask: Callable[[str], str] | None = None) -> DataFrame:
     """Gate first; then the ranked manifest, as a table, as JSON and as a list of paths."""
     cover = gate.coverage(files)

@@ -49,8 +49,9 @@ def scan(spark: SparkSession, root: str, project: str) -> DataFrame:
     )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path, multiLine=True)
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A manifest from one JSON array, or with `lines` from the JSON lines that the audit writes."""
+    return spark.read.schema(MANIFEST).json(path, multiLine=not lines)
 
 
 def with_content(manifest: DataFrame, files: DataFrame) -> DataFrame:

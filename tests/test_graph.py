@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import symbols, vectors
-from siltstone.operators import cards, graph, search
+from siltstone.operators import audit, cards, graph, search
 from siltstone.plans import ask, pipeline
-from siltstone.sources import config, scip
+from siltstone.sources import config, corpus, scip
 from siltstone.sources.config import Settings
 from siltstone.streaming import ingest
 
@@ -168,6 +168,22 @@ def test_stages_by_name(spark, tmp_path):
     assert [r["relative_path"] for r in spark.read.parquet(stores.json).collect()] == ["demo/package.json"]
     checks = pipeline.doctor(spark, stores, str(path))
     assert {r["status"]: r["n"] for r in pipeline.tallies(checks).collect()} == {"pass": 7, "warn": 1}  # some settings are left at their defaults
+    manifest = corpus.read_manifest(spark, stores.manifest_json, lines=True)
+    assert manifest.where("relative_path = 'demo/src/a.ts'").first()["language"] == "typescript"
+    (tmp_path / "m.json").write_text(json.dumps([{"relative_path": "a.ts", "score": 7, "reasons": ["x"]}, {"relative_path": "b.ts"}], indent=1))
+    assert [(r["relative_path"], r["score"]) for r in corpus.read_manifest(spark, str(tmp_path / "m.json")).collect()] == [("a.ts", 7), ("b.ts", None)]
+    assert audit.typescript_files(spark.read.parquet(stores.manifest)) == 2
+    g = graph.read(spark, stores.graph)
+    graph.export_json(g, str(tmp_path / "json"))
+    for what, rows in (("nodes", g.nodes), ("edges", g.edges)):
+        lines = [json.loads(line) for f in (tmp_path / "json" / what).glob("*.json") for line in f.read_text().splitlines()]
+        assert sorted(x["id"] for x in lines) == sorted(r["id"] for r in rows.collect())
+    whole = {what: [json.loads(line) for f in (tmp_path / "json" / what).glob("*.json") for line in f.read_text().splitlines()] for what in ("nodes", "edges")}
+    (tmp_path / "graph.json").write_text(json.dumps(whole, indent=1))
+    again = graph.read_json(spark, str(tmp_path / "graph.json"))
+    assert again.nodes.count() == g.nodes.count() and sorted(r["source"] for r in again.edges.collect()) == sorted(r["source"] for r in g.edges.collect())
+    pipeline.wipe(spark, stores)
+    assert pipeline.doctor(spark, stores).where("status = 'fail'").count() == 6
     assert config.missing_modules(("json", "no_such_module")) == ["no_such_module"] and "query_prefix" in config.missing_keys(str(path))
 
 
