@@ -354,6 +354,29 @@ SELECT doc_id, CASE WHEN lone THEN 'line' ELSE 'merged_block' END AS chunk_type,
 FROM f GROUP BY doc_id, lone, bs"""
 
 
+#: Lines are joined as far as they fit; one that is too long is cut at blanks. A run of pieces is a text with the ends of its pieces in `c`;
+#: a chunk goes from piece b to before piece e, and the next begins as early as the overlap allows.
+SPLIT_SQL = """
+WITH RECURSIVE lines AS (
+  SELECT doc_id, i, contains(text, chr(10)) AS many, CASE WHEN i > 1 THEN chr(10) ELSE '' END || l AS p
+  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+long AS (SELECT *, NOT many OR length(p) >= 512 AS own FROM lines WHERE p <> ''),
+dealt AS (SELECT *, 2 * sum(own::INT) OVER (PARTITION BY doc_id ORDER BY i) + (NOT own)::INT AS run FROM long),
+pieces AS (
+  SELECT doc_id, run, i, 0 AS j, p FROM dealt WHERE NOT own
+  UNION ALL SELECT doc_id, run, i, j, CASE WHEN j > 1 THEN ' ' ELSE '' END || w
+  FROM (SELECT doc_id, run, i, unnest(string_split(p, ' ')) AS w, generate_subscripts(string_split(p, ' '), 1) AS j FROM dealt WHERE own)),
+ends AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id, run ORDER BY i, j)::INT AS c FROM pieces WHERE p <> ''),
+runs AS (SELECT doc_id, run, string_agg(p, '' ORDER BY i, j) AS t, list_prepend(0, list(c ORDER BY i, j)) AS c FROM ends GROUP BY ALL),
+steps AS (
+  SELECT doc_id, run, c, 0 AS b, coalesce(list_min(list_filter(range(1, len(c) - 1), lambda i: c[i + 2] > 512)), len(c) - 1)::INT AS e FROM runs
+  UNION ALL
+  SELECT doc_id, run, c, b, coalesce(list_min(list_filter(range(b + 1, len(c) - 1), lambda i: c[i + 2] - c[b + 1] > 512)), len(c) - 1)::INT AS e
+  FROM (SELECT doc_id, run, c, list_min(list_filter(range(b, e + 1), lambda k: c[e + 1] - c[k + 1] <= 50 AND c[e + 2] - c[k + 1] <= 512))::INT AS b FROM steps WHERE e < len(c) - 1)),
+cut AS (SELECT doc_id, run, b, regexp_replace(substr(t, s.c[b + 1] + 1, s.c[e + 1] - s.c[b + 1]), '^\\s+|\\s+$', '', 'g') AS chunk FROM steps s JOIN runs USING (doc_id, run))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run, b)::INT AS number, length(chunk)::INT AS chars, md5(chunk) AS digest FROM cut WHERE chunk <> ''"""
+
+
 def text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks of all documents; with their lengths and digests."""
     out = chunks.text_chunks(_t(spark, sf_dir, "documents"), "text", "doc_id")
@@ -496,6 +519,7 @@ def oracle_sql() -> dict[str, str]:
               WHERE event_type <> 'signup' AND a.s // 60 BETWEEN sl AND el)
             SELECT event_id, id AS signup_id FROM m WHERE n = 1""",
         "chunk_merge": MERGE_SQL,
+        "text_split": SPLIT_SQL,
         "source_graph": """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem), k AS (SELECT count(DISTINCT o) AS files, count(*) AS methods FROM l)
             SELECT 'nodes' AS what, 'File' AS type, files AS n FROM k UNION ALL SELECT 'nodes', 'Class', files FROM k UNION ALL SELECT 'nodes', 'Method', methods FROM k
             UNION ALL SELECT 'nodes', 'Function', 1 UNION ALL SELECT 'edges', 'DEFINED_IN', (SELECT count(*) FROM lineitem) UNION ALL SELECT 'edges', 'CALLS', (SELECT count(*) FROM lineitem)""",
