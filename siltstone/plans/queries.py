@@ -438,6 +438,27 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.repartition(2 * spark.sparkContext.defaultParallelism)  # small rows, and much to do for each
 
 
+#: The generated sources' declarations with their lines, and the merge of short ones; a class of over 50 lines gives its methods.
+CODE_SQL = """
+WITH RECURSIVE methods AS (
+  SELECT o, n, j, 3 + upto - k - 4 AS s, 1 + upto AS e FROM (
+    SELECT *, sum(k + 4) OVER (PARTITION BY o ORDER BY j) AS upto FROM (
+      SELECT l_orderkey AS o, l_linenumber AS n, trunc(l_quantity)::INT % 16 AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS j FROM lineitem))),
+classes AS (SELECT o, max(e) + 1 AS e, max(e) - 1 > 50 AS entered FROM methods GROUP BY o),
+atoms AS (
+  SELECT o, 0 AS pos, 'import_statement' AS t, 'o' || o || '.import_statement_L0' AS name, 'o' || o AS p, 0 AS s, 0 AS e FROM classes
+  UNION ALL SELECT o, 1, 'class_declaration', 'o' || o || '.C', 'o' || o, 2, e FROM classes WHERE NOT entered
+  UNION ALL SELECT o, j, 'method_definition', 'o' || o || '.C.m' || n, 'o' || o || '.C', s, m.e FROM methods m JOIN classes c USING (o) WHERE entered),
+f AS (
+  SELECT *, e - s >= 10 AS lone, s AS bs FROM atoms WHERE pos = 0
+  UNION ALL
+  SELECT n.*, n.e - n.s >= 10, CASE WHEN n.e - n.s < 10 AND NOT f.lone AND n.p = f.p AND n.e - f.bs <= 50 THEN f.bs ELSE n.s END
+  FROM f JOIN atoms n ON n.o = f.o AND n.pos = f.pos + 1)
+SELECT 'proj/o' || o || '.ts' AS relative_path, CASE WHEN lone THEN any_value(t) ELSE 'merged_block' END AS chunk_type,
+  CASE WHEN lone THEN any_value(name) ELSE any_value(p) || '.merged_L' || min(s) || '_L' || max(e) END AS hierarchical_name, min(s)::INT AS start_line, max(e)::INT AS end_line
+FROM f GROUP BY o, lone, bs"""
+
+
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.merge_table(chunks.code_chunks(_sources(spark, sf_dir)).where("error IS NULL").drop("error"), "relative_path")
     return out.select("relative_path", "chunk_type", "hierarchical_name", "start_line", "end_line")
@@ -520,6 +541,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, id AS signup_id FROM m WHERE n = 1""",
         "chunk_merge": MERGE_SQL,
         "text_split": SPLIT_SQL,
+        "code_chunks": CODE_SQL,
         "source_graph": """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem), k AS (SELECT count(DISTINCT o) AS files, count(*) AS methods FROM l)
             SELECT 'nodes' AS what, 'File' AS type, files AS n FROM k UNION ALL SELECT 'nodes', 'Class', files FROM k UNION ALL SELECT 'nodes', 'Method', methods FROM k
             UNION ALL SELECT 'nodes', 'Function', 1 UNION ALL SELECT 'edges', 'DEFINED_IN', (SELECT count(*) FROM lineitem) UNION ALL SELECT 'edges', 'CALLS', (SELECT count(*) FROM lineitem)""",
