@@ -200,15 +200,16 @@ def linked_groups(sets: list[np.ndarray], percent: int, known: list[int] | None
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (node, label, print, text) to shingle sets as bytes; another text under the same key drops out."""
     shingler = Shingler()
-    for batch in batches:
-        kept, sets = [], []
-        for i, (digest, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            words = lower_words_of(text)
-            if _print(words) == digest:
-                kept.append(i)
-                sets.append(shingler.of(words).tobytes())
-        some = batch.take(pa.array(kept, pa.int64()))
-        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.binary())], names=["node", "label", "shingles"])
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 500):
+            batch, kept, sets = whole.slice(begin, 500), [], []
+            for i, (digest, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                words = lower_words_of(text)
+                if _print(words) == digest:
+                    kept.append(i)
+                    sets.append(shingler.of(words).tobytes())
+            some = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.binary())], names=["node", "label", "shingles"])
 
 
 def _solved(percent: int):

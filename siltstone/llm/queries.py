@@ -28,6 +28,23 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("row")
 
 
+#: All pairs of documents that share a shingle, then all that can be reached over links: for small tables.
+SQL_NEAR = rf"""
+WITH RECURSIVE near_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+near_sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM near_words),
+near_sizes AS (SELECT doc_id, count(*) AS n FROM near_sets GROUP BY doc_id),
+near_links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS met FROM near_sets x JOIN near_sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL)
+  JOIN near_sizes m ON m.doc_id = a JOIN near_sizes n ON n.doc_id = b WHERE 100 * met >= 85 * (m.n + n.n - met)),
+near_both AS (SELECT a, b FROM near_links UNION ALL SELECT b, a FROM near_links),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN near_both l ON l.a = r.other)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, min(other) = doc_id AS kept
+FROM reached LEFT JOIN near_sizes USING (doc_id) GROUP BY doc_id"""
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -151,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_minhash_dedup": SQL_NEAR,
         "op7_line_dedup": SQL_LINES,
         "op8_quality_rules": SQL_RULES,
         "op10_maxscore_topk": SQL_TOPK,
