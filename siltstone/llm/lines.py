@@ -48,18 +48,23 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
     estimates = staged(estimates.where(F.col("sites") >= min_sites - margin), "spread")
     near = estimates.where(F.col("sites") <= min_sites + margin).select("hash")
     exact = lines.join(near, "hash", "left_semi").groupBy("hash").agg(F.count_distinct("site").alias("sites"))
-    return estimates.where(F.col("sites") > min_sites + margin).unionByName(exact.where(F.col("sites") >= min_sites))
+    out = staged(estimates.where(F.col("sites") > min_sites + margin).unionByName(exact.where(F.col("sites") >= min_sites)), "spread")
+    unstage(estimates)
+    return out
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, minor_percent: int = MINOR_PERCENT, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """Hashes of boilerplate lines, with the `sites` on which each is a minor part of a page."""
     lines = _lines(docs, key, text, site)
-    wide = staged(spread(lines.select("hash", "site"), min_sites), "wide")
+    wide = spread(lines.select("hash", "site"), min_sites)
     hits = lines.join(wide, "hash", "left_semi").select("id", "row", "site", "page", "at", "hash", F.length("line").alias("chars"))
     pages = hits.groupBy("id", "row", "site", "page").agg(F.collect_set(F.struct("at", "hash", "chars")).alias("hits"))  # a page's own lines only
     held = F.aggregate("hits", F.lit(0).cast("long"), lambda total, hit: total + hit["chars"])
     minor = staged(pages.where(100 * held <= minor_percent * F.col("page")).select("site", F.explode("hits.hash").alias("hash")).distinct(), "minor")
-    return spread(minor, min_sites)
+    out = spread(minor, min_sites)
+    unstage(wide)
+    unstage(minor)
+    return out
 
 
 def remove_boilerplate(
@@ -74,7 +79,7 @@ def remove_boilerplate(
     replaced. While the boilerplate lines are few, pages are cut where they lie; only beyond IN_PLACE lines do pages move.
     """
     plain = docs.drop(*[c for c in ("n_lines", "n_removed") if c not in (key, text, site)])
-    bad = staged(boilerplate(plain, min_sites, minor_percent, key, text, site).select("hash"), "boilerplate")
+    bad = boilerplate(plain, min_sites, minor_percent, key, text, site).select("hash")
     few = [r["hash"] for r in bad.limit(IN_PLACE + 1).collect()]
     # every column under a name of its own, so that none of the table's can clash
     names = {c: f"c{i}" for i, c in enumerate(plain.columns)}
