@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import lines, minhash, mixing, packing, rules
-from siltstone.llm.common import read_table, staged
+from siltstone.llm.common import read_table, staged, unstage
 
 #: Percent of Jaccard similarity at which the pipeline counts documents as near-duplicates.
 NEAR_PERCENT = 80
@@ -76,7 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
