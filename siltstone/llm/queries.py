@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, minhash, mixing, packing, passages, quality, rules, topk, toxicity
+from . import clusters, dialogue, langid, lines, minhash, mixing, packing, passages, quality, rules, topk, toxicity, urls
 from .common import fold_is, fold_of, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -118,6 +118,96 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+def op11_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = clusters.clustered(read_table(spark, sf_dir, "embeddings"))
+    return clusters.inertia(assigned, centroids)
+
+
+def _sql_round(n: int) -> str:
+    """Vectors by the nearest of the centroids c{n}, and the centroids after them."""
+    return f"""
+d{n} AS (SELECT vec_id, j, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS d FROM p JOIN c{n} c USING (i) GROUP BY ALL),
+a{n} AS (SELECT vec_id, j AS cluster, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, j) AS r FROM d{n}) WHERE r = 1),
+m{n} AS (SELECT cluster AS j, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM a{n} JOIN p USING (vec_id) GROUP BY ALL),
+c{n + 1} AS (SELECT c.j, c.i, CASE WHEN n IS NULL THEN c.x ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS x FROM c{n} c LEFT JOIN m{n} USING (j, i))"""
+
+
+SQL_CLUSTERS = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j FROM v),
+c0 AS (SELECT j, i, x FROM f JOIN p USING (vec_id) WHERE j < 16),{",".join(_sql_round(n) for n in range(4))},
+h AS (SELECT j, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY j)
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a3 JOIN h ON j = cluster"""
+
+
+#: Verdicts by host and path.
+URL_RULES = (
+    urls.UrlRule("allow", "com"), urls.UrlRule("block", "example.com", "/en/"), urls.UrlRule("allow", "www.example.com", "/en/"),
+    urls.UrlRule("block", "net", "/es/"), urls.UrlRule("block", "net", "/fr/"),
+)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def _sql_lower(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+#: Arcs have the degree of where they begin; a host's arc to itself brings its seed.
+SQL_URLS = rf"""
+WITH RECURSIVE rule_list AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'),
+  ('block', 'net', '/fr/')) t(verdict, rule_host, rule_path)),
+parts AS (
+  SELECT page_id, html, {_sql_lower("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+judged AS (
+  SELECT p.*, r.rule, r.said FROM parts p LEFT JOIN (
+    SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS said
+    FROM parts JOIN rule_list ON (host = rule_host OR suffix(host, '.' || rule_host)) AND prefix(path, rule_path) GROUP BY page_id) r USING (page_id)),
+counts AS (
+  SELECT host, count(*) FILTER (said = 'allow') * {urls.UNIT} // count(*) AS good, count(*) FILTER (said = 'block') * {urls.UNIT} // count(*) AS bad FROM judged WHERE host <> '' GROUP BY host),
+linked AS (SELECT DISTINCT host AS a, {_sql_lower("unnest(regexp_extract_all(html, '" + urls.LINK.replace("'", "''") + "', 1))")} AS b FROM parts WHERE host <> ''),
+hosts AS (SELECT host FROM counts UNION SELECT b FROM linked WHERE a <> b),
+under AS (SELECT host AS a, nullif(regexp_extract(host, '^[^.]+\.(.+\..+)$', 1), '') AS b FROM hosts),
+links AS (SELECT a, b FROM linked WHERE a <> b UNION SELECT a, b FROM under WHERE b IS NOT NULL UNION SELECT b, a FROM under WHERE b IS NOT NULL),
+arcs AS (SELECT 't' AS kind, a, b FROM links UNION ALL SELECT 'd', b, a FROM links),
+seeds AS (
+  SELECT kind, host, seed * {urls.DAMPING[1] - urls.DAMPING[0]} // {urls.DAMPING[1]} AS seed FROM (SELECT 't' AS kind, host, good AS seed FROM counts UNION ALL SELECT 'd', host, bad FROM counts)),
+nodes AS (SELECT kind, host FROM seeds UNION SELECT kind, a FROM arcs UNION SELECT kind, b FROM arcs),
+steps AS (
+  SELECT kind, a, b, count(*) OVER (PARTITION BY kind, a) AS degree, 0::BIGINT AS seed FROM arcs
+  UNION ALL SELECT kind, host, host, NULL, coalesce(seed, 0) FROM nodes LEFT JOIN seeds USING (kind, host)),
+scores AS (
+  SELECT 0 AS n, kind, b AS host, seed::BIGINT AS score FROM steps WHERE degree IS NULL
+  UNION ALL
+  SELECT n + 1, s.kind, s.b, sum(CASE WHEN degree IS NULL THEN seed ELSE score // degree * {urls.DAMPING[0]} // {urls.DAMPING[1]} END)::BIGINT
+  FROM scores JOIN steps s ON s.kind = scores.kind AND s.a = scores.host WHERE n < {urls.ROUNDS} GROUP BY ALL),
+last AS (SELECT host, sum(score) FILTER (kind = 't')::BIGINT AS trust, sum(score) FILTER (kind = 'd')::BIGINT AS distrust FROM scores WHERE n = {urls.ROUNDS} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust - trust >= {urls.MARGIN} THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust
+FROM judged LEFT JOIN last USING (host)"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults by crc32 of `conv_id:turn` (nulls: one space): rows that are `gone`, empty, without ends of sentences, repeated or the user's."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat_ws(":", space("conv_id"), space("turn")).cast("binary")), F.lit(20))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    role = F.when(kind == 4, "user").otherwise(space("role"))
+    twice = F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (kind == 0).alias("gone"), twice.alias("copy"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.audited(dialogue.repair(damaged(read_table(spark, sf_dir, "conversations")), gone=F.col("gone")))
+
+
 #: Per document: its base counts and those that the rules need besides.
 RULES_CTE = rf"""
 rule_words AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
@@ -163,6 +253,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_maxscore_topk": op10_maxscore_topk,
+        "op11_yinyang_clusters": op11_yinyang_clusters,
+        "op12_url_filter": op12_url_filter,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -172,4 +265,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": SQL_LINES,
         "op8_quality_rules": SQL_RULES,
         "op10_maxscore_topk": SQL_TOPK,
+        "op11_yinyang_clusters": SQL_CLUSTERS,
+        "op12_url_filter": SQL_URLS,
     }
