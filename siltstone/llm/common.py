@@ -24,6 +24,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """A frame with its columns as c0, c1, ..., so that none clashes with names used on the way, and these names by the given ones."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def given_names(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that `renamed` got, under their own names."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of a text; a null text has none."""
     return WORD_RE.findall(text) if text else []

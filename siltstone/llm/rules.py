@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 
 from .common import bind, words_col
 
-#: Rows of the sample on which costs and rejection rates are measured, and the longest texts in it. They put the rules in
-#: order; results don't depend on it.
-SAMPLE_ROWS, SAMPLE_CHARS = 200, 20_000
-#: How often the sample is evaluated in a run, how many runs are made, and the least time that counts.
-REPEATS, TRIES, LEAST_SECONDS = 5, 2, 5e-3
+#: About so many different texts are the sample on which costs and rejections are estimated. They put the rules in order;
+#: results don't depend on it.
+SAMPLE_ROWS = 4096
 
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A named condition under which a document is rejected. It may use `text` and the base columns."""
+    """A named condition under which a document is rejected. It may use `text` and the base columns.
+
+    `work` is what deciding it takes for a document, in characters that are looked at: by default those of its text. The base
+    columns are there for every document, so a rule that only compares them costs as much as a character.
+    """
 
     name: str
     rejects: Column
+    work: Column | None = None
 
 
 def base_columns(text: Column) -> dict[str, Column]:
@@ -100,17 +103,17 @@ def default_rules(text: str = "text") -> list[Rule]:
     lines that make up over half of all lines; over 30 % of words in repeated 3-word windows; over 40 % of characters (blanks
     aside) that aren't letters, or that are capitals; under 5 different words, or fewer than half of them in shorter texts.
     """
-    words, n, t = F.col("_words"), F.col("n_words"), F.col(text)
+    words, n, t, compared = F.col("_words"), F.col("n_words"), F.col(text), F.lit(1)
     other = F.length(F.regexp_replace(t, r"[\p{L}\x20\x09-\x0D]+", ""))
     capitals = F.length(F.regexp_replace(t, r"[^\p{Lu}]+", ""))
     return [
-        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n)),
-        Rule("symbols", 10 * F.col("n_symbols") > 4 * n),
-        Rule("repeated_lines", (F.col("n_dup_lines") >= 4) & (2 * F.col("n_dup_lines") > F.col("n_text_lines"))),
-        Rule("repeated_words", 100 * F.col("n_repeat_words") > 30 * n),
+        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n), compared),
+        Rule("symbols", 10 * F.col("n_symbols") > 4 * n, compared),
+        Rule("repeated_lines", (F.col("n_dup_lines") >= 4) & (2 * F.col("n_dup_lines") > F.col("n_text_lines")), compared),
+        Rule("repeated_words", 100 * F.col("n_repeat_words") > 30 * n, compared),
         Rule("few_letters", 10 * other > 4 * F.col("word_chars")),
         Rule("capitals", 10 * capitals > 4 * F.col("word_chars")),
-        Rule("one_word", 2 * F.size(F.array_distinct(words)) < F.least(n, F.lit(10))),
+        Rule("one_word", 2 * F.size(F.array_distinct(words)) < F.least(n, F.lit(10)), F.col("word_chars")),
     ]
 
 
@@ -125,49 +128,39 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def measured(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], list[tuple[bool, ...]]]:
-    """Seconds that each rule takes on a bounded sample, and which rules reject each of its rows that the base rule leaves.
+def measured(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], Mapping[tuple[bool, ...], int]]:
+    """Each rule's mean work on a sample of the texts that the base rule leaves, and how many documents each set of rules rejects there.
 
-    The sample is what an incremental take finds first: it reads as many partitions as it needs and shuffles nothing. Its
-    rows are evaluated several times over in one task, and the least of some runs counts, less that of a run without a rule;
-    so neither job overhead nor compilation decides.
+    The sample is all texts whose hash is below a bound, from all partitions, so it depends on neither order nor partitions; a
+    text that many documents have is evaluated once and counts for each. Only sums come to the driver.
     """
-    short = docs.select(F.col(text).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = [(r["text"],) for r in short.take(sample_rows)]
-    if not rows:
-        return [0.0] * len(rules), []
-    local = docs.sparkSession.createDataFrame(rows, "text string").withColumnRenamed("text", text).coalesce(1)
-    sample = with_base(local, text).where(~base_failed()).cache()
-    hit = [F.coalesce(r.rejects, F.lit(False)) for r in rules]
-    flags = [tuple(r) for r in sample.select(*[h.alias(f"r{i}") for i, h in enumerate(hit)]).collect()]
-    many = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
-
-    def timed(condition: Column) -> float:
-        took = []
-        for _ in range(TRIES):
-            began = time.perf_counter()
-            many.agg(F.count_if(condition & (F.col("_again") > 0))).collect()  # a frame of its own each time: one frame keeps its shuffle
-            took.append(time.perf_counter() - began)
-        return min(took)
-
-    idle = timed(F.lit(True))
-    costs = [max(timed(h) - idle, LEAST_SECONDS) for h in hit]
-    sample.unpersist()
-    return costs, flags
+    n = docs.count()
+    hashed = docs.select(F.col(text).alias(text), F.xxhash64(text, F.lit("sample")).alias("h")).where(F.col(text).isNotNull())
+    whole = 1 << 52
+    picked = hashed.where(F.pmod("h", F.lit(whole)) < int(whole * min(1.0, sample_rows / max(n, 1))))
+    sample = with_base(picked.groupBy("h").agg(F.first(text).alias(text), F.count("*").alias("_n")), text).where(~base_failed())
+    hits = [F.coalesce(r.rejects, F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]
+    works = [F.coalesce((F.length(text) if r.work is None else r.work).cast("double"), F.lit(1.0)).alias(f"w{i}") for i, r in enumerate(rules)]
+    sums = [F.sum(F.col(f"w{i}") * F.col("_n")).alias(f"w{i}") for i in range(len(rules))]
+    rows = sample.select("_n", *hits, *works).groupBy(*[f"r{i}" for i in range(len(rules))]).agg(F.sum("_n").alias("n"), *sums).collect()
+    flags = Counter({tuple(r[f"r{i}"] for i in range(len(rules))): r["n"] for r in rows})
+    return [sum(r[f"w{i}"] for r in rows) / max(1, flags.total()) for i in range(len(rules))], flags
 
 
 def ordered_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost on a sample: the best first, then the best on the rows that it leaves, and so on.
+    """The rules by rejection per cost on a sample: the best first, then the best on the documents that it leaves, and so on.
 
-    Ties keep the given order. Order changes what is computed, never which documents are kept.
+    Rules that reject nothing more go by cost, the cheapest first; ties keep the given order. Order changes what is computed, never which
+    documents are kept.
     """
     costs, flags = measured(docs, rules, text, sample_rows)
-    left, out = list(range(len(rules))), []
+    left, out, seen = list(range(len(rules))), [], Counter(flags)
     while left:
-        best = max(left, key=lambda i: (sum(f[i] for f in flags) / max(costs[i], LEAST_SECONDS), -i))
+        gain = lambda i: sum(n for f, n in seen.items() if f[i]) / max(costs[i], 1e-9)
+        best = max(left, key=lambda i: (gain(i), -costs[i], -i))
         out.append(rules[best])
         left.remove(best)
-        flags = [f for f in flags if not f[best]]
+        seen = Counter({f: n for f, n in seen.items() if not f[best]})
     return out
 
 
@@ -181,16 +174,17 @@ def apply_rules(
     that rejects, so cheap and strict rules spare the others their work. No shuffle, no Python.
 
     Null, empty and blank texts have zero counts and fail the base rule; no text fails for its length alone. An empty
-    table gives an empty one. Repeated rows are judged alike. Other columns pass through; those that share a name with an
-    output are replaced.
+    table gives an empty one. Repeated rows are judged alike. Other columns pass through, whatever their names; those that share a
+    name with an output are replaced.
     """
     rules = default_rules(text) if rules is None else list(rules)
     outputs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "base_failed", "kept"]
-    plain = docs.drop(*[c for c in (*outputs, "_words", "n_lines") if c != text])
+    kept = {c: c if c == text else f"_{text}_{i}" for i, c in enumerate(docs.columns) if c == text or c not in outputs}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()])
     failed = base_failed(min_words, max_repeat_percent)
     verdict = F.when(F.col("base_failed"), F.lit(False))
-    for rule in ordered_rules(plain, rules, text, sample_rows):
+    for rule in ordered_rules(plain.select(text), rules, text, sample_rows):
         verdict = verdict.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(False))
     judged = with_base(plain, text).withColumn("base_failed", failed).withColumn("kept", verdict.otherwise(F.lit(True)))
     # a generator of one row: filters on its columns stay behind it, where a projection's would be evaluated once more in the filter
-    return judged.select(*plain.columns, F.inline(F.array(F.struct(*outputs))))
+    return judged.select(*[F.col(n).alias(c) for c, n in kept.items()], F.inline(F.array(F.struct(*outputs))))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import clusters, dialogue, queries, urls
+from siltstone.llm import clusters, dialogue, queries, rules, urls
 from siltstone.llm.common import read_table
 
 VECTORS = "vec_id long, embedding array<double>"
@@ -272,3 +272,72 @@ def test_chart_against_suffixes(seed):
         got = list(dialogue.repaired_rows((i, *r) for i, r in enumerate(rows)))
         lines = tuple(f"{r[5]}:{r[2]}" for r in got if r[5] is not None)
         assert (sum(r[6] for r in got), "".join(r[4] for r in got), lines) == plain_repair(rows)
+
+
+# --- names that clash, and the order of rules
+
+INNER = (
+    "_row _own _copies _copy _words n_lines n_words n_removed kept row own copies copy text_lines hash site page at hits h w0 r0 _n c0 c1 c2 c3 c4 id size source_size target rate word_chars n_symbols "
+    "n_dup_lines n_text_lines n_repeat_words base_failed component_id n_shingles bin_id piece start group band node label hashes line of name multiplier"
+).split()
+
+
+def clashing(spark, docs):
+    return docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(n) for n in INNER])
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as p
+
+    text = lambda i: " ".join(f"{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    rows = [(i, text(i) + "\nA line that all have.", "en", f"s{i}", 200) for i in range(10)] + [(20, text(1) + "\nA line that all have.", "en", "s3", 200), (21, "short", "en", "s1", 5)]
+    docs = clashing(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    for name, stage in p.STAGES:
+        got = stage(spark, docs, "")
+        out = got.collect()
+        assert out
+        if name == "best_fit_packing":
+            continue
+        assert got.columns == docs.columns
+        assert all(r[n] == f"{n}:{r['doc_id']}" for r in out for n in INNER)
+        if name == "line_dedup":
+            assert all("A line" not in r["text"] for r in out)
+        docs = got
+
+
+def test_rules_keep_columns_of_any_name(spark):
+    rows = [(1, "Some words that make a text of their own. " * 3), (2, None)]
+    docs = clashing(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    got = rules.apply_rules(docs)
+    outputs = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "base_failed", "kept"}
+    assert set(got.columns) == set(docs.columns) | outputs
+    assert all(r[n] == f"{n}:{r['doc_id']}" for r in got.collect() for n in INNER if n not in outputs)
+
+
+def test_order_of_rules_by_sample(spark):
+    """The order follows neither rows nor partitions, nor is it another in a second run; and it takes less work than the given one."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    texts = [" ".join(word() for _ in range(rng.randint(60, 120))) for _ in range(300)]
+    texts += [t.upper() for t in texts[:90]] + [re.sub(" ", " # ", t) for t in texts[90:150]] + [" ".join("1234567" for _ in t.split()) + f" {i}" for i, t in enumerate(texts[150:160])]
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    given = [*reversed(rules.default_rules())]
+    names = lambda df, n: [r.name for r in rules.ordered_rules(df, given, sample_rows=n)]
+    want = names(docs, 250)
+    assert names(docs.orderBy(F.rand(1)).repartition(7), 250) == names(docs.orderBy("source").coalesce(1), 250) == want
+    costs, flags = rules.measured(docs, given, sample_rows=10**6)
+    assert sum(flags.values()) > 400 and costs[[r.name for r in given].index("symbols")] == 1 < costs[[r.name for r in given].index("capitals")]
+
+    def work(order):
+        at = {r.name: i for i, r in enumerate(given)}
+        total = 0
+        for f, n in flags.items():
+            for name in order:
+                total += n * costs[at[name]]
+                if f[at[name]]:
+                    break
+        return total
+
+    assert work(want) < 0.9 * work([r.name for r in given]) and want[0] == "symbols"
+    many = spark.createDataFrame([(i, texts[5]) for i in range(500)], "doc_id long, text string")
+    assert sum(rules.measured(many, given, sample_rows=10**6)[1].values()) == 500
