@@ -1,7 +1,7 @@
 """Corpus pipeline: quality rules, line dedup, near-dedup, source mixing and packing, one after another.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last
-return the columns of `documents`. Stages meet in Parquet files in the folder that all executors share.
+return the columns of `documents`, and any others that the table has, whatever their names. Stages meet in Parquet files in the folder that all executors share.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import lines, minhash, mixing, packing, rules
-from siltstone.llm.common import read_table, staged, unstage
+from siltstone.llm.common import given_names, read_table, renamed, staged, unstage
 
 #: Percent of Jaccard similarity at which the pipeline counts documents as near-duplicates.
 NEAR_PERCENT = 80
@@ -24,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and blank texts go, and so do others under MIN_WORDS words. Repeated rows and rows of one doc_id with
     different texts are judged by their own text each.
     """
-    return rules.apply_rules(docs, min_words=MIN_WORDS).where("kept").select(*docs.columns)
+    rows, names = renamed(docs)
+    return given_names(rules.apply_rules(rows, text=names["text"], min_words=MIN_WORDS).where("kept"), names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are, and repeated rows are cut alike. A text that was boilerplate alone is empty after it.
     """
-    cut = lines.remove_boilerplate(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows, names = renamed(docs)
+    cut = lines.remove_boilerplate(rows, key=names["doc_id"], text=names["text"], site=names["source"])
+    chars = names["n_chars"]
+    return given_names(cut.withColumn(chars, F.when(F.col("n_removed") > 0, F.length(names["text"]).cast("long")).otherwise(F.col(chars))), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +45,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one doc_id with different texts are decided by their own text each. Null and empty texts, and rows without a
     doc_id, are no group: they stay.
     """
-    stays = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select(F.col("row").alias("_row")).distinct()
-    rows = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    return rows.join(stays, F.col("_own") == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"]).drop("_own")
+    rows, names = renamed(docs)
+    key, text = names["doc_id"], names["text"]
+    stays = minhash.near_duplicates(rows, key=key, text=text, percent=NEAR_PERCENT).where("kept").select("row").distinct()
+    own = rows.withColumn("own", F.xxhash64(F.col(key).cast("long"), F.col(text)))
+    return given_names(own.join(stays, F.col("own") == F.col("row"), "left_semi").dropDuplicates([key, text]), names)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +57,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one doc_id with different texts are taken each by its own number; rows that repeat as a whole by the largest of theirs.
     """
-    keyed = docs.withColumn("_own", F.xxhash64("doc_id", "text", "source"))
-    taken = mixing.mix(keyed, key="_own").where(F.col("copies") > 0).groupBy(F.col("_own").alias("_row")).agg(F.max("copies").alias("_copies"))
-    mixed = keyed.join(taken, F.col("_own") == F.col("_row"))
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    rows, names = renamed(docs)
+    key, text, source = (names[c] for c in ("doc_id", "text", "source"))
+    keyed = rows.withColumn("own", F.xxhash64(key, text, source))
+    taken = mixing.mix(keyed, key="own", text=text, source=source).where(F.col("copies") > 0).groupBy(F.col("own").alias("row")).agg(F.max("copies").alias("copies"))
+    mixed = keyed.join(taken, F.col("own") == F.col("row"))
+    return given_names(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), names)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
