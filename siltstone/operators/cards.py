@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import summary_prompt
 from ..functions.vectors import Provider, embed, hashed_provider
+from .versions import Versions
 
 FALLBACK = "No summary could be made for this file."
 SECTIONS = (("Class", "Classes", "members"), ("Function", "Functions", "parameters"), ("Interface", "Interfaces", "properties"))
@@ -77,7 +78,7 @@ def summaries(files: DataFrame, summarise: Summarise = extractive, retries: int
 
 
 def build_cards(files: DataFrame, nodes: DataFrame, summarise: Summarise = extractive, provider: Provider = hashed_provider) -> DataFrame:
-    """Cards of files (`relative_path`, `content`). The id is a hash of the path, so a card written twice replaces itself."""
+    """Cards of files (`relative_path`, `content`). The id is a hash of the path: in a card store a file's card takes the place of the one before."""
     own = children(nodes).withColumnRenamed("filePath", "relative_path")
     rows = summaries(files.select("relative_path", "content"), summarise).join(own, "relative_path", "left")
     found = F.coalesce("nodes", F.array().cast(own.schema["nodes"].dataType))
@@ -104,9 +105,25 @@ def preview(cards: DataFrame, n: int = PREVIEW) -> DataFrame:
     return cards.withColumn("embedding", F.slice("embedding", F.lit(1), F.lit(n)))
 
 
-def write_cards(cards: DataFrame, path: str, resume: bool = False) -> None:
-    """A fresh store, or more cards to one that is there; `pending` tells which are missing.
+def card_store(spark: SparkSession, path: str) -> Versions:
+    """The store of cards at a path, one per id."""
+    return Versions(spark, path, "id")
 
-    Cards whose embedding failed aren't stored, so that a resumed run makes them again.
+
+def gone(files: DataFrame, existing: DataFrame) -> DataFrame:
+    """Ids of cards whose files aren't there any more."""
+    return existing.select("id", "relative_path").join(files.select("relative_path").distinct(), "relative_path", "left_anti").select("id")
+
+
+def write_cards(cards: DataFrame, path: str, resume: bool = False, gone: DataFrame | None = None, token: str | None = None) -> int:
+    """A fresh store; or with `resume` cards that take the place of those of their files, without the ids of `gone`. Returns the store's version.
+
+    `pending` tells which are missing. Cards whose embedding failed aren't stored, so that a resumed run makes them again. A version counts
+    once it is whole: a run that is killed leaves the store as it was, and of a token only the first run counts.
     """
-    cards.where(F.col("embedding").isNotNull()).write.mode("append" if resume else "overwrite").parquet(path)
+    store, whole = card_store(cards.sparkSession, path), cards.where(F.col("embedding").isNotNull())
+    if resume:
+        return store.upsert(whole, gone, token)
+    version = store.replace(whole, token)
+    store.vacuum()
+    return version

@@ -88,7 +88,7 @@ def build(occurrences: DataFrame, relations: DataFrame, manifest: DataFrame, pro
         "source", "target", F.when(F.coalesce("is_interface", F.lit(False)), "IMPLEMENTS").otherwise("INHERITS").alias("type"),
         none.alias("callLine"), none.alias("refLine"), F.lit(1).alias("rule"), "doc", "ord",
     )
-    containers = inside.where(is_definition(F.col("roles")) & F.col("e").isNotNull()).join(known, "symbol", "left_semi").select("file", "ord", "symbol", F.col("e").alias("r"))
+    containers = inside.where(is_definition(F.col("roles")) & F.col("e").isNotNull()).join(known, "symbol", "left_semi").select("file", F.struct("doc", "ord").alias("ord"), "symbol", F.col("e").alias("r"))
     references = inside.where(~is_definition(F.col("roles"))).join(symbols.select("symbol", "kind"), "symbol").select(
         "file", F.struct("doc", "ord").alias("ref"), F.col("r.sl").alias("line"), F.col("r.sc").alias("col"), F.col("symbol").alias("target"), "kind"
     )

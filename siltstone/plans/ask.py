@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import bounded, prefixed_query
 from ..functions.vectors import Provider, hashed_provider
 from ..operators import graph, jsonstore, search
+from ..operators.cards import card_store
 from .pipeline import Stores
 
 CARD_RESULTS, CARD_CHARS = 3, 700
@@ -33,7 +34,7 @@ class Lookups:
 
     def cards(self, question: str, k: int = CARD_RESULTS) -> list[tuple[str, str]]:
         """The closest file cards: (path, text)."""
-        table = self.spark.read.parquet(self.stores.cards)
+        table = card_store(self.spark, self.stores.cards).read()
         rows = search.nearest(table, self._vector(question), k, "relative_path")
         return [tuple(r) for r in rows.select("relative_path", bounded(F.col("card_md"), CARD_CHARS)).collect()]
 

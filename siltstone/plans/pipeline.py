@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import Provider, embed, hashed_provider
 from ..operators import audit, cards, chunks, fallback, gate, graph, jsonstore
-from ..sources import corpus, scip
+from ..sources import corpus, scip, tree
 from ..sources.config import Settings, load_settings, missing_keys, missing_modules
 
 STAGES = ("audit", "graph", "cards", "chunks", "json")
 log = logging.getLogger(__name__)
 BACKENDS = ("scip", "source")
+#: A resumed run rewrites the parts of the card store that so many versions have touched.
+COMPACT_VERSIONS = 8
 
 
 class Refused(Exception):
@@ -37,6 +39,7 @@ class Stores:
     graph_rejects = property(lambda self: f"{self.root}/graph_rejects")
     cards = property(lambda self: f"{self.root}/cards")
     chunks = property(lambda self: f"{self.root}/chunks")
+    card_rejects = property(lambda self: f"{self.root}/card_rejects")
     rejects = property(lambda self: f"{self.root}/rejects")
     json = property(lambda self: f"{self.root}/json")
 
@@ -75,12 +78,24 @@ def run_cards(
     files: DataFrame, manifest: DataFrame, nodes: DataFrame, stores: Stores, resume: bool = False, by_content: bool = False,
     summarise: cards.Summarise = cards.extractive, provider: Provider = hashed_provider,
 ) -> DataFrame:
-    spark = files.sparkSession
+    """Cards of the manifest's files: a fresh store, or with `resume` those that are missing, with `by_content` also of changed files.
+
+    A resumed run takes out the cards of files that are gone. Files whose bytes aren't valid UTF-8 get none; they are told in a store of their own.
+    """
+    spark, store = files.sparkSession, cards.card_store(files.sparkSession, stores.cards)
     wanted = corpus.with_content(manifest.select("relative_path"), files)
+    if "strict" in wanted.columns:
+        wanted.where(~F.col("strict")).select("relative_path", F.lit("bytes aren't valid UTF-8").alias("error")).write.mode("overwrite").parquet(stores.card_rejects)
+        wanted = wanted.where("strict")
+    gone, resume = None, resume and store.exists()
+    if resume:
+        known = store.read()
+        wanted, gone = cards.pending(wanted, known, by_content), cards.gone(wanted, known)
+    cards.write_cards(cards.build_cards(wanted, nodes, summarise, provider), stores.cards, resume, gone)
     if resume:
-        wanted = cards.pending(wanted, spark.read.parquet(stores.cards), by_content)
-    cards.write_cards(cards.build_cards(wanted, nodes, summarise, provider), stores.cards, resume)
-    return spark.read.parquet(stores.cards)
+        store.compact(COMPACT_VERSIONS)
+        store.vacuum()
+    return store.read()
 
 
 def run_chunks(files: DataFrame, manifest: DataFrame, stores: Stores, provider: Provider = hashed_provider) -> DataFrame:
@@ -110,12 +125,17 @@ def _checked(settings: Settings, index_path: str | None) -> None:
         raise ValueError("the backend scip needs an index; the backend source does without")
 
 
-def run_stage(spark: SparkSession, settings: Settings, stage: str, index_path: str | None = None, override: bool = False) -> DataFrame:
-    """One stage by name, on the stores that the stages before it left. Returns what it wrote, of the graph its nodes."""
+def run_stage(
+    spark: SparkSession, settings: Settings, stage: str, index_path: str | None = None, override: bool = False, resume: bool = False, by_content: bool = False
+) -> DataFrame:
+    """One stage by name, on the stores that the stages before it left. Returns what it wrote, of the graph its nodes.
+
+    The cards can be resumed: then files that have a card, and with `by_content` the same content, keep it.
+    """
     if stage not in STAGES:
         raise ValueError(f"{stage} isn't a stage: {', '.join(STAGES)}")
     stores = Stores(settings.store_root)
-    files = corpus.scan(spark, settings.source_root, settings.project)
+    files = tree.walk(spark, settings.source_root, settings.project)
     if stage == "audit":
         return run_audit(files, stores, settings, override)
     manifest = spark.read.parquet(stores.manifest)
@@ -124,13 +144,18 @@ def run_stage(spark: SparkSession, settings: Settings, stage: str, index_path: s
         built = run_graph(spark, index_path, manifest, stores, settings) if settings.graph_backend == "scip" else run_source_graph(files, manifest, stores)
         return built.nodes
     if stage == "cards":
-        return run_cards(files, manifest, graph.read(spark, stores.graph).nodes, stores)
+        return run_cards(files, manifest, graph.read(spark, stores.graph).nodes, stores, resume or by_content, by_content)
     return run_chunks(files, manifest, stores) if stage == "chunks" else run_json(files, manifest, stores)
 
 
-def build(spark: SparkSession, settings: Settings, index_path: str | None = None, override: bool = False) -> Stores:
-    """All stages over a source tree. The graph comes from an index, or with the backend `source` from the texts themselves."""
+def build(spark: SparkSession, settings: Settings, index_path: str | None = None, override: bool = False, fresh: bool = False) -> Stores:
+    """All stages over a source tree. The graph comes from an index, or with the backend `source` from the texts themselves.
+
+    With `fresh` all stores go first, so that nothing stale is left if a stage fails.
+    """
     _checked(settings, index_path)
+    if fresh:
+        wipe(spark, Stores(settings.store_root))
     for stage in STAGES:
         run_stage(spark, settings, stage, index_path, override)
     return Stores(settings.store_root)
@@ -141,7 +166,8 @@ def doctor(spark: SparkSession, stores: Stores, settings_path: str | None = None
     rows = []
     for name in ("manifest", "graph/nodes", "graph/edges", "cards", "chunks", "json"):
         try:
-            n = spark.read.parquet(f"{stores.root}/{name}").count()
+            table = cards.card_store(spark, stores.cards).read() if name == "cards" else spark.read.parquet(f"{stores.root}/{name}")
+            n = table.count()
             rows.append((name, "pass" if n else "warn", n))
         except Exception:  # a missing or broken store is what this looks for
             rows.append((name, "fail", None))
@@ -157,20 +183,21 @@ def tallies(checks: DataFrame) -> DataFrame:
 
 
 def main(args: list[str]) -> int:
-    """`settings.ini STAGE|all|doctor [index]`: 0, or 1 if a stage fails or a check does."""
+    """`settings.ini STAGE|all|doctor [index] [--resume] [--by-content] [--fresh]`: 0, or 1 if a stage fails or a check does."""
     from ..session import session
 
     try:
-        settings, what, index = load_settings(args[0]), args[1], args[2] if len(args) > 2 else None
+        given, options = [a for a in args if not a.startswith("--")], {a for a in args if a.startswith("--")}
+        settings, what, index = load_settings(given[0]), given[1], given[2] if len(given) > 2 else None
         spark = session()
         if what == "doctor":
-            found = doctor(spark, Stores(settings.store_root), args[0]).collect()
+            found = doctor(spark, Stores(settings.store_root), given[0]).collect()
             print("\n".join(f"{r['status']:<6}{r['store']} {'' if r['rows'] is None else r['rows']}" for r in found))
             return int(any(r["status"] == "fail" for r in found))
         if what == "all":
-            build(spark, settings, index)
+            build(spark, settings, index, fresh="--fresh" in options)
         else:
-            run_stage(spark, settings, what, index)
+            run_stage(spark, settings, what, index, resume="--resume" in options, by_content="--by-content" in options)
         return 0
     except Exception:  # whatever a stage raises is told, and the caller stops on the code
         log.exception("failed: %s", " ".join(args))

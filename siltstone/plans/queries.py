@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, symbols, text
 from ..operators import audit, cards, chunks, fallback, gate, graph, jsonstore, search
+from ..operators.versions import Versions
 from ..sources import corpus
+from ..staging import staged_folder
 
 QUESTION = 0  # the vector that searches ask for
 
@@ -424,6 +426,19 @@ def cards_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.pending(files, done).select(F.col("relative_path").alias("doc_id"), "source")
 
 
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a store by key, labels as versions of it: good ones change rows, toxic ones take them out, some come back; compacted on the way."""
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    store = Versions(spark, staged_folder(spark, "versions"), "doc_id")
+    store.upsert(docs.select("doc_id", "source", "n_chars"))
+    changed = labels.where("quality = 1").select("doc_id", F.lit("good").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    store.upsert(changed, gone=labels.where("toxic = 1 AND quality = 0"))
+    store.compact()
+    back = labels.where("toxic = 1 AND doc_id % 3 = 0").select("doc_id", F.lit("back").alias("source"), F.col("doc_id").alias("n_chars"))
+    store.upsert(back, gone=labels.where("quality = 1 AND doc_id % 5 = 0"))
+    return store.read()
+
+
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     return docs.where(text.like_search([F.col("source"), F.col("text")], "THIS")).select("doc_id")
@@ -477,6 +492,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         audit_totals, primary_language, cards_topk, chunks_topk_filtered, vector_preview, json_store, json_search, graph_nodes, graph_edges, graph_stats,
         graph_neighbours, node_types, file_children, symbol_parse, innermost_container, chunk_merge, text_split, doc_comment_clean, chunk_format, truncated, prompts,
         parent_names, file_cards, cards_resume, text_search, code_chunks, source_graph, manifest_top20, manifest_top30, dir_top10_level1, file_nodes, index_nodes, index_edges,
+        store_versions,
     )
     return {f.__name__: f for f in own}
 
@@ -570,5 +586,11 @@ def oracle_sql() -> dict[str, str]:
         "file_cards": f"""WITH {GRAPH_CTE} SELECT filePath, md5('# Card: ' || filePath || chr(10) || '## Purpose' || chr(10) || 'A nation.' || chr(10) || chr(10) || '## Classes (' || count(*) || ')'
             || chr(10) || string_agg('- **' || name || '**: 0 members', chr(10) ORDER BY name)) AS digest, count(*) AS classes FROM nodes WHERE type = 'Class' GROUP BY filePath""",
         "cards_resume": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+        "store_versions": """WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1 AND quality = 0) AS out, bool_or(toxic = 1 AND doc_id % 3 = 0) AS back,
+            bool_or(quality = 1 AND doc_id % 5 = 0) AS later FROM labels GROUP BY doc_id),
+            k AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.source, d.n_chars, d.doc_id IS NOT NULL AS stored, coalesce(good, false) AS good, coalesce(out, false) AS out, coalesce(back, false) AS back,
+              coalesce(later, false) AS later FROM documents d FULL JOIN l ON l.doc_id = d.doc_id)
+            SELECT doc_id, CASE WHEN back THEN 'back' WHEN good THEN 'good' ELSE source END AS source, CASE WHEN back THEN doc_id WHEN good THEN 1 ELSE n_chars END AS n_chars
+            FROM k WHERE back OR (good AND NOT later) OR (stored AND NOT out AND NOT good)""",
         "text_search": "SELECT doc_id FROM documents WHERE lower(source) LIKE '%this%' OR lower(text) LIKE '%this%'",
     }

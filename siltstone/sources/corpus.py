@@ -28,15 +28,17 @@ def excluded_dir(relative_path: Column) -> Column:
 
 
 def decoded(content: Column) -> Column:
-    """UTF-8 with invalid bytes dropped and universal newlines."""
-    return F.regexp_replace(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "�", ""), "\r\n?", "\n")
+    """UTF-8 with invalid bytes dropped and universal newlines. A replacement mark that the text has of its own stays."""
+    mark, aside = F.lit("\ufffd"), F.lit("\ufdd0\ufdd1\ufdd0")
+    valid = F.make_valid_utf8(F.replace(content.cast("string"), mark, aside))
+    return F.regexp_replace(F.replace(F.replace(valid, mark, F.lit("")), aside, mark), "\r\n?", "\n")
 
 
 def scan(spark: SparkSession, root: str, project: str) -> DataFrame:
     """All files below a root that aren't in excluded directories, by the binary file reader of the root's file system.
 
-    Texts are decoded with invalid bytes (and U+FFFD) dropped; `strict` says whether they were valid. A path has the project before
-    it and slashes only. Files without a byte are left out: the binary reader doesn't list them.
+    Texts are decoded with invalid bytes dropped; `strict` says whether they were valid. A path has the project before
+    it and slashes only. Files without a byte are left out: the binary reader doesn't list them. `sources.tree.walk` does, and doesn't open what it prunes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file://")

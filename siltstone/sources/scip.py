@@ -1,11 +1,22 @@
-"""Reader of SCIP code indexes: the protobuf wire format, as far as documents, occurrences and symbols go."""
+"""Reader of SCIP code indexes: the protobuf wire format, as far as documents, occurrences and symbols go.
+
+An index is one message; where its documents begin is found by reading their lengths and skipping what they hold. So documents are dealt
+to partitions, each of which seeks to its own, and an index of any size is parsed by many tasks, once.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..staging import staged
 
 # Field numbers of the published schema.
 INDEX_DOCUMENT = 2
@@ -14,8 +25,13 @@ OCCURRENCE_RANGE, OCCURRENCE_SYMBOL, OCCURRENCE_ROLES, OCCURRENCE_ENCLOSING = 1,
 SYMBOL_NAME, SYMBOL_RELATION = 1, 4
 RELATION_SYMBOL, RELATION_IMPLEMENTS = 1, 3
 
-OCCURRENCES = "doc int, ord int, relative_path string, symbol string, roles int, range array<int>, enclosing array<int>"
-RELATIONS = "doc int, ord int, relative_path string, source string, target string, is_implementation boolean"
+OCCURRENCES = "doc long, ord int, relative_path string, symbol string, roles int, range array<int>, enclosing array<int>"
+RELATIONS = "doc long, ord int, relative_path string, source string, target string, is_implementation boolean"
+#: Both as one table: `symbol` is a relation's source.
+ROWS = f"{OCCURRENCES}, target string, is_implementation boolean"
+#: Documents of a partition have about so many bytes.
+PARTITION_BYTES = 4 << 20
+BATCH_ROWS = 20_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -71,67 +87,167 @@ def _numbers(data: bytes, n: int) -> list[int]:
 TYPED_RANGE, TYPED_ENCLOSING = (8, 9), (10, 11)
 
 
+def parse_document(document: bytes) -> tuple[str, list[tuple], list[tuple]]:
+    """A document's path, occurrences (symbol, roles, range, enclosing) and relations (source, target, is_implementation), in its order."""
+    occurrences, relations = [], []
+    parts = list(fields(document))
+    path = next((v.decode() for n, v in parts if n == DOCUMENT_PATH), "")
+    for n, value in parts:
+        if n == DOCUMENT_OCCURRENCE:
+            at: list[int] = []
+            around: list[int] = []
+            symbol, roles = "", 0
+            for m, v in fields(value):
+                if m == OCCURRENCE_RANGE:
+                    at += _ints(v)
+                elif m == OCCURRENCE_SYMBOL:
+                    symbol = v.decode()
+                elif m == OCCURRENCE_ROLES:
+                    roles = v
+                elif m == OCCURRENCE_ENCLOSING:
+                    around += _ints(v)
+                elif m in TYPED_RANGE:
+                    at = at or _numbers(v, 3 if m == TYPED_RANGE[0] else 4)
+                elif m in TYPED_ENCLOSING:
+                    around = around or _numbers(v, 3 if m == TYPED_ENCLOSING[0] else 4)
+            occurrences.append((symbol, roles, at or None, around or None))
+        elif n == DOCUMENT_SYMBOL:
+            source, found = "", []
+            for m, v in fields(value):
+                if m == SYMBOL_NAME:
+                    source = v.decode()
+                elif m == SYMBOL_RELATION:
+                    found.append(dict(fields(v)))
+            for relation in found:
+                target = relation.get(RELATION_SYMBOL, b"").decode()
+                relations.append((source, target, bool(relation.get(RELATION_IMPLEMENTS, 0))))
+    return path, occurrences, relations
+
+
 def parse_index(data: bytes) -> tuple[list[tuple], list[tuple]]:
-    """Rows of occurrences and of relations, in the index's order."""
+    """Rows of occurrences and of relations of a whole index, numbered within their documents."""
     occurrences, relations = [], []
-    doc = -1
-    for number, document in fields(data):
-        if number != INDEX_DOCUMENT:
-            continue
-        doc += 1
-        parts = list(fields(document))
-        path = next((v.decode() for n, v in parts if n == DOCUMENT_PATH), "")
-        for n, value in parts:
-            if n == DOCUMENT_OCCURRENCE:
-                at: list[int] = []
-                around: list[int] = []
-                symbol, roles = "", 0
-                for m, v in fields(value):
-                    if m == OCCURRENCE_RANGE:
-                        at += _ints(v)
-                    elif m == OCCURRENCE_SYMBOL:
-                        symbol = v.decode()
-                    elif m == OCCURRENCE_ROLES:
-                        roles = v
-                    elif m == OCCURRENCE_ENCLOSING:
-                        around += _ints(v)
-                    elif m in TYPED_RANGE:
-                        at = at or _numbers(v, 3 if m == TYPED_RANGE[0] else 4)
-                    elif m in TYPED_ENCLOSING:
-                        around = around or _numbers(v, 3 if m == TYPED_ENCLOSING[0] else 4)
-                occurrences.append((doc, len(occurrences), path, symbol, roles, at or None, around or None))
-            elif n == DOCUMENT_SYMBOL:
-                source, found = "", []
-                for m, v in fields(value):
-                    if m == SYMBOL_NAME:
-                        source = v.decode()
-                    elif m == SYMBOL_RELATION:
-                        found.append(dict(fields(v)))
-                for relation in found:
-                    target = relation.get(RELATION_SYMBOL, b"").decode()
-                    relations.append((doc, len(relations), path, source, target, bool(relation.get(RELATION_IMPLEMENTS, 0))))
+    for doc, document in enumerate(v for n, v in fields(data) if n == INDEX_DOCUMENT):
+        path, found, related = parse_document(document)
+        occurrences += [(doc, i, path, *o) for i, o in enumerate(found)]
+        relations += [(doc, i, path, *r) for i, r in enumerate(related)]
     return occurrences, relations
 
 
-def read_scip(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Occurrences and relations of the indexes at a path (a file, folder or pattern of any store that Spark reads).
-
-    An index is parsed by one task; a corpus of many indexes is spread over many.
-    """
-    files = spark.read.format("binaryFile").load(path).select("content")
+def document_spans(f: BinaryIO, size: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of each document of an index, by its fields' heads alone."""
+    at = 0
+    while at < size:
+        f.seek(at)
+        head = f.read(24)
+        try:
+            tag, n = _varint(head, 0)
+            kind = tag & 7
+            length = 0
+            if kind == 2:
+                length, n = _varint(head, n)
+            elif kind == 0:
+                _, n = _varint(head, n)
+            elif kind in (1, 5):
+                n += 8 if kind == 1 else 4
+            else:
+                raise ValueError(f"wire type {kind} isn't known")
+        except IndexError:
+            raise ValueError("the index is cut short") from None
+        if at + n + length > size:
+            raise ValueError("the index is cut short")
+        if tag >> 3 == INDEX_DOCUMENT and kind == 2:
+            yield at + n, length
+        at += n + length
+
+
+def _opened(path: str) -> tuple[BinaryIO, int]:
+    """A file that can be sought in, and its size: of the local file system, or of a store that Arrow reaches."""
+    if path.startswith("file:") or "://" not in path:
+        f = open("/" + path.removeprefix("file:").lstrip("/"), "rb")  # noqa: SIM115 - the caller closes it
+        return f, f.seek(0, 2)
+    from pyarrow import fs
+
+    store, below = fs.FileSystem.from_uri(path)
+    f = store.open_input_file(below)
+    return f, f.size()
+
+
+@dataclass
+class Documents(InputPartition):
+    """Documents of an index: its path, and number, offset and length of each."""
+
+    path: str
+    spans: list[tuple[int, int, int]]
+
+
+class ScipIndex(DataSource):
+    """Options: `paths` (a JSON list of files), `partitionBytes`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "scip"
+
+    def schema(self) -> str:
+        return ROWS
+
+    def reader(self, schema) -> ScipReader:
+        return ScipReader(json.loads(self.options["paths"]), int(self.options.get("partitionBytes", PARTITION_BYTES)))
+
+
+class ScipReader(DataSourceReader):
+    def __init__(self, paths: list[str], partition_bytes: int):
+        self.paths, self.partition_bytes = paths, partition_bytes
+
+    def partitions(self) -> list[Documents]:
+        """Only the heads of fields are read here."""
+        out = []
+        for i, path in enumerate(self.paths):
+            f, size = _opened(path)
+            with f:
+                group, total = [], 0
+                for doc, (offset, length) in enumerate(document_spans(f, size)):
+                    if group and total + length > self.partition_bytes:
+                        out.append(Documents(path, group))
+                        group, total = [], 0
+                    group.append(((i << 32) + doc, offset, length))
+                    total += length
+                if group:
+                    out.append(Documents(path, group))
+        return out or [Documents("", [])]
+
+    def read(self, partition: Documents) -> Iterator[pa.RecordBatch]:
+        rows = []
+        if partition.spans:
+            f, _ = _opened(partition.path)
+            with f:
+                for doc, offset, length in partition.spans:
+                    f.seek(offset)
+                    path, occurrences, relations = parse_document(f.read(length))
+                    rows += [(doc, i, path, *o, None, None) for i, o in enumerate(occurrences)]
+                    rows += [(doc, i, path, source, None, None, None, target, implements) for i, (source, target, implements) in enumerate(relations)]
+                    while len(rows) >= BATCH_ROWS:
+                        yield _batch(rows[:BATCH_ROWS])
+                        rows = rows[BATCH_ROWS:]
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    number, text, numbers = pa.int32(), pa.string(), pa.list_(pa.int32())
+    types = (pa.int64(), number, text, text, number, numbers, numbers, text, pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split(" ")[0] for c in ROWS.split(", ")])
 
-    def rows(which: int, names: list[str], types: list[pa.DataType]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for content in batch.column(0).to_pylist():
-                    found = parse_index(content)[which]
-                    for i in range(0, len(found), 20_000):
-                        columns = zip(*found[i : i + 20_000], strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-        return run
+def read_scip(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Occurrences and relations of the indexes at a path (a file, folder or pattern), which are listed by Spark and sought in by tasks.
 
-    number, text, numbers = pa.int32(), pa.string(), pa.list_(pa.int32())
-    occurrences = files.mapInArrow(rows(0, [c.split(" ")[0] for c in OCCURRENCES.split(", ")], [number, number, text, text, number, numbers, numbers]), OCCURRENCES)
-    relations = files.mapInArrow(rows(1, [c.split(" ")[0] for c in RELATIONS.split(", ")], [number, number, text, text, text, pa.bool_()]), RELATIONS)
+    Documents are numbered within their index, and indexes in the order of their paths. The rows are written to the shared folder, so an
+    index is parsed once, whatever is made of it.
+    """
+    spark.dataSource.register(ScipIndex)
+    paths = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    rows = staged(spark.read.format("scip").options(paths=json.dumps(paths), partitionBytes=str(partition_bytes)).load(), "scip")
+    occurrences = rows.where(F.col("is_implementation").isNull()).drop("target", "is_implementation")
+    relations = rows.where(F.col("is_implementation").isNotNull()).select("doc", "ord", "relative_path", F.col("symbol").alias("source"), "target", "is_implementation")
     return occurrences, relations

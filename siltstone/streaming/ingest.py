@@ -1,4 +1,4 @@
-"""Incremental cards: new files of a folder become cards, each once, across restarts."""
+"""Incremental cards: new files of a folder become cards, one for each file, across restarts."""
 
 from __future__ import annotations
 
@@ -22,16 +22,17 @@ def stream_files(spark: SparkSession, root: str, project: str) -> DataFrame:
 
 
 def stream_cards(files: DataFrame, nodes: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Write a card for every file that has none yet, take what there is, and stop. A batch that is run again adds nothing."""
+    """Write a card for every file that has none of its content yet, take what there is, and stop.
 
-    def write(batch: DataFrame, _: int) -> None:
+    A batch is one version of the store, named by the query and the batch's number: if it is run again, or was killed on the way, it counts once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["relative_path"])
-        try:
-            fresh = cards.pending(fresh, spark.read.parquet(store))
-        except Exception as e:  # the first batch has no store to read
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        cards.write_cards(cards.build_cards(fresh, nodes), store, resume=True)
+        fresh, known = batch.dropDuplicates(["relative_path"]), cards.card_store(spark, store)
+        if known.exists():
+            fresh = cards.pending(fresh, known.read(), by_content=True)
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        cards.write_cards(cards.build_cards(fresh, nodes), store, resume=True, token=query and f"{query}:{number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

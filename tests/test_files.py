@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import paths
 from siltstone.operators import audit, gate
-from siltstone.sources import config, corpus
+from siltstone.sources import config, corpus, tree
 
 
 def table(spark, values, column):
@@ -113,3 +113,51 @@ def test_settings(tmp_path):
     assert config.load_settings(str(path)) == config.Settings(project="demo", min_score=7)
     with pytest.raises(FileNotFoundError):
         config.load_settings(str(tmp_path / "none.ini"))
+
+
+def test_tree(spark, tmp_path):
+    """What is pruned isn't listed, empty files are there, and of a huge file only its name is."""
+    for name, data in {
+        "src/a.ts": b"x\r\ny\rz", "tmp/b.ts": b"no", "src/node_modules/c.js": b"no", "bad.md": b"ok\xff\xfe!\xef\xbf\xbd", "README.md": b"", "deep/er/d.json": b"{}", "node_modules.md": b"yes"
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    with open(tmp_path / "huge.bin", "wb") as f:
+        f.truncate(3 << 30)  # sparse: takes no room
+    (tmp_path / "src" / "loop").symlink_to(tmp_path)
+    (tmp_path / "src" / "nowhere.ts").symlink_to(tmp_path / "none")
+    rows = {r["relative_path"]: r for r in tree.walk(spark, f"file://{tmp_path}", "proj").collect()}
+    assert sorted(rows) == ["proj/README.md", "proj/bad.md", "proj/deep/er/d.json", "proj/huge.bin", "proj/node_modules.md", "proj/src/a.ts"]
+    assert rows["proj/src/a.ts"]["content"] == "x\ny\nz" and rows["proj/bad.md"]["content"] == "ok!�" and rows["proj/README.md"]["content"] == ""
+    assert (rows["proj/bad.md"]["strict"], rows["proj/README.md"]["strict"], rows["proj/huge.bin"]["strict"]) == (False, True, None)
+    assert (rows["proj/huge.bin"]["content"], rows["proj/huge.bin"]["size"], rows["proj/README.md"]["size"]) == (None, 3 << 30, 0)
+    same = {r["relative_path"]: r["content"] for r in corpus.scan(spark, str(tmp_path / "deep"), "proj").collect()}
+    assert same == {"proj/er/d.json": "{}"}
+    kept = audit.kept(audit.audited(tree.walk(spark, str(tmp_path), "proj")), 0).select("relative_path").collect()
+    assert {r[0] for r in kept} == {"proj/README.md", "proj/bad.md", "proj/deep/er/d.json", "proj/node_modules.md", "proj/src/a.ts"}
+    assert all(r["content"] is None for r in tree.walk(spark, str(tmp_path), "proj", content=False).collect())
+    (tmp_path / "none_here").mkdir()
+    assert tree.walk(spark, str(tmp_path / "none_here"), "p").count() == 0
+    with pytest.raises(Exception, match="no_such_root"):
+        tree.walk(spark, str(tmp_path / "no_such_root"), "p").count()
+
+
+def test_tree_lists_no_pruned_folder():
+    listed = []
+    folders = {"/r": [("node_modules", True, 0), ("src", True, 0), ("a", False, 5)], "/r/src": [("dist", True, 0), ("b", False, 7), ("lib", True, 0)], "/r/src/lib": [("c", False, 0)]}
+    folders |= {"/r/node_modules": [(f"f{i}", False, 1) for i in range(10_000)], "/r/src/dist": []}
+    got = list(tree.walked("/r", lambda f: listed.append(f) or folders[f], frozenset(corpus.EXCLUDED_DIRS)))
+    assert got == [("a", 5), ("src/b", 7), ("src/lib/c", 0)] and sorted(listed) == ["/r", "/r/src", "/r/src/lib"]
+
+
+def test_tree_in_partitions(spark, tmp_path):
+    files = [(f"f{i}", 10) for i in range(100)] + [("big", 1000), ("huge", 10**12)]
+    groups = list(tree.dealt(iter(files), 10**6, 300))
+    assert [f for g in groups for f in g] == files and all(sum(s for _, s in g if s < 10**6) <= 300 or len(g) == 1 for g in groups)
+    for i in range(40):
+        (tmp_path / f"f{i}.md").write_text("x" * 100)
+    spark.dataSource.register(tree.FileTree)
+    read = spark.read.format("filetree").options(path=str(tmp_path), partitionBytes="1000", excluded="").load()
+    assert read.rdd.getNumPartitions() == 4 and sorted(r["relative_path"] for r in read.collect()) == sorted(f"f{i}.md" for i in range(40))
+    place = tree.Place("mock://x")
+    assert not place.local and tree.Place("file:///a/").base == "/a" and tree.Place("/").base == "/"

@@ -310,3 +310,31 @@ def test_fallback_names_of_many(spark):
     assert edges == {("DEFINED_IN", f"Method::m::p/f{i}.ts", f"Class::C::p/f{i}.ts") for i in range(40)} | {("INHERITS", f"Class::D::p/f{i}.ts", f"Class::C::p/f{i}.ts") for i in range(40)} | {
         ("INHERITS", "Class::E::p/f5.ts", "Class::Far::p/f3.ts")
     }
+
+
+def test_index_in_parts(spark, tmp_path):
+    """One index of 100 documents: several tasks, one parse, and the same rows as of the whole."""
+    documents = [field(1, f"src/f{d}.ts") + b"".join(occurrence(f"{P}C{d}#m{i}().", [i, 0, 5], 1, [i, 0, i + 1, 0]) for i in range(30)) for d in range(100)]
+    documents[7] += field(3, field(1, P + "C7#") + field(4, field(1, P + "C8#") + field(3, 1)))
+    data = field(1, b"meta") + b"".join(field(2, d) + field(3, b"skip" * i) for i, d in enumerate(documents))
+    (tmp_path / "whole.scip").write_bytes(data)
+    occurrences, relations = scip.read_scip(spark, str(tmp_path / "whole.scip"), partition_bytes=len(data) // 8)
+    want = scip.parse_index(data)
+    assert sorted(map(tuple, occurrences.collect())) == sorted(want[0]) and list(map(tuple, relations.collect())) == want[1] and len(want[0]) == 3000
+    reader = scip.ScipReader([str(tmp_path / "whole.scip")], len(data) // 8)
+    parts = reader.partitions()
+    assert 8 <= len(parts) <= 12 and sum(len(p.spans) for p in parts) == 100
+    manifest = spark.createDataFrame([(f"demo/src/f{d}.ts",) for d in range(100)], "relative_path string")
+    built = graph.build(occurrences, relations, manifest, "demo")
+    plan = built.edges._jdf.queryExecution().executedPlan().toString() + built.nodes._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan and built.nodes.count() == 3100
+    (tmp_path / "two").mkdir()
+    for name in ("a.scip", "b.scip"):
+        (tmp_path / "two" / name).write_bytes(index())
+    twice, _ = scip.read_scip(spark, str(tmp_path / "two"))
+    assert twice.count() == 22 and twice.select("doc").distinct().count() == 4
+    (tmp_path / "cut.scip").write_bytes(data[:-3])
+    (tmp_path / "none.scip").write_bytes(b"")
+    with pytest.raises(Exception, match="cut short"):
+        scip.read_scip(spark, str(tmp_path / "cut.scip"))
+    assert scip.read_scip(spark, str(tmp_path / "none.scip"))[0].count() == 0
