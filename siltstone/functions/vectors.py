@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .calls import Caller, Limits, bounded_tokens
+
 DIM = 256
 BATCH = 8
 
@@ -63,19 +65,22 @@ def hashed_provider(texts: list[str]) -> list[list[float]]:
     return [hashed_embedding(t).tolist() for t in texts]
 
 
-def embed(df: DataFrame, text: str, provider: Provider = hashed_provider, batch: int = BATCH, into: str = "embedding") -> DataFrame:
-    """Add embeddings from a provider that takes small batches. A batch that it fails on gets nulls and loses nothing else."""
+def embed(df: DataFrame, text: str, provider: Provider = hashed_provider, batch: int = BATCH, into: str = "embedding", limits: Limits = Limits(retries=0)) -> DataFrame:  # noqa: B008
+    """Add embeddings from a provider that takes small batches. A batch that it fails on, or hangs at, gets nulls and loses nothing else.
+
+    A task asks for a few batches at a time, each within the deadline of the limits.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller = Caller(provider, limits)
         for rows in batches:
-            texts = [t or "" for t in rows.column(rows.schema.get_field_index(text)).to_pylist()]
+            texts = [bounded_tokens(t or "", limits.max_tokens) for t in rows.column(rows.schema.get_field_index(text)).to_pylist()]
+            parts = [texts[i : i + batch] for i in range(0, len(texts), batch)]
             vectors: list = []
-            for i in range(0, len(texts), batch):
-                try:
-                    vectors += provider(texts[i : i + batch])
-                except Exception:  # whatever a model server raises
-                    vectors += [None] * len(texts[i : i + batch])
+            for part, outcome in zip(parts, caller.all([(p,) for p in parts]), strict=True):
+                whole = outcome.error is None and outcome.value is not None and len(outcome.value) == len(part)
+                vectors += outcome.value if whole else [None] * len(part)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(vectors, pa.list_(pa.float32()))], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.calls import Caller, Limits, bounded_tokens
 from ..functions.text import summary_prompt
 from ..functions.vectors import Provider, embed, hashed_provider
+from ..staging import staged
 from .versions import Versions
 
 FALLBACK = "No summary could be made for this file."
@@ -55,38 +57,46 @@ def extractive(path: str, code: str) -> str:
     return f"{path.rsplit('/', 1)[-1]}: {len(code.splitlines())} lines."
 
 
-def summaries(files: DataFrame, summarise: Summarise = extractive, retries: int = 1) -> DataFrame:
-    """Add `prompt` and `summary`; a file whose summary fails after its retries gets a fallback, the others go on."""
-    asked = files.withColumn("prompt", summary_prompt(F.col("relative_path"), F.col("content")))
-    schema = T.StructType([*asked.schema.fields, T.StructField("summary", T.StringType())])
+def summaries(files: DataFrame, summarise: Summarise = extractive, limits: Limits = Limits()) -> DataFrame:  # noqa: B008 - a constant
+    """Add `prompt`, `summary`, `error` and `tries`; a file whose summary fails gets a fallback and the error, the others go on.
 
-    def one(path: str, code: str) -> str:
-        for _ in range(retries + 1):
-            try:
-                return summarise(path, code)
-            except Exception:  # whatever a model client raises
-                continue
-        return FALLBACK
+    A task makes a few calls at a time. A call that hangs costs its deadline; after some that hang in a row, a task calls no more, so that a
+    server that is down doesn't hold up the stage. Code is cut to the tokens that a call may have.
+    """
+    asked = files.withColumn("prompt", summary_prompt(F.col("relative_path"), F.col("content")))
+    schema = T.StructType([*asked.schema.fields, T.StructField("summary", T.StringType()), T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller = Caller(summarise, limits)
         for batch in batches:
             paths, codes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("relative_path", "content"))
-            made = [one(p or "", c or "") for p, c in zip(paths, codes, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=schema.names)
+            made = list(caller.all([(p or "", bounded_tokens(c or "", limits.max_tokens)) for p, c in zip(paths, codes, strict=True)]))
+            texts = [FALLBACK if o.error is not None or o.value is None else str(o.value) for o in made]
+            columns = [pa.array(texts, pa.string()), pa.array([o.error for o in made], pa.string()), pa.array([o.tries for o in made], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
     return asked.mapInArrow(run, schema)
 
 
-def build_cards(files: DataFrame, nodes: DataFrame, summarise: Summarise = extractive, provider: Provider = hashed_provider) -> DataFrame:
-    """Cards of files (`relative_path`, `content`). The id is a hash of the path: in a card store a file's card takes the place of the one before."""
+def build_cards(
+    files: DataFrame, nodes: DataFrame, summarise: Summarise = extractive, provider: Provider = hashed_provider, limits: Limits = Limits(), rejects: str | None = None,  # noqa: B008
+) -> DataFrame:
+    """Cards of files (`relative_path`, `content`). The id is a hash of the path: in a card store a file's card takes the place of the one before.
+
+    With `rejects`, files whose summary failed are added to that table, with `error` and `tries`; summaries are then made once and staged.
+    """
     own = children(nodes).withColumnRenamed("filePath", "relative_path")
-    rows = summaries(files.select("relative_path", "content"), summarise).join(own, "relative_path", "left")
+    made = summaries(files.select("relative_path", "content"), summarise, limits)
+    if rejects is not None:
+        made = staged(made, "summaries")
+        made.where("error IS NOT NULL").select("relative_path", "error", "tries").write.mode("append").parquet(rejects)
+    rows = made.join(own, "relative_path", "left")
     found = F.coalesce("nodes", F.array().cast(own.schema["nodes"].dataType))
     cards = rows.select(
         F.sha2("relative_path", 256).alias("id"), "relative_path", "summary", card_markdown(F.col("relative_path"), F.col("summary"), found).alias("card_md"),
         names_of(found, "Class").alias("main_classes"), names_of(found, "Function").alias("main_functions"), F.sha2("content", 256).alias("content_hash"),
     )
-    return embed(cards, "card_md", provider)
+    return embed(cards, "card_md", provider, limits=limits)
 
 
 def pending(files: DataFrame, existing: DataFrame, by_content: bool = False) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.paths import PROVIDERS, LanguageProvider, classify, name_of, posix, registry, suffix_of
-from ..functions.text import chunk_document, doc_summary, parent_name, text_document
+from ..functions.text import chunk_document, doc_summary, text_document
 from .parser import split
 from .textsplit import split_text
 
@@ -17,51 +18,62 @@ MAX_LINES, MIN_LINES = 50, 10
 _CHUNK = "chunk_type string, hierarchical_name string, source_text string, start_line int, end_line int, start_byte int, end_byte int, jsdoc_text string"
 
 
-def merged(chunks: Column, min_lines: int = MIN_LINES, max_lines: int = MAX_LINES) -> Column:
-    """Fold an ordered array of chunk structs: long ones stay, short neighbours of one parent become blocks.
+def merge_table(chunks: DataFrame, file: str = "file", min_lines: int = MIN_LINES, max_lines: int = MAX_LINES) -> DataFrame:
+    """Fold the chunks of each file in the order of their first byte: long ones stay, short neighbours of one parent become blocks.
 
     A chunk of `min_lines` or more stands alone and ends the block before it. A short one joins the block if it has
     the parent of the block's last chunk and the block would span no more than `max_lines`. A block of one is a block.
+
+    Rows are sorted by file and place and pass through one at a time: only the block that is open is held, which spans `max_lines` at most.
     """
-    empty = F.array().cast(f"array<struct<{_struct()}>>")
-    begin = F.struct(empty.alias("done"), empty.alias("block"))
-
-    def block(b: Column) -> Column:
-        first, last = F.get(b, F.lit(0)), F.element_at(b, -1)
-        name = F.concat(parent_name(first["hierarchical_name"]), F.lit(".merged_L"), first["start_line"], F.lit("_L"), last["end_line"])
-        return F.struct(
-            F.lit("merged_block").alias("chunk_type"), name.alias("hierarchical_name"),
-            F.array_join(F.transform(b, lambda c: c["source_text"]), "\n\n").alias("source_text"), first["start_line"].alias("start_line"),
-            last["end_line"].alias("end_line"), first["start_byte"].alias("start_byte"), last["end_byte"].alias("end_byte"), first["jsdoc_text"].alias("jsdoc_text"),
-        )
-
-    def flushed(state: Column) -> Column:
-        return F.when(F.size(state["block"]) > 0, F.concat(state["done"], F.array(block(state["block"])))).otherwise(state["done"])
-
-    def step(state: Column, chunk: Column) -> Column:
-        lone = chunk["end_line"] - chunk["start_line"] >= min_lines
-        first, last = F.get(state["block"], F.lit(0)), F.try_element_at(state["block"], F.lit(-1))
-        joins = (F.size(state["block"]) > 0) & (parent_name(last["hierarchical_name"]) == parent_name(chunk["hierarchical_name"]))
-        joins = joins & (chunk["end_line"] - first["start_line"] <= max_lines)
-        return (
-            F.when(lone, F.struct(F.concat(flushed(state), F.array(chunk)).alias("done"), empty.alias("block")))
-            .when(F.coalesce(joins, F.lit(False)), F.struct(state["done"].alias("done"), F.concat(state["block"], F.array(chunk)).alias("block")))
-            .otherwise(F.struct(flushed(state).alias("done"), F.array(chunk).alias("block")))
-        )
-
-    return F.aggregate(chunks, begin, step, flushed)
-
-
-def _struct() -> str:
-    return ", ".join(f"{c.split(' ')[0]}: {c.split(' ')[1]}" for c in _CHUNK.split(", "))
-
-
-def merge_table(chunks: DataFrame, file: str = "file", **limits: int) -> DataFrame:
-    """Merge the chunks of each file, ordered by their first byte. A file's chunks meet in one row."""
-    fields = [c.split(" ")[0] for c in _CHUNK.split(", ")]
-    whole = F.struct(*[F.col(c) for c in fields])
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte", whole.alias("c")))), lambda x: x["c"])
-    return chunks.groupBy(file).agg(merged(ordered, **limits).alias("_m")).select(file, F.inline("_m"))
+    names = [c.split(" ")[0] for c in _CHUNK.split(", ")]
+    first = ["start_byte", "end_byte", *[n for n in names if n not in ("start_byte", "end_byte")]]
+    placed = chunks.select(file, *names).repartition(file).sortWithinPartitions(file, *first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple] = []
+        for batch in batches:
+            done: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = None if row[4] is None or row[5] is None else row[5] - row[4]
+                lone = lines is not None and lines >= min_lines
+                if block and (lone or not _joins(block, row, max_lines)):
+                    done.append(_block(block))
+                    block = []
+                if lone:
+                    done.append(row)
+                else:
+                    block.append(row)
+            if done:
+                yield made(done)
+        if block:
+            yield made([_block(block)])
+
+    types = [to_arrow_type(chunks.schema[file].dataType), *[pa.int32() if c.endswith(" int") else pa.string() for c in _CHUNK.split(", ")]]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[file, *names])
+
+    return placed.mapInArrow(run, f"`{file}` {chunks.schema[file].dataType.simpleString()}, {_CHUNK}")
+
+
+def _parent(name: str | None) -> str | None:
+    return None if name is None else name.rpartition(".")[0]
+
+
+def _joins(block: list[tuple], row: tuple, max_lines: int) -> bool:
+    """Whether a short chunk (file, type, name, text, first line, last line, ...) goes on with an open block."""
+    first, last = block[0], block[-1]
+    if row[0] != last[0] or None in (row[2], last[2], row[5], first[4]):
+        return False
+    return _parent(last[2]) == _parent(row[2]) and row[5] - first[4] <= max_lines
+
+
+def _block(block: list[tuple]) -> tuple:
+    first, last = block[0], block[-1]
+    parent = _parent(first[2])
+    name = None if None in (parent, first[4], last[5]) else f"{parent}.merged_L{first[4]}_L{last[5]}"
+    return (first[0], "merged_block", name, "\n\n".join(c[3] for c in block if c[3] is not None), first[4], last[5], first[6], last[7], first[8])
 
 
 def code_chunks(files: DataFrame, providers: tuple[LanguageProvider, ...] = PROVIDERS) -> DataFrame:

@@ -1,10 +1,11 @@
 """A graph straight from source texts, for corpora without a code index.
 
 Declarations and what they name come from the source reader, file by file, once; names are then resolved by joins: a base or
-interface to a declaration of its name, in the same file before others; a call to a function or method of its own file, or to
-what the file imports under that name from another file of the corpus. Calls of what comes from packages are left out. What isn't
-found becomes a node of `unresolved.file`. Types of expressions aren't inferred, so a method of another file's class isn't
-found: a code index resolves far more.
+interface to a declaration of its name, in the same file before what the file imports under it, and that before others; a call to a
+function or method of its own file, to what the file imports under that name, or to a method of a class above the caller's. Imports are
+followed through re-exports to where a name is declared. Calls of what comes from packages are left out. What isn't found becomes a
+node of `unresolved.file`. Types of expressions aren't inferred, so a method of an unrelated class isn't found: a code index resolves
+far more.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import TYPESCRIPT, ext_of, name_of, posix, registry
 from ..staging import staged, unstage
+from . import modules
 from .graph import Graph, first_rows
 from .parser import Node, Parser, tokens
 
@@ -192,6 +194,19 @@ def parsed(files: DataFrame) -> DataFrame:
     return staged(files.where(F.col("ext").isin(*PARSED)).select("filePath", "content", "ext").mapInArrow(run, schema), "parsed")
 
 
+def _members(calls: DataFrame, others: DataFrame, declared: DataFrame) -> DataFrame:
+    """Calls with those that nothing was found for led to a method of a class above the caller's."""
+    source = node_id(F.col("source_type"), F.col("source"), F.col("filePath"))
+    owned = others.where("edge = 'DEFINED_IN'").select(source.alias("method"), F.col("found").alias("owner")).distinct()
+    methods = declared.where("type = 'Method'").select(F.col("id").alias("method"), "name").join(owned, "method").select("owner", "name", F.col("method").alias("id"))
+    bases = others.where("edge = 'INHERITS' AND source_type = 'Class' AND found IS NOT NULL").select(source.alias("owner"), F.col("found").alias("base")).distinct()
+    lost = calls.where("found IS NULL").withColumn("method", source)
+    inside = lost.where("source_type = 'Method'").join(owned, "method").unionByName(lost.where("source_type = 'Class'").withColumn("owner", F.col("method")))
+    above = modules.inherited(inside.select("owner", F.col("target").alias("name")), methods, bases)
+    met = inside.join(above.withColumnRenamed("name", "target"), ["owner", "target"]).groupBy("filePath", "at").agg(F.min("id").alias("above"))
+    return calls.join(met, ["filePath", "at"], "left").withColumn("found", F.coalesce("found", "above")).drop("above")
+
+
 def build(files: DataFrame, rejects: str | None = None) -> Graph:
     """Nodes and edges of a corpus (`relative_path`, `content`). JSON files have no node; other kinds than sources are Config.
 
@@ -211,19 +226,26 @@ def build(files: DataFrame, rejects: str | None = None) -> Graph:
 
     functions = declared.where("type IN ('Function', 'Method')")
     here = functions.groupBy(F.col("filePath").alias("_f"), F.col("name").alias("_n")).agg(F.min("id").alias("local"))
-    bare = F.regexp_replace("filePath", r"(\.d)?\.(ts|tsx|js|jsx|mjs)$", "")
-    stems = F.explode(F.array_distinct(F.array(bare, F.regexp_replace(bare, "/index$", ""))))
-    there = functions.where("type = 'Function'").select("id", "name", stems.alias("_s")).groupBy("_s", F.col("name").alias("_i")).agg(F.min("id").alias("far"))
+    imports, exports = (staged(f, "facts") for f in modules.facts(rows.where(F.col("ext").isin(*PARSED))))
+    imports = imports.where("stem IS NOT NULL").select(F.col("filePath").alias("_f"), F.col("known").alias("_k"), F.col("stem").alias("_s"), F.col("name").alias("_i")).distinct()
+    others = references.where("edge <> 'CALLS'").join(imports, (F.col("filePath") == F.col("_f")) & (F.col("target") == F.col("_k")), "left")
+    others = staged(others.drop("stem", "imported", "_f", "_k").withColumnsRenamed({"_s": "stem", "_i": "imported"}), "others")
+    asked = references.where("edge = 'CALLS'").unionByName(others.select(*references.columns)).where("stem IS NOT NULL")
+    declared_at = declared.select(F.explode(modules.stems(F.col("filePath"))).alias("stem"), "name", "type", "id")
+    found = modules.resolved_names(asked.select("stem", F.col("imported").alias("name"), F.col("target_type").alias("type")), declared_at, exports)
+    found = found.select(F.col("stem").alias("_s"), F.col("name").alias("_i"), F.col("type").alias("_y"), F.col("id").alias("there"))
+    imported = (F.col("stem") == F.col("_s")) & (F.col("imported") == F.col("_i")) & (F.col("target_type") == F.col("_y"))
     keys = ["filePath", "at", "edge", "source_type", "source", "target_type", "target", "callLine"]
     calls = references.where("edge = 'CALLS'").join(here, (F.col("filePath") == F.col("_f")) & (F.col("target") == F.col("_n")), "left")
-    calls = calls.join(there, (F.col("stem") == F.col("_s")) & (F.col("imported") == F.col("_i")), "left").select(*keys, F.coalesce("local", "far").alias("found"))
+    calls = staged(calls.join(found, imported, "left").select(*keys, F.coalesce("local", "there").alias("found")), "calls")
     # the file's own declaration has an id that follows from its name; of others, the first by path is worked out per name, so that a name
     # which many files declare meets no more rows than any other
     ids = declared.select(F.col("id").alias("_id"))
     named = declared.groupBy(F.col("type").alias("_t"), F.col("name").alias("_n")).agg(F.min_by("id", "filePath").alias("far"))
-    others = references.where("edge <> 'CALLS'")
     others = others.join(ids, node_id(F.col("target_type"), F.col("target"), F.col("filePath")) == F.col("_id"), "left")
-    others = others.join(named, (F.col("target_type") == F.col("_t")) & (F.col("target") == F.col("_n")), "left").select(*keys, F.coalesce("_id", "far").alias("found"))
+    others = others.join(named, (F.col("target_type") == F.col("_t")) & (F.col("target") == F.col("_n")), "left")
+    others = staged(others.join(found, imported, "left").select(*keys, F.coalesce("_id", "there", "far").alias("found")), "others")
+    calls = _members(calls, others, declared)
     resolved = staged(calls.unionByName(others), "resolved")
     target = F.coalesce("found", node_id(F.col("target_type"), F.col("target"), F.lit(UNRESOLVED)))
     phantoms = resolved.where("found IS NULL").select(target.alias("id"), F.lit(UNRESOLVED).alias("filePath"), F.col("target_type").alias("type"), F.col("target").alias("name"), F.lit(0).alias("line"), F.lit(True).alias("unresolved")).distinct()

@@ -6,19 +6,22 @@ target, is_implementation). `doc` and `ord` give the order in which an index lis
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import canonical, name_of
-from ..functions.symbols import contains, full_range, is_definition, parsed_symbol, span
+from ..functions.symbols import full_range, is_definition, parsed_symbol, span
+from ..sources.jsonarray import read_array
 
 NODE_TYPES = ("File", "Class", "Interface", "Function", "Method", "Config")
 EDGE_TYPES = ("CALLS", "DEFINED_IN", "USES", "IMPLEMENTS", "INHERITS")
-#: Lines of a file per bucket when positions meet the ranges around them.
-BUCKET = 256
 
 
 @dataclass(frozen=True)
@@ -35,18 +38,72 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def innermost(references: DataFrame, containers: DataFrame, file: str = "file", exclude_self: bool = True) -> DataFrame:
     """Each reference with the smallest container of its file around it, the first listed on a tie; others drop out.
 
-    `references`: file, ref, line, col, target. `containers`: file, ord, symbol, r (a full range). The join is on the file
-    and a bucket of lines, so a long file's references meet the containers near them; a container is repeated for the
-    buckets it covers. The least one per reference is a partial aggregate, not a sort.
+    `references`: file, ref, line, col, target. `containers`: file, ord, symbol, r (a full range). Both are sorted by file and
+    position and swept once: a container is open from its first position to its last, and a reference takes the smallest open one that
+    isn't its own target. Nothing is repeated, and what is held is what is open, however long a file is. Rows without a position,
+    and references without a file, drop out. Targets are compared with symbols as texts. `ord` is a
+    number or a struct of numbers. References that repeat as a whole are one.
     """
-    refs = references.withColumn("_b", F.floor(F.col("line") / BUCKET))
-    spread = containers.withColumn("_b", F.explode(F.sequence(F.floor(F.col("r.sl") / BUCKET), F.floor(F.col("r.el") / BUCKET))))
-    inside = contains(F.col("r"), F.col("line"), F.col("col"))
-    if exclude_self:
-        inside = inside & ~F.col("symbol").eqNullSafe(F.col("target"))
-    met = refs.join(spread, [file, "_b"]).where(inside)
-    best = F.min_by(F.col("symbol"), F.struct(span(F.col("r")).alias("span"), F.col("ord")))
-    return met.groupBy(*references.columns).agg(best.alias("container"))
+    position = lambda line, col: (F.col(line).alias("line"), F.col(col).alias("col"))
+    kind, order = containers.schema["symbol"].dataType, containers.schema["ord"].dataType
+    listed = F.array(*[(F.col(f"ord.{n}") if isinstance(order, T.StructType) else F.col("ord")).cast("long") for n in (order.names if isinstance(order, T.StructType) else ["ord"])])
+    blank = [F.lit(None).cast(t).alias(n) for n, t in (("el", "int"), ("ec", "int"), ("span", "long"), ("symbol", kind))]
+    opened = containers.select(
+        F.col(file).alias("file"), *position("r.sl", "r.sc"), F.col("r.el").alias("el"), F.col("r.ec").alias("ec"), span(F.col("r")).alias("span"), "symbol",
+        listed.alias("ord"), F.lit(None).cast(T.StructType(references.schema.fields)).alias("ref"), F.lit(None).cast("string").alias("own"),
+    )
+    asked = references.select(
+        F.col(file).alias("file"), *position("line", "col"), *blank, F.lit(None).cast("array<long>").alias("ord"), F.struct(*[F.col(c) for c in references.columns]).alias("ref"),
+        F.col("target").cast("string").alias("own"),
+    )
+    rows = opened.unionByName(asked).where(F.col("file").isNotNull() & F.col("line").isNotNull() & F.col("col").isNotNull())
+    # by a hash, not by the file itself: where both sides are dealt by file already, adaptive execution drops the repartition and
+    # then coalesces the sides apart. A container that opens at a reference's position is around it, so it comes first
+    swept = rows.repartition(F.xxhash64("file")).withColumn("mark", F.xxhash64("ref")).sortWithinPartitions("file", "line", "col", F.col("ref").isNotNull(), "mark")
+    schema = T.StructType([*references.schema.fields, T.StructField("container", kind)])
+    text = F.col("symbol").cast("string").alias("text")
+    return swept.select("file", "line", "col", "el", "ec", "span", "symbol", text, "own", "ord", "mark", "ref").mapInArrow(_swept(schema, exclude_self), schema)
+
+
+def _swept(schema: T.StructType, exclude_self: bool):
+    """Rows sorted by file and position, containers before references, to references with the container around them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, open_ = None, []  # what is open, the smallest first and the first listed of equals: (span, ord, arrival, el, ec, symbol, text)
+        arrived, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = [batch.column(i).to_pylist() for i in range(11)]
+            is_ref = batch.column(11).is_valid().to_pylist()
+            at, found = [], []
+            for i, (of, line, col, el, ec, width, symbol, text, own, order, mark) in enumerate(zip(*place, strict=True)):
+                if of != file:
+                    file, open_, last = of, [], None
+                if not is_ref[i]:
+                    if el is not None and ec is not None and (el, ec) >= (line, col):
+                        insort(open_, (width, order, arrived, el, ec, symbol, text))
+                        arrived += 1
+                    continue
+                if (line, col, mark) == last:
+                    continue
+                last, chosen, ended = (line, col, mark), None, []
+                for j, (_, _, _, last_line, last_col, name, known) in enumerate(open_):
+                    if (last_line, last_col) < (line, col):
+                        ended.append(j)
+                    elif not exclude_self or known != own:
+                        chosen = (name,)
+                        break
+                for j in reversed(ended):
+                    del open_[j]
+                if chosen is not None:
+                    at.append(i)
+                    found.append(chosen[0])
+            if at:
+                refs = batch.column(11).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*refs.flatten(), pa.array(found, batch.column(6).type)], names=schema.names)
+
+    return run
 
 
 def build(occurrences: DataFrame, relations: DataFrame, manifest: DataFrame, project: str, implied_inheritance: bool = False) -> Graph:
@@ -169,6 +226,5 @@ def export_json(graph: Graph, path: str) -> None:
 
 
 def read_json(spark, path: str) -> Graph:
-    """A graph from one JSON document with `nodes` and `edges` arrays."""
-    doc = spark.read.json(path, multiLine=True)
-    return Graph(doc.select(F.inline("nodes")), doc.select(F.inline("edges")))
+    """A graph from one JSON document with `nodes` and `edges` arrays, which several tasks read."""
+    return Graph(read_array(spark, path, array="nodes"), read_array(spark, path, array="edges"))

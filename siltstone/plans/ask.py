@@ -1,4 +1,4 @@
-"""Questions to the stores: four bounded lookups, and a deterministic plan that runs them."""
+"""Questions to the stores: four bounded lookups. `plans.loop` puts them together."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ CARD_RESULTS, CARD_CHARS = 3, 700
 CHUNK_RESULTS, CHUNK_CHARS = 4, 800
 GRAPH_CHARS, JSON_CHARS = 1500, 600
 NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
+TOOLS = ("cards", "chunks", "relations", "json")
 
 
 @dataclass
@@ -63,15 +64,25 @@ class Lookups:
         rows = jsonstore.search(self.spark.read.parquet(self.stores.json), wanted)
         return [tuple(r) for r in rows.select("relative_path", bounded(F.col("content"), JSON_CHARS)).collect()]
 
+    def run(self, tool: str, argument: str, files: list[str] | None = None) -> tuple[str, list[str]]:
+        """What a lookup says, as a text, and the files that it names."""
+        if tool == "cards":
+            found = self.cards(argument)
+            return "\n\n".join(f"# {path}\n{text}" for path, text in found), [path for path, _ in found]
+        if tool == "chunks":
+            rows = self.chunks(argument, files)
+            return "\n\n".join(f"--- {path} (line {line}) ---\n{text}" for path, line, text in rows), [path for path, *_ in rows]
+        if tool == "relations":
+            return self.relations(argument), []
+        if tool == "json":
+            rows = self.json(argument)
+            return "\n\n".join(f"--- {path} ---\n{text}" for path, text in rows), [path for path, _ in rows]
+        raise ValueError(f"{tool} isn't a lookup: {', '.join(TOOLS)}")
+
     def ask(self, question: str, thread: str = "default") -> str:
-        """Cards first, then chunks of the files they name, then the graph, then JSON. Answers are kept by thread."""
-        cards = self.cards(question)
-        parts = [f"# {path}\n{text}" for path, text in cards]
-        parts += [f"--- {path} (line {line}) ---\n{text}" for path, line, text in self.chunks(question, [path for path, _ in cards])]
-        parts.append(self.relations(question))
-        for word in question.split():
-            if "json" in word.lower():
-                parts += [f"--- {path} ---\n{text}" for path, text in self.json(word)]
-        answer = "\n\n".join(parts)
+        """A question by the plan that needs no model; see `plans.loop`. Answers are kept by thread."""
+        from .loop import Loop
+
+        answer = Loop(self).ask(question, thread).answer
         self.memory.setdefault(thread, []).extend([("user", question), ("assistant", answer)])
         return answer

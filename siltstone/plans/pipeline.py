@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.calls import Limits
 from ..functions.vectors import Provider, embed, hashed_provider
 from ..operators import audit, cards, chunks, fallback, gate, graph, jsonstore
 from ..sources import corpus, scip, tree
@@ -76,22 +77,23 @@ def run_graph(spark: SparkSession, index_path: str, manifest: DataFrame, stores:
 
 def run_cards(
     files: DataFrame, manifest: DataFrame, nodes: DataFrame, stores: Stores, resume: bool = False, by_content: bool = False,
-    summarise: cards.Summarise = cards.extractive, provider: Provider = hashed_provider,
+    summarise: cards.Summarise = cards.extractive, provider: Provider = hashed_provider, limits: Limits = Limits(),  # noqa: B008 - a constant
 ) -> DataFrame:
     """Cards of the manifest's files: a fresh store, or with `resume` those that are missing, with `by_content` also of changed files.
 
-    A resumed run takes out the cards of files that are gone. Files whose bytes aren't valid UTF-8 get none; they are told in a store of their own.
+    A resumed run takes out the cards of files that are gone. Files whose bytes aren't valid UTF-8 get none; they and those
+    whose summary failed are told in a store of their own.
     """
     spark, store = files.sparkSession, cards.card_store(files.sparkSession, stores.cards)
     wanted = corpus.with_content(manifest.select("relative_path"), files)
-    if "strict" in wanted.columns:
-        wanted.where(~F.col("strict")).select("relative_path", F.lit("bytes aren't valid UTF-8").alias("error")).write.mode("overwrite").parquet(stores.card_rejects)
-        wanted = wanted.where("strict")
+    broken = wanted.where(~F.col("strict")) if "strict" in wanted.columns else wanted.limit(0)
+    broken.select("relative_path", F.lit("bytes aren't valid UTF-8").alias("error"), F.lit(0).alias("tries")).write.mode("overwrite").parquet(stores.card_rejects)
+    wanted = wanted.where("strict") if "strict" in wanted.columns else wanted
     gone, resume = None, resume and store.exists()
     if resume:
         known = store.read()
         wanted, gone = cards.pending(wanted, known, by_content), cards.gone(wanted, known)
-    cards.write_cards(cards.build_cards(wanted, nodes, summarise, provider), stores.cards, resume, gone)
+    cards.write_cards(cards.build_cards(wanted, nodes, summarise, provider, limits, stores.card_rejects), stores.cards, resume, gone)
     if resume:
         store.compact(COMPACT_VERSIONS)
         store.vacuum()

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, symbols, text
 from ..operators import audit, cards, chunks, fallback, gate, graph, jsonstore, search
+from ..operators.trigrams import TrigramIndex
+from ..operators.vectorindex import VectorIndex
 from ..operators.versions import Versions
 from ..sources import corpus
 from ..staging import staged_folder
@@ -426,6 +428,86 @@ def cards_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.pending(files, done).select(F.col("relative_path").alias("doc_id"), "source")
 
 
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated TypeScript: modules that declare, hand on as a whole, rename, go round in circles or export by default, and a user of each; chains of classes."""
+    p = F.col("p_partkey")
+    at = lambda text, n=0: F.concat(F.lit(text), p + n)
+    line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("\n"))
+    kind, mod = F.pmod(p, F.lit(6)), lambda n: at("./m", n)
+    body = (
+        F.when(kind == 0, line("export function ", at("f"), "() {\n}")).when(kind == 1, line("export * from '", mod(-1), "';"))
+        .when(kind == 2, line("export { ", at("f", -2), " as ", at("g"), " } from '", mod(-1), "';")).when(kind == 3, line("export * from '", mod(1), "';\nexport * from \"", mod(-1), ".js\";"))
+        .when(kind == 4, line("// export * from './none';\nexport * from '", mod(-1), "';")).otherwise(line("function ", at("h"), "() {\n}\nexport { ", at("h"), " as default };"))
+    )
+    name = F.when(kind == 0, at("f")).when(kind == 1, at("f", -1)).when(kind == 2, at("g")).when(kind == 3, at("g", -1)).otherwise(at("g", -2))
+    clause = F.when(kind == 5, "call").otherwise(F.concat(F.lit("{ "), name, F.lit(" as call }")))
+    use = line("import ", clause, " from '../lib/m", p.cast("string"), "';\nexport function ", at("run"), "() {\n  call();\n}")
+    parts = _t(spark, sf_dir, "part")
+    out = parts.select(F.concat(at("proj/lib/m"), F.lit(".ts")).alias("relative_path"), body.alias("content")).unionByName(
+        parts.select(F.concat(at("proj/app/u"), F.lit(".ts")).alias("relative_path"), use.alias("content"))
+    )
+    s, root = F.col("s_suppkey"), F.col("s_suppkey") - F.pmod("s_suppkey", F.lit(4))
+    base = F.when(F.pmod(s, F.lit(4)) != 0, F.concat(F.lit("import { C"), s - 1, F.lit(" } from './c"), s - 1, F.lit("';\n"))).otherwise("\n")
+    over = F.when(F.pmod(s, F.lit(4)) != 0, F.concat(F.lit(" extends C"), s - 1)).otherwise("")
+    text = F.concat(base, F.lit("export class C"), s, over, F.lit(" {\n  own"), s, F.lit("() {\n  }\n  go() {\n    this.own"), root, F.lit("();\n  }\n}\n"))
+    classes = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("proj/cls/c"), s, F.lit(".ts")).alias("relative_path"), text.alias("content"))
+    return out.unionByName(classes).repartition(2 * spark.sparkContext.defaultParallelism)
+
+
+def module_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What calls and bases lead to over imports, re-exports and inheritance."""
+    edges = fallback.build(_modules(spark, sf_dir)).edges
+    return edges.where("type IN ('CALLS', 'INHERITS')").select("source", "target", "type", "callLine")
+
+
+MODULE_SQL = """
+WITH RECURSIVE mods AS (SELECT p_partkey AS p, p_partkey % 6 AS kind FROM part),
+declared AS (SELECT p, CASE kind WHEN 0 THEN 'f' ELSE 'h' END || p AS name FROM mods WHERE kind IN (0, 5)),
+named AS (SELECT p, 'g' || p AS known, p - 1 AS over, 'f' || (p - 2) AS name FROM mods WHERE kind = 2 UNION ALL SELECT p, 'default', p, 'h' || p FROM mods WHERE kind = 5),
+whole AS (SELECT p, p - 1 AS over FROM mods WHERE kind IN (1, 3, 4) UNION ALL SELECT p, p + 1 FROM mods WHERE kind = 3),
+walk AS (
+  SELECT p AS ask, p AS at, CASE kind WHEN 0 THEN 'f' || p WHEN 1 THEN 'f' || (p - 1) WHEN 2 THEN 'g' || p WHEN 3 THEN 'g' || (p - 1) WHEN 4 THEN 'g' || (p - 2) ELSE 'default' END AS name FROM mods
+  UNION
+  SELECT ask, over, CASE WHEN how THEN n ELSE w.name END FROM walk w JOIN (
+    SELECT p, known, over, name AS n, true AS how FROM named UNION ALL SELECT p, NULL, over, NULL, false FROM whole) e ON e.p = w.at AND (e.known = w.name OR NOT how)),
+led AS (SELECT ask, min('Function::' || d.name || '::proj/lib/m' || d.p || '.ts') AS id FROM walk w JOIN declared d ON d.p = w.at AND d.name = w.name GROUP BY ask),
+cls AS (SELECT s_suppkey AS s, s_suppkey % 4 AS k FROM supplier),
+above AS (
+  SELECT s AS ask, s AS at FROM cls UNION SELECT ask, c.s FROM above a JOIN cls b ON b.s = a.at AND b.k <> 0 JOIN cls c ON c.s = a.at - 1)
+SELECT 'Function::run' || p || '::proj/app/u' || p || '.ts' AS source, coalesce(id, 'Function::call::unresolved.file') AS target, 'CALLS' AS type, 3 AS "callLine" FROM mods LEFT JOIN led ON ask = p
+UNION ALL
+SELECT 'Class::C' || b.s || '::proj/cls/c' || b.s || '.ts', CASE WHEN c.s IS NULL THEN 'Class::C' || (b.s - 1) || '::unresolved.file' ELSE 'Class::C' || c.s || '::proj/cls/c' || c.s || '.ts' END, 'INHERITS', NULL
+FROM cls b LEFT JOIN cls c ON c.s = b.s - 1 WHERE b.k <> 0
+UNION ALL
+SELECT 'Method::go::proj/cls/c' || s || '.ts', CASE WHEN a.at IS NULL THEN 'Function::own' || (s - k) || '::unresolved.file' ELSE 'Method::own' || a.at || '::proj/cls/c' || a.at || '.ts' END, 'CALLS', 6
+FROM cls LEFT JOIN above a ON a.ask = s AND a.at = s - k"""
+
+
+def json_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as `json_search`, by trigrams."""
+    index = TrigramIndex(spark, staged_folder(spark, "trigrams"), "relative_path", ("relative_path", "content"))
+    found = index.write(jsonstore.store(_json_files(spark, sf_dir), "event_id")).search("EVENTS/E12")
+    return found.orderBy("relative_path").limit(jsonstore.LIMIT).select("relative_path")
+
+
+def text_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as `text_search`, by trigrams."""
+    index = TrigramIndex(spark, staged_folder(spark, "trigrams"), "doc_id", ("source", "text"))
+    return index.write(_t(spark, sf_dir, "documents").select("doc_id", "source", "text")).search("THIS").select("doc_id")
+
+
+def cards_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as `cards_topk`, by clusters."""
+    index = VectorIndex(spark, staged_folder(spark, "clusters"), "vec_id").write(_t(spark, sf_dir, "embeddings"))
+    return index.nearest(_vector(spark, sf_dir), 3).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def chunks_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as `chunks_topk_filtered`, by clusters."""
+    index = VectorIndex(spark, staged_folder(spark, "clusters"), "vec_id", metric="l2").write(_t(spark, sf_dir, "embeddings"))
+    return index.nearest(_vector(spark, sf_dir), 4, F.col("label").isin(1, 3, 5)).select("vec_id", F.round("similarity", 4).alias("distance"))
+
+
 def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a store by key, labels as versions of it: good ones change rows, toxic ones take them out, some come back; compacted on the way."""
     docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
@@ -492,12 +574,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         audit_totals, primary_language, cards_topk, chunks_topk_filtered, vector_preview, json_store, json_search, graph_nodes, graph_edges, graph_stats,
         graph_neighbours, node_types, file_children, symbol_parse, innermost_container, chunk_merge, text_split, doc_comment_clean, chunk_format, truncated, prompts,
         parent_names, file_cards, cards_resume, text_search, code_chunks, source_graph, manifest_top20, manifest_top30, dir_top10_level1, file_nodes, index_nodes, index_edges,
-        store_versions,
+        store_versions, json_search_indexed, text_search_indexed, cards_topk_indexed, chunks_topk_indexed, module_names,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
+    out = _plain_sql()
+    indexed = {"json_search_indexed": "json_search", "text_search_indexed": "text_search", "cards_topk_indexed": "cards_topk", "chunks_topk_indexed": "chunks_topk_filtered"}
+    return out | {name: out[plain] for name, plain in indexed.items()}
+
+
+def _plain_sql() -> dict[str, str]:
     similarity = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
     return {
         "file_kinds": _sql(
@@ -586,6 +674,7 @@ def oracle_sql() -> dict[str, str]:
         "file_cards": f"""WITH {GRAPH_CTE} SELECT filePath, md5('# Card: ' || filePath || chr(10) || '## Purpose' || chr(10) || 'A nation.' || chr(10) || chr(10) || '## Classes (' || count(*) || ')'
             || chr(10) || string_agg('- **' || name || '**: 0 members', chr(10) ORDER BY name)) AS digest, count(*) AS classes FROM nodes WHERE type = 'Class' GROUP BY filePath""",
         "cards_resume": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+        "module_names": MODULE_SQL,
         "store_versions": """WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1 AND quality = 0) AS out, bool_or(toxic = 1 AND doc_id % 3 = 0) AS back,
             bool_or(quality = 1 AND doc_id % 5 = 0) AS later FROM labels GROUP BY doc_id),
             k AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.source, d.n_chars, d.doc_id IS NOT NULL AS stored, coalesce(good, false) AS good, coalesce(out, false) AS out, coalesce(back, false) AS back,

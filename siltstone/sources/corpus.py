@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import posix
+from .jsonarray import read_array
 
 # Directories that hold no sources of their own.
 EXCLUDED_DIRS = (
@@ -52,8 +53,8 @@ def scan(spark: SparkSession, root: str, project: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A manifest from one JSON array, or with `lines` from the JSON lines that the audit writes."""
-    return spark.read.schema(MANIFEST).json(path, multiLine=not lines)
+    """A manifest from one JSON array, which several tasks read, or with `lines` from the JSON lines that the audit writes."""
+    return spark.read.schema(MANIFEST).json(path) if lines else read_array(spark, path, MANIFEST)
 
 
 def with_content(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..staging import staged
+from .seek import listed, opened
 
 # Field numbers of the published schema.
 INDEX_DOCUMENT = 2
@@ -161,18 +162,6 @@ def document_spans(f: BinaryIO, size: int) -> Iterator[tuple[int, int]]:
         at += n + length
 
 
-def _opened(path: str) -> tuple[BinaryIO, int]:
-    """A file that can be sought in, and its size: of the local file system, or of a store that Arrow reaches."""
-    if path.startswith("file:") or "://" not in path:
-        f = open("/" + path.removeprefix("file:").lstrip("/"), "rb")  # noqa: SIM115 - the caller closes it
-        return f, f.seek(0, 2)
-    from pyarrow import fs
-
-    store, below = fs.FileSystem.from_uri(path)
-    f = store.open_input_file(below)
-    return f, f.size()
-
-
 @dataclass
 class Documents(InputPartition):
     """Documents of an index: its path, and number, offset and length of each."""
@@ -203,7 +192,7 @@ class ScipReader(DataSourceReader):
         """Only the heads of fields are read here."""
         out = []
         for i, path in enumerate(self.paths):
-            f, size = _opened(path)
+            f, size = opened(path)
             with f:
                 group, total = [], 0
                 for doc, (offset, length) in enumerate(document_spans(f, size)):
@@ -219,7 +208,7 @@ class ScipReader(DataSourceReader):
     def read(self, partition: Documents) -> Iterator[pa.RecordBatch]:
         rows = []
         if partition.spans:
-            f, _ = _opened(partition.path)
+            f, _ = opened(partition.path)
             with f:
                 for doc, offset, length in partition.spans:
                     f.seek(offset)
@@ -246,7 +235,7 @@ def read_scip(spark: SparkSession, path: str, partition_bytes: int = PARTITION_B
     index is parsed once, whatever is made of it.
     """
     spark.dataSource.register(ScipIndex)
-    paths = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    paths = listed(spark, path)
     rows = staged(spark.read.format("scip").options(paths=json.dumps(paths), partitionBytes=str(partition_bytes)).load(), "scip")
     occurrences = rows.where(F.col("is_implementation").isNull()).drop("target", "is_implementation")
     relations = rows.where(F.col("is_implementation").isNotNull()).select("doc", "ord", "relative_path", F.col("symbol").alias("source"), "target", "is_implementation")
