@@ -1,6 +1,8 @@
 """Best-fit packing of documents into bins of a fixed number of words, under conflicts.
 
-Two documents of one duplicate cluster never share a bin, and a bin takes a bounded number of documents of one source.
+Two documents of one duplicate cluster never share a bin, and a bin takes a bounded number of documents of one source. That bound gives
+way by need: once there are as many bins as the words need at least, a document that no bin takes under it goes to the tightest one
+that has room and none of its cluster. So tables of few sources fill their bins as others do.
 Bins are kept in the order of what they have left, each with a bitmap of its duplicate clusters and bitmaps of the
 sources it holds once, twice and so on. A document goes to the tightest bin that has room and no conflict: a
 successor search by size, continued upwards until a compatible bin is found, else a new bin.
@@ -48,6 +50,7 @@ class Bins:
         return not (self.clusters[b] & cluster or self.sources[b][-1] & source)
 
     def tightest(self, size: int, source: int, cluster: int) -> int | None:
+        """The bin with the least room that takes it; a source of 0 is no source, and has no bound."""
         for i in range(bisect_left(self.left, size), len(self.left)):
             for b in self.at[self.left[i]]:
                 if self.fits(b, source, cluster):
@@ -63,7 +66,7 @@ class Bins:
                 self.left.pop(bisect_left(self.left, before))
         self.words[b] += size
         self.clusters[b] |= cluster
-        level = next(i for i, seen in enumerate(self.sources[b]) if not seen & source)
+        level = next((i for i, seen in enumerate(self.sources[b]) if not seen & source), -1)
         self.sources[b][level] |= source
         after = self.capacity - self.words[b]
         if after:
@@ -73,11 +76,13 @@ class Bins:
             self.at[after].append(b)
 
 
-def pack_shard(docs: list[tuple], capacity: int, max_per_source: int) -> tuple[list[tuple], list[int]]:
+def pack_shard(docs: list[tuple], capacity: int, max_per_source: int, loosen: bool = False) -> tuple[list[tuple], list[int]]:
     """Pieces (document's number, piece, first word, words, bin) and the bins' words, of (id, size, source, cluster).
 
-    A document longer than a bin fills bins of its own and goes on as what is left.
+    A document longer than a bin fills bins of its own and goes on as what is left. With `loosen` the bound per source gives way
+    once there are as many bins as the words need.
     """
+    least = -(-sum(d[1] for d in docs) // capacity)
     sources = {s: 1 << i for i, s in enumerate(dict.fromkeys(d[2] for d in docs))}
     shared = [c for c, n in Counter(d[3] for d in docs).items() if n > 1]
     clusters = {c: 1 << i for i, c in enumerate(shared)}
@@ -92,6 +97,8 @@ def pack_shard(docs: list[tuple], capacity: int, max_per_source: int) -> tuple[l
             continue
         s, c = sources[source], clusters.get(cluster, 0)
         b = bins.tightest(rest, s, c)
+        if b is None and loosen and len(bins.words) >= least:
+            b = bins.tightest(rest, 0, c)
         b = bins.new() if b is None else b
         bins.put(b, rest, s, c)
         pieces.append((i, whole, whole * capacity, rest, b))
@@ -104,7 +111,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: the key, `piece`, `start` (its first word, from 0), `n_words`, `bin_id`, `bin_words`.
 
-    `cluster` names a document's duplicate cluster; by default documents with the same text up to case are one.
+    `cluster` names a document's duplicate cluster, as `near_duplicates` gives them; by default documents with the same text up to case are one.
+    `max_per_source` is what a bin takes of a source while there are fewer bins than the words of a shard need.
     Only keys, word counts, sources and cluster hashes move. Documents without a word (null, empty, blank texts)
     have one row with no words and a null bin. Rows that repeat are documents of one cluster, so they land in
     different bins. Ties in size go by key. Keys are longs; what isn't one counts as null. A null source is a source of its own.
@@ -120,7 +128,7 @@ def pack(
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, group in _shards(batches):
-            pieces, words = pack_shard(group, capacity, max_per_source)
+            pieces, words = pack_shard(group, capacity, max_per_source, loosen=True)
             for i in range(0, len(pieces), 50_000):
                 n, p, start, size, b = zip(*pieces[i : i + 50_000], strict=True)
                 yield pa.RecordBatch.from_arrays(

@@ -16,6 +16,9 @@ Scores are integers throughout.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nsmallest
+from math import isqrt
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from .common import staged, staged_folder, unstage
 K = 20
 #: Queries that go to the shards at a time, and vectors that give them their first threshold.
 BLOCK_ROWS, PILOT_ROWS = 8192, 4096
+#: Queries that are asked in Python's integers at a time.
+WIDE_ROWS = 1024
 #: The largest shard.
 SHARD_ROWS = 8192
 #: Queries that go through a shard together, and lists that are traversed, and probed, at a time once the essential ones are through.
@@ -44,6 +49,11 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.when(~F.coalesce(bad, F.lit(True)), F.transform(wide, lambda x: F.floor(x * F.lit(float(scale)))))
 
 
+def narrow_bound(size: int) -> int:
+    """Components of at most so much have products that fit a long, in vectors of so many."""
+    return isqrt(((1 << 61) - 1) // max(size, 1))
+
+
 def exact_type(most: float, size: int) -> type:
     """The narrowest number type in which products of vectors of so many components, of at most so much, are exact."""
     reach = int(most) ** 2 * max(size, 1)
@@ -64,6 +74,7 @@ class Shard:
         self.ids, self.lists = ids, np.ascontiguousarray(matrix.T)
         self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
         self.none = least_of(matrix.dtype.type)
+        self.touched = self.entries = 0  # list entries that queries looked at, and those that there were
 
     def best(self, queries: np.ndarray, own: np.ndarray, k: int, thresholds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k best vectors for each of a few queries that reach its threshold, ties to smaller keys: query, position, score.
@@ -81,6 +92,7 @@ class Shard:
         rest = np.zeros((len(queries), size + 1), queries.dtype)  # what a vector may have without the lists before
         rest[:, :size] = np.cumsum(bound[:, ::-1], axis=1)[:, ::-1]
         rest += base[:, None]
+        self.entries += len(queries) * size * n
         # without its essential lists, all that the others add up to stays below the threshold
         essential = int(min(size, (rest >= thresholds[:, None]).sum(axis=1).max(initial=0)))
         if not (rest[:, 0] >= thresholds).any():
@@ -98,11 +110,13 @@ class Shard:
             upto = min(at + STEP, size)
             score += queries[:, at:upto] @ self.lists[order[at:upto]] - least[:, at:upto].sum(axis=1)[:, None]
             at = upto
+        self.touched += len(queries) * at * n
         traversed, (of, at) = at, np.nonzero(alive)
         score = score[of, at]
         for begin in range(traversed, size, STRIDE):
             end = min(begin + STRIDE, size)
             probed = self.lists[np.ix_(order[begin:end], at)].T
+            self.touched += probed.size
             score = score + (queries[of, begin:end] * probed).sum(axis=1) - least[of, begin:end].sum(axis=1)
             keep = score + rest[of, end] >= thresholds[of]
             of, at, score = of[keep], at[keep], score[keep]
@@ -174,19 +188,50 @@ def _piloted(batches: Iterator[pa.RecordBatch], pilot: pa.Table, kind: type, k:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reached, pa.int64())], names=["id", "v", "block", "reached"])
 
 
+def _wide(batches: Iterator[pa.RecordBatch], queries: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, v) to the k best for each query (id, v), in Python's integers; scores beyond a long count as the least or greatest."""
+    asked = list(zip(queries["id"].to_pylist(), queries["v"].to_pylist(), strict=True))
+    for batch in batches:
+        rows = list(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True))
+        for key, vector in asked:
+            scored = [(-max(-(1 << 63), min((1 << 63) - 1, sum(map(mul, vector, v)))), i) for i, v in rows if i != key and len(v) == len(vector)]
+            best = nsmallest(k, scored)
+            if best:
+                yield pa.RecordBatch.from_pydict({"query_id": [key] * len(best), "vec_id": [i for _, i in best], "score": [-s for s, _ in best]})
+
+
+def _ask_wide(queries: DataFrame, candidates: DataFrame, path: str, k: int) -> None:
+    """Exact scores of queries with candidates where either has huge components: queries go to where the candidates are, some at a time."""
+    numbered = queries.distinct()
+    blocks = max(1, -(-numbered.count() // WIDE_ROWS))
+    for block in range(blocks):
+        own = numbered.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)) == block).toArrow()
+        if own.num_rows:
+            sent = candidates.sparkSession.sparkContext.broadcast(own)
+            candidates.mapInArrow(lambda batches, sent=sent: _wide(batches, sent.value, k), BEST).write.mode("append").parquet(path)
+            sent.unpersist()
+
+
 def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
     """Each query's k best vectors by integer inner product, its own key left out: `query_id`, `rank`, `vec_id`, `score`.
 
     Vectors that are null or hold a null or non-finite component take no part, neither do rows without a key. A
     vector has no product with one of another length. Repeated rows of a key are candidates each; ranks among rows
     that tie in score and key are arbitrary and their values equal. A repeated query is asked once, if its vectors
-    are equal. Fewer candidates than k give fewer rows. Components so large that products may not fit a long raise.
+    are equal. Fewer candidates than k give fewer rows. Rows with components so large that products may not fit a long
+    are scored in Python's integers; such a score beyond a long counts as the least or greatest long, and so does a component.
     Other columns don't matter, whatever their names.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), quantised(F.col(vector)).alias("v"))
     rows = staged(rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()), "vectors")
     largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    path, whole = staged_folder(spark, "best"), rows
+    bound = narrow_bound(rows.agg(F.max(F.size("v"))).first()[0] or 0)
+    if not (huge := rows.where(largest > bound)).isEmpty():
+        rows = staged(rows.where(F.coalesce(largest <= bound, F.lit(True))), "narrow")
+        _ask_wide(huge.where("query").select("id", "v"), whole.select("id", "v"), path, k)
+        _ask_wide(rows.where("query").select("id", "v"), huge.select("id", "v"), path, k)
     n = rows.agg(F.count("*").alias("n"), F.count_if("query").alias("q"), F.max(largest).alias("most"), F.max(F.size("v")).alias("size")).first()
     kind = exact_type(n["most"] or 0.0, n["size"] or 0)
     here = rows.select("id", "v")
@@ -195,7 +240,6 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     blocks = max(1, -(-n["q"] // BLOCK_ROWS))
     asked = rows.where("query").select("id", "v").distinct().withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
     asked = staged(asked.mapInArrow(lambda batches: _piloted(batches, pilot.value, kind, k), "id long, v array<long>, block int, reached long"), "queries")
-    path = staged_folder(spark, "best")
     for block in range(blocks):
         own = asked.where(F.col("block") == block).select("id", "v", "reached").toArrow()
         reached = [least_of(kind) if r is None else r for r in own["reached"].to_pylist()]
@@ -204,7 +248,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
         best = here.mapInArrow(lambda batches, sent=sent: _searched(batches, sent.value, kind, k), BEST)
         best.write.mode("append").parquet(path)
         sent.unpersist()
-    for done in (asked, rows):
+    for done in {id(d): d for d in (asked, rows, whole)}.values():
         unstage(done)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = spark.read.schema(BEST).parquet(path)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import clusters, dialogue, queries, rules, urls
+from siltstone.llm import clusters, dialogue, packing, queries, rules, topk, urls
 from siltstone.llm.common import read_table
 
 VECTORS = "vec_id long, embedding array<double>"
@@ -341,3 +341,59 @@ def test_order_of_rules_by_sample(spark):
     assert work(want) < 0.9 * work([r.name for r in given]) and want[0] == "symbols"
     many = spark.createDataFrame([(i, texts[5]) for i in range(500)], "doc_id long, text string")
     assert sum(rules.measured(many, given, sample_rows=10**6)[1].values()) == 500
+
+
+# --- search and packing: huge components, pruning, few sources
+
+
+def test_huge_components_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "WIDE_ROWS", 2)
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-50, 50)) for _ in range(3)]) for i in range(80)]
+    rows += [(100 + i, [rng.choice([1e10, -3e9, 1e15, 0.0]), float(rng.randrange(-9, 9)), rng.choice([0.0, 1.0, 2.0**40])]) for i in range(30)] + [(200, [1e300, 1.0, 0.0]), (220, [1e300, 0.0]), (7, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in topk.search(df, F.col("vec_id") % 20 == 0, k=9).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    top = (1 << 63) - 1
+    whole = [(i, [max(-top - 1, min(top, math.floor(64 * x))) for x in v]) for i, v in rows]
+    for q, v in whole:
+        if q % 20 == 0:
+            scored = [(-max(-top - 1, min(top, sum(a * b for a, b in zip(v, u, strict=True)))), i) for i, u in whole if i != q and len(u) == len(v)]
+            assert got.get(q, []) == [(i, -s) for s, i in sorted(scored)[:9]]
+
+
+def test_share_of_entries_that_are_looked_at():
+    """Lists that few vectors are heavy in let most of the others be; where all components are alike there is little to prune."""
+    rng = np.random.default_rng(4)
+    skewed = np.floor(rng.normal(size=(4000, 64)) * 64 * 0.7 ** np.arange(64)).astype(np.float64)
+    alike = np.floor(rng.normal(size=(4000, 64)) * 8).astype(np.float64)
+    share = {}
+    for name, matrix in (("skewed", skewed), ("alike", alike)):
+        shard = topk.Shard(np.arange(4000), matrix)
+        pilot = np.sort(matrix[:64] @ matrix[64:1064].T, axis=1)[:, -20]  # what a pilot of 1,000 says
+        shard.best(matrix[:64], np.arange(64), 20, pilot)
+        share[name] = shard.touched / shard.entries
+    assert share["skewed"] < 0.5 < share["alike"] <= 1
+
+
+def test_one_source_fills_its_bins(spark):
+    """Bins of one source are filled like others; near that bound no bin has two of a cluster, and many sources still mix."""
+    rng = random.Random(3)
+    size = lambda: rng.choice([5, 20, 60, 150, 400]) + rng.randrange(20)
+    for sources in ("a", "aaaaab"):
+        rows = [(i, " ".join(["w"] * size()) + f" {i % 400}", rng.choice(sources)) for i in range(1500)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = packing.pack(docs, cluster=F.pmod("doc_id", F.lit(400)), capacity=2048).collect()
+        fill = {r["bin_id"]: r["bin_words"] for r in got}
+        assert sum(fill.values()) / (2048 * len(fill)) > 0.95 and sum(fill.values()) == sum(len(t.split()) for _, t, _ in rows)
+        held = {}
+        for r in got:
+            held.setdefault(r["bin_id"], []).append(r["doc_id"] % 400)
+        assert all(len(set(h)) == len(h) for h in held.values())
+    group = [(i, 10, f"s{i % 30}", i) for i in range(300)]
+    pieces, words = packing.pack_shard(group, 100, 3, loosen=True)
+    per = {}
+    for i, *_, b in pieces:
+        per.setdefault(b, []).append(group[i][2])
+    assert len(words) == 30 and all(max(own.count(s) for s in own) <= 3 for own in per.values())  # sources enough: the bound holds
