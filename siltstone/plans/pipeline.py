@@ -10,10 +10,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calls import Limits
+from ..functions import vectors
+from ..functions.calls import Caller, Limits
+from ..functions.paths import language_support
 from ..functions.vectors import Provider, embed, hashed_provider
 from ..operators import audit, cards, chunks, fallback, gate, graph, jsonstore
-from ..sources import corpus, scip, tree
+from ..sources import corpus, scip, seek, tree
 from ..sources.config import Settings, load_settings, missing_keys, missing_modules
 
 STAGES = ("audit", "graph", "cards", "chunks", "json")
@@ -163,8 +165,15 @@ def build(spark: SparkSession, settings: Settings, index_path: str | None = None
     return Stores(settings.store_root)
 
 
-def doctor(spark: SparkSession, stores: Stores, settings_path: str | None = None) -> DataFrame:
-    """A row per check: `pass` and a store's rows, `warn` for an empty store or settings and modules that are missing, or `fail`."""
+def doctor(
+    spark: SparkSession, stores: Stores, settings_path: str | None = None, settings: Settings | None = None, index_path: str | None = None, provider: Provider | None = None,
+    limits: Limits = Limits(deadline=10.0, retries=0),  # noqa: B008 - a constant
+) -> DataFrame:
+    """A row per check: `pass` and a store's rows, `warn` for an empty store or settings and modules that are missing, or `fail`.
+
+    With settings also the sources that there are, languages that the gate stops, the graph's backend and its index, and files that got no card; with
+    an embedding provider whether it answers in time, and in the dimension of the stored vectors.
+    """
     rows = []
     for name in ("manifest", "graph/nodes", "graph/edges", "cards", "chunks", "json"):
         try:
@@ -176,9 +185,55 @@ def doctor(spark: SparkSession, stores: Stores, settings_path: str | None = None
     if settings_path is not None:
         for what, missing in (("settings", missing_keys(settings_path)), ("modules", missing_modules())):
             rows.append((f"{what}: {', '.join(missing) or 'all there'}", "warn" if missing else "pass", len(missing)))
+    if settings is not None:
+        rows += _settings_checks(spark, stores, settings, index_path)
+    if provider is not None:
+        outcome = Caller(provider, limits).one((["a probe"],))
+        found = len(outcome.value[0]) if outcome.error is None else None
+        stored = vectors.dimension(cards.card_store(spark, stores.cards).read()) if rows[3][1] == "pass" else None
+        said = outcome.error or ("as stored" if stored in (None, found) else f"stored are {stored}")
+        rows.append((f"embeddings: {said}", "fail" if outcome.error else "pass" if stored in (None, found) else "fail", found))
     return spark.createDataFrame(rows, "store string, status string, rows long")
 
 
+def _settings_checks(spark: SparkSession, stores: Stores, settings: Settings, index_path: str | None) -> list[tuple]:
+    rows = []
+
+    def check(name: str, look: Callable[[], tuple[str, str, int | None]]) -> None:
+        try:
+            said, status, n = look()
+            rows.append((f"{name}: {said}", status, n))
+        except Exception as e:  # what can't be looked at fails
+            rows.append((f"{name}: {str(e).splitlines()[0][:80]}", "fail", None))
+
+    def sources() -> tuple[str, str, int]:
+        files = tree.walk(spark, settings.source_root, settings.project, content=False)
+        n, typed = files.count(), audit.typescript_files(files.withColumn("language", language_support(F.col("relative_path"))["language"]))
+        return f"{typed} TypeScript", "pass" if n else "warn", n
+
+    def languages() -> tuple[str, str, int]:
+        stopped = [r["language"] for r in gate.blocking(spark.read.parquet(stores.coverage)).collect()]
+        return ", ".join(sorted(x or "unknown" for x in stopped)) or "none is stopped", "warn" if stopped else "pass", len(stopped)
+
+    def backend() -> tuple[str, str, None]:
+        _checked(settings, index_path)
+        return settings.graph_backend, "pass", None
+
+    def index() -> tuple[str, str, int]:
+        n = len(seek.listed(spark, index_path))
+        return index_path, "pass" if n else "fail", n
+
+    def rejected() -> tuple[str, str, int]:
+        n = spark.read.parquet(stores.card_rejects).count()
+        return "files without a card of their own", "warn" if n else "pass", n
+
+    for name, look in (("sources", sources), ("languages", languages), ("backend", backend), ("rejects", rejected)):
+        check(name, look)
+    if settings.graph_backend == "scip" and index_path:
+        check("index", index)
+    return rows
+
+
 def tallies(checks: DataFrame) -> DataFrame:
     """How many checks passed, warned and failed."""
     return checks.groupBy("status").agg(F.count("*").alias("n"))
@@ -193,7 +248,7 @@ def main(args: list[str]) -> int:
         settings, what, index = load_settings(given[0]), given[1], given[2] if len(given) > 2 else None
         spark = session()
         if what == "doctor":
-            found = doctor(spark, Stores(settings.store_root), given[0]).collect()
+            found = doctor(spark, Stores(settings.store_root), given[0], settings, index, hashed_provider).collect()
             print("\n".join(f"{r['status']:<6}{r['store']} {'' if r['rows'] is None else r['rows']}" for r in found))
             return int(any(r["status"] == "fail" for r in found))
         if what == "all":

@@ -460,6 +460,25 @@ def module_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.where("type IN ('CALLS', 'INHERITS')").select("source", "target", "type", "callLine")
 
 
+def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the generated modules declare, with lines, and what isn't found."""
+    return fallback.build(_modules(spark, sf_dir)).nodes.select("id", "name", "type", "filePath", "line")
+
+
+def first_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that many documents of an index define: the first in its order counts."""
+    symbol = F.concat(F.lit("scip-typescript npm shop 1.0 src/`o.ts`/f"), "l_orderkey", F.lit("()."))
+    path, at = F.concat(F.lit("src/s"), "l_suppkey", F.lit(".ts")), F.col("l_linenumber").cast("int")
+    rows = _t(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("long").alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("ord"), path.alias("relative_path"), symbol.alias("symbol"),
+        F.lit(1).alias("roles"), F.array(at, F.lit(0), F.lit(3)).alias("range"), F.lit(None).cast("array<int>").alias("enclosing"),
+    )
+    none = spark.createDataFrame([], "doc long, ord int, relative_path string, source string, target string, is_implementation boolean")
+    manifest = rows.select(F.concat(F.lit("shop/"), "relative_path").alias("relative_path")).distinct()
+    nodes = graph.build(rows, none, manifest, "shop").nodes
+    return nodes.where("type = 'Function'").select("id", "name", "filePath", F.col("line").cast("long").alias("line"))
+
+
 MODULE_SQL = """
 WITH RECURSIVE mods AS (SELECT p_partkey AS p, p_partkey % 6 AS kind FROM part),
 declared AS (SELECT p, CASE kind WHEN 0 THEN 'f' ELSE 'h' END || p AS name FROM mods WHERE kind IN (0, 5)),
@@ -574,7 +593,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         audit_totals, primary_language, cards_topk, chunks_topk_filtered, vector_preview, json_store, json_search, graph_nodes, graph_edges, graph_stats,
         graph_neighbours, node_types, file_children, symbol_parse, innermost_container, chunk_merge, text_split, doc_comment_clean, chunk_format, truncated, prompts,
         parent_names, file_cards, cards_resume, text_search, code_chunks, source_graph, manifest_top20, manifest_top30, dir_top10_level1, file_nodes, index_nodes, index_edges,
-        store_versions, json_search_indexed, text_search_indexed, cards_topk_indexed, chunks_topk_indexed, module_names,
+        store_versions, json_search_indexed, text_search_indexed, cards_topk_indexed, chunks_topk_indexed, module_names, module_nodes,
+        first_definitions,
     )
     return {f.__name__: f for f in own}
 
@@ -675,6 +695,20 @@ def _plain_sql() -> dict[str, str]:
             || chr(10) || string_agg('- **' || name || '**: 0 members', chr(10) ORDER BY name)) AS digest, count(*) AS classes FROM nodes WHERE type = 'Class' GROUP BY filePath""",
         "cards_resume": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "module_names": MODULE_SQL,
+        "module_nodes": f"""WITH made AS ({MODULE_SQL}), gone AS (SELECT DISTINCT target AS id FROM made WHERE suffix(target, 'unresolved.file')),
+            own AS (
+              SELECT 'f' || p_partkey AS name, 'Function' AS type, 'proj/lib/m' || p_partkey || '.ts' AS f, 1 AS line FROM part WHERE p_partkey % 6 = 0
+              UNION ALL SELECT 'h' || p_partkey, 'Function', 'proj/lib/m' || p_partkey || '.ts', 1 FROM part WHERE p_partkey % 6 = 5
+              UNION ALL SELECT 'run' || p_partkey, 'Function', 'proj/app/u' || p_partkey || '.ts', 2 FROM part
+              UNION ALL SELECT 'C' || s_suppkey, 'Class', 'proj/cls/c' || s_suppkey || '.ts', 2 FROM supplier
+              UNION ALL SELECT 'own' || s_suppkey, 'Method', 'proj/cls/c' || s_suppkey || '.ts', 3 FROM supplier
+              UNION ALL SELECT 'go', 'Method', 'proj/cls/c' || s_suppkey || '.ts', 5 FROM supplier),
+            files AS (SELECT 'm' || p_partkey || '.ts' AS name, 'proj/lib/m' || p_partkey || '.ts' AS f FROM part UNION ALL SELECT 'u' || p_partkey || '.ts', 'proj/app/u' || p_partkey || '.ts' FROM part
+              UNION ALL SELECT 'c' || s_suppkey || '.ts', 'proj/cls/c' || s_suppkey || '.ts' FROM supplier)
+            SELECT type || '::' || name || '::' || f AS id, name, type, f AS "filePath", line FROM own UNION ALL SELECT 'File::' || name || '::' || f, name, 'File', f, 0 FROM files
+            UNION ALL SELECT id, split_part(id, '::', 2), split_part(id, '::', 1), 'unresolved.file', 0 FROM gone""",
+        "first_definitions": """SELECT 'scip-typescript npm shop 1.0 src/`o.ts`/f' || l_orderkey || '().' AS id, 'f' || l_orderkey AS name, 'shop/src/s' || l_suppkey || '.ts' AS "filePath", l_linenumber::BIGINT + 1 AS line
+            FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_linenumber) AS n FROM lineitem) WHERE n = 1""",
         "store_versions": """WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1 AND quality = 0) AS out, bool_or(toxic = 1 AND doc_id % 3 = 0) AS back,
             bool_or(quality = 1 AND doc_id % 5 = 0) AS later FROM labels GROUP BY doc_id),
             k AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.source, d.n_chars, d.doc_id IS NOT NULL AS stored, coalesce(good, false) AS good, coalesce(out, false) AS out, coalesce(back, false) AS back,

@@ -358,3 +358,20 @@ def test_index_in_parts(spark, tmp_path):
     with pytest.raises(Exception, match="cut short"):
         scip.read_scip(spark, str(tmp_path / "cut.scip"))
     assert scip.read_scip(spark, str(tmp_path / "none.scip"))[0].count() == 0
+
+
+def test_doctor_of_settings_and_models(spark, tmp_path):
+    root = tree(tmp_path)
+    settings = Settings(project="demo", source_root=str(root), store_root=str(tmp_path / "stores"), graph_backend="source")
+    stores = pipeline.build(spark, settings)
+    said = lambda **more: {r["store"].split(":")[0]: (r["status"], r["rows"], r["store"]) for r in pipeline.doctor(spark, stores, **more).collect()}
+    found = said(settings=settings, provider=vectors.hashed_provider)
+    assert found["sources"] == ("pass", 3, "sources: 1 TypeScript") and found["languages"][0] == found["backend"][0] == found["rejects"][0] == found["embeddings"][0] == "pass"
+    (root / "b.py").write_text("x = 1")
+    (root / "bad.md").write_bytes(b"# \xff\n" * 20)
+    pipeline.run_stage(spark, settings, "audit", override=True)
+    pipeline.run_stage(spark, settings, "cards", by_content=True)
+    later = said(settings=Settings(project="demo", source_root=str(root), store_root=stores.root, graph_backend="scip"), provider=lambda texts: [[0.0] * 7 for _ in texts])
+    assert later["languages"] == ("warn", 1, "languages: python") and later["backend"][0] == "fail" and later["embeddings"][:2] == ("fail", 7)
+    gone = said(settings=Settings(source_root=str(tmp_path / "none"), store_root=stores.root, graph_backend="source"), provider=lambda texts: 1 / 0)
+    assert gone["sources"][0] == "fail" and "ZeroDivisionError" in gone["embeddings"][2]
