@@ -197,11 +197,15 @@ def parsed(files: DataFrame) -> DataFrame:
 def _members(calls: DataFrame, others: DataFrame, declared: DataFrame) -> DataFrame:
     """Calls with those that nothing was found for led to a method of a class above the caller's."""
     source = node_id(F.col("source_type"), F.col("source"), F.col("filePath"))
+    bases = staged(others.where("edge = 'INHERITS' AND source_type = 'Class' AND found IS NOT NULL").select(source.alias("owner"), F.col("found").alias("base")).distinct(), "bases")
     owned = others.where("edge = 'DEFINED_IN'").select(source.alias("method"), F.col("found").alias("owner")).distinct()
+    # only classes that are above or below others matter
+    family = bases.select("owner").unionByName(bases.select(F.col("base").alias("owner"))).distinct()
+    owned = owned.join(family, "owner", "left_semi")
     methods = declared.where("type = 'Method'").select(F.col("id").alias("method"), "name").join(owned, "method").select("owner", "name", F.col("method").alias("id"))
-    bases = others.where("edge = 'INHERITS' AND source_type = 'Class' AND found IS NOT NULL").select(source.alias("owner"), F.col("found").alias("base")).distinct()
     lost = calls.where("found IS NULL").withColumn("method", source)
     inside = lost.where("source_type = 'Method'").join(owned, "method").unionByName(lost.where("source_type = 'Class'").withColumn("owner", F.col("method")))
+    inside = inside.join(bases.select("owner").distinct(), "owner", "left_semi").select("owner", "target", "filePath", "at")
     above = modules.inherited(inside.select("owner", F.col("target").alias("name")), methods, bases)
     met = inside.join(above.withColumnRenamed("name", "target"), ["owner", "target"]).groupBy("filePath", "at").agg(F.min("id").alias("above"))
     return calls.join(met, ["filePath", "at"], "left").withColumn("found", F.coalesce("found", "above")).drop("above")
@@ -221,7 +225,7 @@ def build(files: DataFrame, rejects: str | None = None) -> Graph:
     kind = F.when(F.col("ext").isin(*FILE_KINDS), "File").otherwise("Config")
     own = rows.select(node_id(kind, name, F.col("filePath")).alias("id"), "filePath", kind.alias("type"), name.alias("name"), F.lit(0).alias("line"))
     declared = read.select("filePath", F.inline("nodes")).withColumn("id", node_id(F.col("type"), F.col("name"), F.col("filePath")))
-    declared = first_rows(declared, ["id"], ["line"])  # equal names of one kind in a file are one node
+    declared = staged(first_rows(declared, ["id"], ["line"]), "declared")  # equal names of one kind in a file are one node
     references = read.select("filePath", F.posexplode("refs").alias("at", "r")).select("filePath", "at", "r.*")
 
     functions = declared.where("type IN ('Function', 'Method')")
@@ -255,6 +259,6 @@ def build(files: DataFrame, rejects: str | None = None) -> Graph:
     asked = resolved.select(F.col("found").alias("id")).where("id IS NOT NULL").distinct()
     kept = declared.where("NOT implied").unionByName(declared.where("implied").join(asked, "id", "left_semi")).drop("implied")
     nodes = staged(own.unionByName(kept, allowMissingColumns=True).unionByName(phantoms, allowMissingColumns=True), "nodes")
-    for done in (read, resolved):
+    for done in (read, resolved, declared, others):
         unstage(done)
     return Graph(nodes, edges)

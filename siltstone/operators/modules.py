@@ -43,12 +43,23 @@ def _named(clause: Column) -> Column:
     return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.named_struct(F.lit("name"), F.split(p, " as ").getItem(0), F.lit("known"), F.element_at(F.split(p, " as "), -1)))
 
 
-def _found(texts: DataFrame, pattern: str, *groups: int) -> DataFrame:
-    """`filePath` and a column `g<n>` for each of one or two groups, a row per match."""
-    all_of = [F.regexp_extract_all("bare", F.lit(pattern), F.lit(g)) for g in groups]
-    if len(groups) == 1:
-        return texts.select("filePath", F.explode(all_of[0]).alias(f"g{groups[0]}"))
-    return texts.select("filePath", F.inline(F.zip_with(*all_of, lambda a, b: F.struct(a.alias(f"g{groups[0]}"), b.alias(f"g{groups[1]}")))))
+#: What a text holds that says anything here: a relative module, or an export that isn't a declaration under its own name.
+_SAYS = r"""\bfrom\s*['"]\.|\bexport\s*(?:\*|\{|type\b|default\b)"""
+_IMPORT = rf"\bimport\s+(?:type\s+)?([^'\"();]*?){_FROM}"
+_STAR = rf"\bexport\s*\*\s*(?:as\s+({_WORD})\s*)?{_FROM}"
+_PASSED = rf"\bexport\s+(?:type\s+)?\{{([^}}]*)\}}{_FROM}"
+_LISTED = r"\bexport\s+(?:type\s+)?\{([^}]*)\}(?!\s*from\b)"
+_DEFAULT = rf"\bexport\s+default\s+(?:(?:abstract\s+)?class\s+|(?:async\s+)?function\s*\*?\s*)?({_WORD})"
+
+
+def _statements(files: DataFrame) -> DataFrame:
+    """`filePath` and, of each kind of statement, an array of what its patterns take: read off the texts in one pass and staged."""
+    texts = files.where(F.col("content").rlike(_SAYS)).select("filePath", F.regexp_replace("content", _COMMENTS, " ").alias("bare"))
+    taken = lambda pattern, g: F.regexp_extract_all("bare", F.lit(pattern), F.lit(g))
+    pairs = lambda pattern: F.zip_with(taken(pattern, 1), taken(pattern, 2), lambda a, b: F.named_struct(F.lit("g1"), a, F.lit("g2"), b))
+    both = {"imported": _IMPORT, "starred": _STAR, "passed": _PASSED}
+    one = {"listed": _LISTED, "default": _DEFAULT}
+    return staged(texts.select("filePath", *[pairs(p).alias(n) for n, p in both.items()], *[taken(p, 1).alias(n) for n, p in one.items()]), "statements")
 
 
 def facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,9 +68,10 @@ def facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     `*` as a name stands for all that a module exports. An export of a local name leads to the module itself, or to where it was
     imported from. Imports of packages have no stem; exports of theirs aren't there.
     """
-    texts = files.where(F.col("content").rlike(r"\b(import|export)\b")).select("filePath", F.regexp_replace("content", _COMMENTS, " ").alias("bare"))
+    said = _statements(files)
+    found = lambda kind: said.select("filePath", F.inline(kind)) if kind in ("imported", "starred", "passed") else said.select("filePath", F.explode(kind).alias("g1"))
     own = lambda c: target_stem(F.col("filePath"), F.col(c))
-    clause = _found(texts, rf"\bimport\s+(?:type\s+)?([^'\"();]*?){_FROM}", 1, 2)
+    clause = found("imported")
     bare = F.regexp_replace("g1", r"\{[^}]*\}", "")
     spaces = F.filter(F.transform(F.split(bare, ","), lambda p: F.btrim(p)), lambda p: p != "")
     whole = F.transform(spaces, lambda p: F.named_struct(F.lit("name"), F.when(p.startswith("*"), "*").otherwise("default"), F.lit("known"), F.regexp_replace(p, r"^\*\s*as\s+", "")))
@@ -67,19 +79,19 @@ def facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     imports = clause.select("filePath", own("g2").alias("stem"), F.inline(F.concat(whole, _named(braces)))).select("filePath", "known", "stem", "name")
 
     by = F.explode(stems(F.col("filePath"))).alias("stem")
-    starred = _found(texts, rf"\bexport\s*\*\s*(?:as\s+({_WORD})\s*)?{_FROM}", 1, 2)
+    starred = found("starred")
     starred = starred.select(by, F.when(F.col("g1") == "", "*").otherwise(F.col("g1")).alias("known"), own("g2").alias("to_stem"), F.lit("*").alias("to_name"))
-    passed = _found(texts, rf"\bexport\s+(?:type\s+)?\{{([^}}]*)\}}{_FROM}", 1, 2).select(by, own("g2").alias("to_stem"), F.inline(_named(F.col("g1"))))
+    passed = found("passed").select(by, own("g2").alias("to_stem"), F.inline(_named(F.col("g1"))))
     passed = passed.select("stem", "known", "to_stem", F.col("name").alias("to_name"))
-    listed = _found(texts, r"\bexport\s+(?:type\s+)?\{([^}]*)\}(?!\s*from\b)", 1).select("filePath", F.inline(_named(F.col("g1"))))
-    default = _found(texts, rf"\bexport\s+default\s+(?:(?:abstract\s+)?class\s+|(?:async\s+)?function\s*\*?\s*)?({_WORD})", 1)
+    listed = found("listed").select("filePath", F.inline(_named(F.col("g1"))))
+    default = found("default")
     local = listed.unionByName(default.select("filePath", F.col("g1").alias("name"), F.lit("default").alias("known")))
     met = local.alias("l").join(imports.where("stem IS NOT NULL").alias("i"), (F.col("l.filePath") == F.col("i.filePath")) & (F.col("l.name") == F.col("i.known")), "left")
     met = met.select(F.col("l.filePath").alias("filePath"), F.col("l.known").alias("known"), F.col("i.stem").alias("to"), F.coalesce("i.name", "l.name").alias("to_name"))
     local = met.select(by, "known", F.coalesce("to", stem_of(F.col("filePath"))).alias("to_stem"), "to_name")
     # a module that hands its own name on under that name says nothing
-    said = local.where(~((F.col("stem") == F.col("to_stem")) & (F.col("known") == F.col("to_name"))))
-    exports = starred.unionByName(passed).unionByName(said).where("to_stem IS NOT NULL").distinct()
+    told = local.where(~((F.col("stem") == F.col("to_stem")) & (F.col("known") == F.col("to_name"))))
+    exports = starred.unionByName(passed).unionByName(told).where("to_stem IS NOT NULL").distinct()
     return imports, exports
 
 
