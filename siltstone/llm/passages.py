@@ -3,8 +3,8 @@
 Seeds are hashes of k words in a row; of every window of such seeds the least is taken (minimizers), so equal
 stretches give equal seeds wherever they stand. All occurrences of a seed are joined to its first one, in the
 document with the smallest key: a seed with n occurrences gives n - 1 matches, not their square. Seeds that are
-frequent in a sample are dealt to parts by document; there the first occurrence of each part takes the place of the first
-of all, and is joined to that itself.
+frequent in a sample are dealt to parts by document, so that no task has all of one; the least of the parts' first occurrences
+is the first of all, and as these seeds are a bounded number, their first ones go to where the occurrences are.
 
 The matches of two documents are chained: the best ascending chain under a cost per word of gap comes from one pass in
 text order with a Fenwick tree of prefix maxima. Chains are aligned word by word, also across their gaps and
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words_of, staged
+from .common import lower_words_of, staged, unstage
 
 SEED_WORDS, WINDOW = 8, 8
 GAP_COST = 0.1
@@ -35,12 +35,16 @@ DROP = 6
 CONTEXT = 16
 CACHE = 200_000
 #: Of one document in SAMPLE the seeds are counted; those found HOT times are dealt to PARTS parts, at most MOST_HOT of them. This is about
-#: balance only: what isn't found to be frequent is matched in one run.
+#: balance only: what isn't found to be frequent is matched in one run, with the same first occurrence.
 SAMPLE, HOT, PARTS, MOST_HOT = 64, 64, 32, 100_000
 SEEDS = "seed long, part int, id long, at int, before long, after long"
 MATCHES = "id long, other long, at int, other_at int, ends byte"
 #: Bytes of slices that are handed on together.
 SLICES = 1 << 24
+#: Slices begin and end at multiples of so many words, so that a passage which many documents have is one slice of its holder, or a few.
+GRID = 64
+#: A slice that at least one chain in so many asks for (so many slices at most) is copied for SALTS parts of the chains, if they are MANY at least.
+SHARE, SALTS, MANY = 1000, 32, 1024
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,8 +150,9 @@ def _frequent(rows: DataFrame) -> np.ndarray:
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (seed, part, id, at, before, after), sorted: each occurrence in another document with the first one of its part, and where a
-    stretch around it may be long (`ends`). The first ones of parts other than 0 are handed on with their contexts. Streams; holds one batch.
+    """Rows (seed, part, id, at, before, after), sorted: each occurrence in another document with the first one, and where a stretch around it
+    may be long (`ends`). Occurrences in parts other than 0 are handed on with their seed and contexts, the first of a part with `first`.
+    Streams; holds one batch.
     """
     last = None
     for batch in batches:
@@ -163,33 +168,41 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, value in zip(firsts, last[2:], strict=True):
                 c[:n] = value
         last = (seed[-1], part[-1], *(c[-1] for c in firsts))
-        far = doc != firsts[0]
+        dealt = part > 0
+        far = (doc != firsts[0]) & ~dealt
         other, other_at, other_before, other_after = (c[far] for c in firsts)
         ends = open_ends(before[far], other_before, after[far], other_after)
-        nothing = np.zeros(len(ends), np.int64)
-        own = starts & (part > 0)
-        zero = np.zeros(int(own.sum()), np.int64)
+        nothing, zero = np.zeros(len(ends), np.int64), np.zeros(int(dealt.sum()), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate(c))
                 for c in (
-                    (doc[far], doc[own]), (other, zero), (at[far], at[own]), (other_at, zero.astype(np.int32)), (ends, zero.astype(np.int8)),
-                    (nothing, seed[own]), (nothing, before[own]), (nothing, after[own]), (np.zeros(len(ends), bool), np.ones(len(zero), bool)),
+                    (doc[far], doc[dealt]), (other, zero), (at[far], at[dealt]), (other_at, zero.astype(np.int32)), (ends, zero.astype(np.int8)), (nothing, seed[dealt]),
+                    (nothing, before[dealt]), (nothing, after[dealt]), (np.zeros(len(ends), bool), np.ones(len(zero), bool)), (np.zeros(len(ends), bool), starts[dealt]),
                 )
             ],
-            names=["id", "other", "at", "other_at", "ends", "seed", "before", "after", "first"],
+            names=["id", "other", "at", "other_at", "ends", "seed", "before", "after", "dealt", "first"],
         )
 
 
-def _matches(rows: DataFrame) -> DataFrame:
-    """Each seed of a document with the first occurrence in another: (id, other, at, other_at, ends)."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences with the first ones of their seeds (id, other, at, other_at, before, other_before, after, other_after) to matches."""
+    for batch in batches:
+        ends = open_ends(*(batch.column(i).to_numpy() for i in range(4, 8)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ends)], names=["id", "other", "at", "other_at", "ends"])
+
+
+def _matches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each seed of a document with the first occurrence in another: (id, other, at, other_at, ends); and what is staged for it."""
     seeds = rows.mapInArrow(_seeded(_frequent(rows)), SEEDS)
     ordered = seeds.repartition("seed", "part").sortWithinPartitions("seed", "part", "id", "at")
-    found = staged(ordered.mapInArrow(_matched, f"{MATCHES}, seed long, before long, after long, first boolean"), "matches")
-    heads = found.where("first").select("seed", F.lit(0).alias("part"), "id", "at", "before", "after")
-    heads = heads.repartition("seed").sortWithinPartitions("seed", "id", "at").mapInArrow(_matched, f"{MATCHES}, seed long, before long, after long, first boolean")
-    names = ["id", "other", "at", "other_at", "ends"]
-    return found.where("NOT first").select(*names).unionByName(heads.select(*names))
+    found = staged(ordered.mapInArrow(_matched, f"{MATCHES}, seed long, before long, after long, dealt boolean, first boolean"), "matches")
+    least = F.min(F.struct("id", "at", "before", "after")).alias("f")
+    heads = found.where("first").groupBy("seed").agg(least)  # MOST_HOT rows at most
+    heads = heads.select("seed", F.col("f.id").alias("other"), F.col("f.at").alias("other_at"), F.col("f.before").alias("other_before"), F.col("f.after").alias("other_after"))
+    frequent = found.where("dealt").select("seed", "id", "at", "before", "after").join(F.broadcast(heads), "seed").where("id <> other")
+    frequent = frequent.select("id", "other", "at", "other_at", "before", "other_before", "after", "other_after").mapInArrow(_met, MATCHES)
+    return found.where("NOT dealt").select("id", "other", "at", "other_at", "ends").unionByName(frequent), found
 
 
 def chains_of(x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS, cost: float = GAP_COST) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -502,24 +515,36 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Stretches are found from SEED_WORDS + WINDOW - 1 equal words in a row on; every repeat of `min_words` equal words is
     covered, and so is any other stretch that an alignment from one common seed on takes in. Where pieces that different documents had
-    first touch, they are one passage, and its length counts. The first document with a passage has no row for it. A frequent passage
-    is reported against the first holder of its part of the documents. Null, empty and short texts give none; nor do rows without a key. Rows of one key are one
+    first touch, they are one passage, and its length counts. The first document with a passage has no row for it, and all others are
+    reported against it. Null, empty and short texts give none; nor do rows without a key. Rows of one key are one
     document: repeats inside it don't count. Ties in length go to the smaller other key. Other columns are dropped.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    chains = _matches(rows).repartition("id").sortWithinPartitions("id", "other", "at", "other_at")
+    matches, found = _matches(rows)
+    # by a hash of the key: a repartition by the key itself might be left out where that is how a side is dealt already
+    chains = matches.repartition(F.xxhash64("id")).sortWithinPartitions("id", "other", "at", "other_at")
     chains = staged(chains.mapInArrow(_chained(min_words), "id long, other long, xs array<int>, ys array<int>"), "chains")
-    first = lambda c: F.greatest(F.element_at(c, 1) - MARGIN, F.lit(0))
-    last = lambda c: F.element_at(c, -1) + SEED_WORDS + MARGIN
-    placed = chains.select("*", first("xs").alias("lo"), last("xs").alias("hi"), first("ys").alias("other_lo"), last("ys").alias("other_hi"))
-    spans = placed.select("id", "lo", "hi").union(placed.select("other", "other_lo", "other_hi"))
-    spans = spans.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    unstage(found)
+    below = lambda c: (F.floor(F.greatest(F.element_at(c, 1) - MARGIN, F.lit(0)) / GRID) * GRID).cast("int")
+    above = lambda c: (F.ceil((F.element_at(c, -1) + SEED_WORDS + MARGIN) / GRID) * GRID).cast("int")
+    placed = chains.select("*", below("xs").alias("lo"), above("xs").alias("hi"), below("ys").alias("other_lo"), above("ys").alias("other_hi"))
+    spans = placed.select("id", "lo", "hi").union(placed.select("other", "other_lo", "other_hi")).distinct()
+    spans = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # as many as a text's stretches of GRID words allow, whatever the chains
     sliced = spans.join(rows, "id").select("id", "spans", "text").mapInArrow(_sliced, "id long, lo int, hi int, words binary")
     sliced = staged(sliced, "slices")
     there = sliced.select(F.col("id").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("words").alias("other_words"))
-    paired = placed.join(sliced, ["id", "lo", "hi"]).join(there, ["other", "other_lo", "other_hi"])
+    keys = ["other", "other_lo", "other_hi"]
+    asked = staged(placed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= MANY), "asked")
+    hot = asked.where(F.col("n") * SHARE >= chains.count()).select(*keys, F.lit(True).alias("hot"))  # SHARE rows at most
+    salted = placed.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    there = there.join(F.broadcast(hot), keys, "left").withColumn("salt", copies).drop("hot")
+    paired = salted.join(sliced, ["id", "lo", "hi"]).join(there, [*keys, "salt"])
     paired = paired.select("id", "other", "xs", "ys", "lo", "other_lo", "words", "other_words")
     pieces = paired.mapInArrow(_aligned, "id long, start long, end long, other long, other_start long, other_end long, columns long, equal long")
     ordered = pieces.repartition("id").sortWithinPartitions("id", "start", "end", "other", "other_start")
     out = ordered.mapInArrow(_joined(min_words), "id long, start long, n_words long, other long, other_start long, other_words long, columns long, equal long")
+    out = staged(out, "passages")
+    for done in (chains, sliced, asked):
+        unstage(done)
     return out.withColumnsRenamed({"id": key, "other": "other_id"})
