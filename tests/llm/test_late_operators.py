@@ -397,3 +397,43 @@ def test_one_source_fills_its_bins(spark):
     for i, *_, b in pieces:
         per.setdefault(b, []).append(group[i][2])
     assert len(words) == 30 and all(max(own.count(s) for s in own) <= 3 for own in per.values())  # sources enough: the bound holds
+
+
+def test_spared_lines_stand_on_copies():
+    """By plain counting: lines on eight or more sites are cut everywhere, but for those of families of copies, whose pages share most of their
+    shingles, and those that are on fewer sites apart from pages of little else."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, text, coalesce(source, '') FROM '/root/testdata/sf0.1/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()
+    trimmed = lambda line: line.strip(" \t\n\x0b\f\r")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.1/documents.parquet'")
+    removed = dict(con.sql(f"SELECT doc_id, n_removed FROM ({queries.SQL_LINES})").fetchall())
+    sites, pages = {}, {}
+    for doc, text, source in rows:
+        for line in map(trimmed, text.split("\n")):
+            if line:
+                sites.setdefault(line, set()).add(source)
+                pages.setdefault(line, set()).add(doc)
+    wide = {line for line, s in sites.items() if len(s) >= 8}
+    texts = {doc: text for doc, text, _ in rows}
+    known = {}
+
+    def shingles(doc):
+        if doc not in known:
+            known[doc] = set(zip(*[texts[doc].split()[i:] for i in range(5)], strict=False))
+        return known[doc]
+
+    source_of = {doc: source for doc, _, source in rows}
+    mostly = {doc: sum(len(line) for line in text.split("\n") if trimmed(line) in wide) / max(1, len(text)) for doc, text, _ in rows}
+    spared = copied = 0
+    for doc, text, _ in rows:
+        held = [line for line in map(trimmed, text.split("\n")) if line in wide]
+        if removed[doc] == len(held):
+            continue
+        spared += 1
+        near = [e for line in held for e in pages[line] if e != doc]
+        copies = any(2 * len(shingles(doc) & shingles(e)) >= len(shingles(doc) | shingles(e)) for e in sorted(near, key=lambda e: abs(len(texts[e]) - len(texts[doc]))))
+        assert copies or min(len({source_of[e] for e in pages[line] if mostly[e] <= 0.5}) for line in held) < 8, doc
+        copied += copies
+    assert len(wide) > 100 and copied == spared > 100 and spared < len(rows) / 10
