@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words_of, staged, unstage
+from .common import staged, unstage
 
 SEED_WORDS, WINDOW = 8, 8
 GAP_COST = 0.1
@@ -47,23 +47,30 @@ GRID = 64
 SHARE, SALTS, MANY = 1000, 32, 1024
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 class Words:
-    """Texts to arrays of 64-bit word hashes, with a bounded cache."""
+    """Texts to arrays of 64-bit word hashes, with a bounded cache. Words are cut as bytes: blanks and A-Z are the same there."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = lower_words_of(text)
+    @staticmethod
+    def split(text: str | None) -> list[bytes]:
+        """The words of a text with A-Z lower-cased; bytes are split at the six ASCII blanks."""
+        return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+
+    def hashed(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter((known[w] for w in words), np.uint64, len(words))
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def of(self, text: str | None) -> np.ndarray:
+        return self.hashed(self.split(text))
 
 
 def seeds_of(words: np.ndarray, k: int = SEED_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -443,6 +450,17 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int =
     return out
 
 
+def _covered(spans: list[dict], size: int) -> list[tuple[int, int]]:
+    """The stretches of a text that spans hold, each once."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((s["lo"], min(s["hi"], size)) for s in spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, spans, text) to the words of each span, as bytes of 32-bit hashes. A text is read once for all its spans."""
     words = Words()
@@ -453,7 +471,10 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             doc, spans, text = (batch.column(c)[i].as_py() for c in range(3))
-            hashed = (words.of(text) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            cut = words.split(text)
+            hashed = np.zeros(len(cut), np.uint32)
+            for lo, hi in _covered(spans, len(cut)):  # what no span holds isn't looked at
+                hashed[lo:hi] = (words.hashed(cut[lo:hi]) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             for span in spans:
                 piece = hashed[span["lo"] : span["hi"]].tobytes()
                 ready.append((doc, span["lo"], span["hi"], piece))
