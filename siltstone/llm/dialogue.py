@@ -152,10 +152,9 @@ def repair(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     gone = F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))
     rows = conversations.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), space(role).alias("role"), space(text).alias("text"), gone.alias("gone"))
-    lost = rows.where("gone").select("conv_id").distinct()
-    none = {c: F.lit(None).cast("long" if c == "turn" else "string").alias(c) for c in ("turn", "role", "text")}
-    kept = rows.where("NOT gone").unionByName(lost.select("conv_id", *none.values(), F.lit(True).alias("gone")))
-    kept = with_faults(kept.repartition("conv_id")).sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
+    # rows that are gone stand for their conversations only: nothing else of them moves
+    shown = [F.when(~F.col("gone"), F.col(c)).alias(c) for c in ("turn", "role", "text")]
+    kept = with_faults(rows.select("conv_id", *shown, "gone").repartition("conv_id")).sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
     return kept.select("conv_id", "turn", "role", "text", "fault", "gone").mapInArrow(_repaired, REPAIRED)
 
 
