@@ -15,6 +15,8 @@ from .parser import split
 from .textsplit import split_text
 
 MAX_LINES, MIN_LINES = 50, 10
+#: Chunks of files go on together up to so many, or so many characters of files.
+BATCH_ROWS, BATCH_CHARS = 5_000, 4_000_000
 _CHUNK = "chunk_type string, hierarchical_name string, source_text string, start_line int, end_line int, start_byte int, end_byte int, jsdoc_text string"
 
 
@@ -82,15 +84,23 @@ def code_chunks(files: DataFrame, providers: tuple[LanguageProvider, ...] = PROV
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for path, content in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 name = path.replace("\\", "/").rsplit("/", 1)[-1]
                 provider = known["." + name.rsplit(".", 1)[-1].lower()]
                 try:
-                    found = [(path, c.chunk_type, c.hierarchical_name, c.source_text, c.start_line, c.end_line, c.start_byte, c.end_byte, c.jsdoc_text, None) for c in split(content, name, provider)]
+                    held += [(path, c.chunk_type, c.hierarchical_name, c.source_text, c.start_line, c.end_line, c.start_byte, c.end_byte, c.jsdoc_text, None) for c in split(content, name, provider)]
                 except (RecursionError, ValueError, IndexError, AttributeError, StopIteration) as e:
-                    found = [(path, *[None] * 8, f"{type(e).__name__}: {e}")]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+                    held.append((path, *[None] * 8, f"{type(e).__name__}: {e}"))
+                size += len(content)
+                if size > BATCH_CHARS or len(held) > BATCH_ROWS:
+                    yield from made(held)
+                    held, size = [], 0
+            yield from made(held)
+
+    def made(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     schema = f"relative_path string, {_CHUNK}, error string"
     names = [c.split(" ")[0] for c in schema.split(", ")]

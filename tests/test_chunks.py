@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.paths import JAVASCRIPT, TYPESCRIPT
 from siltstone.functions.text import bounded, like_search, plain_doc
 from siltstone.operators import chunks
-from siltstone.operators.parser import split
+from siltstone.operators.parser import Parser, plain_end, split
 from siltstone.operators.textsplit import split_text
 
 TS = (
@@ -93,3 +93,14 @@ def test_text_functions(spark):
     row = spark.createDataFrame([("/**\n * One.\n *\n *   Two  \n */", "É%_x", "abcdef")], "c string, s string, t string")
     out = row.select(plain_doc(F.col("c")), bounded(F.col("t"), 3), bounded(F.lit(None).cast("string"), 3), like_search([F.col("s")], "é"), like_search([F.col("s")], "X"), like_search([F.col("s")], "%_X")).first()
     assert tuple(out) == ("One.\nTwo", "abc […]", "", False, True, True)
+
+
+def test_plain_bodies_are_passed_over():
+    lines = "    a += 1;\n" * 1000
+    reader = Parser("class C {\n  m(a) {\n" + lines + "    '}'; // }\n  }\n  async n() {\n" + lines + "  }\n}\n", True)
+    [node] = reader.statements()
+    assert len(reader.tokens) < 40 and [(m.kind, m.name) for m in node.body] == [("method_definition", "m"), ("method_definition", "n")]
+    assert [len(m.body) for m in node.body] == [1002, 1000] and node.body[0].body[-1].kind == "comment"
+    for odd in ("a < b; return { c }", "return class { d() { e(); } }", "x / y; }/", "return [) }"):
+        assert plain_end("{ " + odd + " }", 0) is None, odd
+    assert plain_end("{ `${'}'}` + \"}\"; /* } */ }", 0) == 27
