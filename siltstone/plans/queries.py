@@ -658,7 +658,7 @@ def _plain_sql() -> dict[str, str]:
             CASE WHEN symbol LIKE 'local %' THEN NULL ELSE (['Alpha', 'run', 'run', 'go', 'value', 'value', 'x', 'odd name', 'T', 'a`b'])[k + 1] END AS name,
             CASE WHEN symbol LIKE 'local %' OR k NOT IN (1, 3, 7, 9) THEN NULL WHEN k = 9 THEN replace(symbol, '`a``b`().', '') WHEN k = 1 THEN replace(symbol, 'run().', '') WHEN k = 3 THEN replace(symbol, 'go(+1).', '')
               ELSE replace(symbol, '`odd name`().', '') END AS owner FROM sy""",
-        "innermost_container": """WITH ev AS (SELECT event_id, user_id, event_type, epoch(ts)::BIGINT AS s FROM events),
+        "innermost_container": """WITH ev AS (SELECT event_id, user_id, event_type, epoch(date_trunc('second', ts))::BIGINT AS s FROM events),
             op AS (SELECT user_id, event_id AS id, s // 60 AS sl, s // 60 + 1440 * (1 + event_id % 7) AS el FROM ev WHERE event_type = 'signup'),
             m AS (SELECT a.event_id, op.id, row_number() OVER (PARTITION BY a.event_id ORDER BY el - sl, id) AS n FROM ev a JOIN op ON op.user_id = a.user_id
               WHERE event_type <> 'signup' AND a.s // 60 BETWEEN sl AND el)
