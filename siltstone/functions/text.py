@@ -64,7 +64,9 @@ def text_document(path: Column, number: Column, text: Column) -> Column:
 
 
 def first_lines(code: Column, n: int = 400) -> Column:
-    return F.array_join(F.slice(F.split(code, "\r\n|\r|\n"), F.lit(1), F.lit(n)), "\n")
+    """The first n lines, whose ends become line feeds. What is behind the n-th line feed isn't looked at."""
+    part = F.substring_index(code, "\n", n)
+    return F.substring_index(F.replace(F.replace(part, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n", n)
 
 
 def summary_prompt(path: Column, code: Column, n: int = 400) -> Column:

@@ -1,9 +1,12 @@
 """Splitting of code and prose."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from siltstone.functions.paths import JAVASCRIPT, TYPESCRIPT
-from siltstone.functions.text import bounded, like_search, plain_doc
+from siltstone.functions.text import bounded, first_lines, like_search, plain_doc
 from siltstone.operators import chunks
 from siltstone.operators.parser import Parser, plain_end, split
 from siltstone.operators.textsplit import split_text
@@ -104,3 +107,12 @@ def test_plain_bodies_are_passed_over():
     for odd in ("a < b; return { c }", "return class { d() { e(); } }", "x / y; }/", "return [) }"):
         assert plain_end("{ " + odd + " }", 0) is None, odd
     assert plain_end("{ `${'}'}` + \"}\"; /* } */ }", 0) == 27
+
+
+def test_first_lines(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "bc", "\n", "\r", "\r\n", ""]) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[first_lines(F.col("t"), n).alias(f"n{n}") for n in (1, 2, 4)])
+    for r in made.collect():
+        assert [r["n1"], r["n2"], r["n4"]] == ["\n".join(re.split("\r\n|\r|\n", r["t"])[:n]) for n in (1, 2, 4)], r
+    assert "split(" not in made._jdf.queryExecution().analyzed().toString()  # a text isn't cut into all of its lines
