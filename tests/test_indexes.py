@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import like_search
-from siltstone.operators import search
+from siltstone.operators import search, trigrams
 from siltstone.operators.trigrams import TrigramIndex, grams_wanted
 from siltstone.operators.vectorindex import VectorIndex
 
@@ -59,3 +60,17 @@ def test_vectors_against_scan(spark, tmp_path, metric):
     assert empty.nearest([1.0] * 16, 3).count() == 0
     with pytest.raises(ValueError):
         VectorIndex(spark, "", "id", metric="dot")
+
+
+def test_postings_are_lists(spark, tmp_path, monkeypatch):
+    rows = [(f"k{i}", f"common words in all of them and number {i:06d}x" if i % 9 else None) for i in range(3000)]
+    index = TrigramIndex(spark, str(tmp_path / "a"), "id", ("text", "id")).write(spark.createDataFrame(rows, "id string, text string").coalesce(1))
+    lists = spark.read.parquet(str(tmp_path / "a/postings"))
+    assert lists.count() < 9000 < 100_000 < lists.agg(F.sum("n")).first()[0] and lists.where("n <> size(keys)").count() == 0
+    wide = "\U0010ffff\x00ÀZ"
+    assert trigrams.grams_of(wide.encode()).tolist() == sorted(map(trigrams.packed, ("\U0010ffff\x00À", "\x00Àz"))) and not len(trigrams.grams_of(b"ab")) and not len(trigrams.grams_of(None))
+    [part] = [b for b in trigrams._lists(1)(iter([pa.RecordBatch.from_pydict({"k": [1, 2, 3], "t": [b"abcd", None, b"xbcd"]})]))]
+    assert [(n, keys) for n, keys in zip(part["n"].to_pylist(), part["keys"].to_pylist(), strict=True)] == [(1, [1]), (2, [1, 3]), (1, [3])]
+    monkeypatch.setattr(trigrams, "BLOCK", 1)
+    parts = list(trigrams._lists(1)(iter([pa.RecordBatch.from_pydict({"k": [1, 2, 3], "t": [b"abcd", None, b"xbcd"]})])))
+    assert [keys for p in parts for keys in p["keys"].to_pylist()] == [[1], [1], [3], [3]] and index.search("NUMBER 000010X").count() == 1
