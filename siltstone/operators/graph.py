@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.paths import canonical, name_of
 from ..functions.symbols import full_range, is_definition, parsed_symbol, span
 from ..sources.jsonarray import read_array
+from ..staging import staged
 
 NODE_TYPES = ("File", "Class", "Interface", "Function", "Method", "Config")
 EDGE_TYPES = ("CALLS", "DEFINED_IN", "USES", "IMPLEMENTS", "INHERITS")
@@ -113,12 +114,14 @@ def build(occurrences: DataFrame, relations: DataFrame, manifest: DataFrame, pro
     those that are classes by their own definition to stay classes; in other languages none is.
     """
     scope = manifest.select("relative_path").distinct()
+    occurrences = staged(occurrences, "occurrences")  # read for the scheme, definitions, containers and references
     placed = occurrences.withColumn("file", canonical(F.lit(project), F.col("relative_path"))).drop("relative_path")
     scheme = occurrences.where(F.col("symbol").isNotNull() & (F.col("symbol") != "") & ~F.col("symbol").startswith("local "))
     scheme = scheme.select(F.min_by(F.element_at(F.split("symbol", " "), 1), F.struct("doc", "ord")).alias("scheme"))
     inside = placed.join(scope, placed["file"] == scope["relative_path"], "left_semi").withColumn("r", full_range(F.col("range"))).withColumn("e", full_range(F.col("enclosing")))
     definitions = inside.where(is_definition(F.col("roles"))).withColumn("p", parsed_symbol(F.col("symbol"))).where(F.col("p.kind").isin("TYPE", "METHOD", "FUNCTION"))
     symbols = first_rows(definitions, ["symbol"], ["doc", "ord"]).select("symbol", "p.kind", "p.name", "p.owner", "file", (F.col("r.sl") + 1).alias("line"), "doc", "ord")
+    symbols = staged(symbols, "symbols")
     related = relations.withColumn("file", canonical(F.lit(project), F.col("relative_path"))).where("is_implementation")
     related = related.join(scope.withColumnRenamed("relative_path", "file"), "file", "left_semi")
     targets = related.select(F.col("target").alias("symbol")).distinct().crossJoin(scheme).where(F.col("scheme") == "scip-typescript").select("symbol", F.lit(True).alias("target"))

@@ -375,3 +375,14 @@ def test_doctor_of_settings_and_models(spark, tmp_path):
     assert later["languages"] == ("warn", 1, "languages: python") and later["backend"][0] == "fail" and later["embeddings"][:2] == ("fail", 7)
     gone = said(settings=Settings(source_root=str(tmp_path / "none"), store_root=stores.root, graph_backend="source"), provider=lambda texts: 1 / 0)
     assert gone["sources"][0] == "fail" and "ZeroDivisionError" in gone["embeddings"][2]
+
+
+def test_occurrences_are_read_once(spark):
+    symbol = F.concat(F.lit("scip-typescript npm s 1.0 src/`a.ts`/f"), F.col("id"), F.lit("()."))
+    rows = spark.range(4).select(
+        F.lit(1).cast("long").alias("doc"), F.col("id").cast("int").alias("ord"), F.lit("src/a.ts").alias("relative_path"), symbol.alias("symbol"), F.lit(1).alias("roles"),
+        F.array(F.col("id").cast("int"), F.lit(0), F.lit(3)).alias("range"), F.lit(None).cast("array<int>").alias("enclosing"),
+    )
+    none = spark.createDataFrame([], "doc long, ord int, relative_path string, source string, target string, is_implementation boolean")
+    built = graph.build(rows, none, spark.createDataFrame([("p/src/a.ts",)], "relative_path string"), "p")
+    assert "Range (" not in built.edges._jdf.queryExecution().optimizedPlan().toString() and built.nodes.count() == 5
