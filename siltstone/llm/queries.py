@@ -52,7 +52,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_is(F.col("doc_id"), 4, 2)
     docs = read_table(spark, sf_dir, "documents")
-    model = toxicity.train(docs, read_table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 4) != 2))
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 4) != 2), judges=~held_out)
     out = toxicity.score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

@@ -14,6 +14,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def hashed(codes: np.ndarray) -> np.ndarray:
+    """Hashes of rows of code points, as `Padded.grams` makes them."""
+    h = np.full(len(codes), codes.shape[1], np.uint64)
+    for k in range(codes.shape[1]):
+        h *= _PRIME
+        h += codes[:, k]
+    return _mixed(h)
+
+
 class Padded:
     """Words laid out one after another in one array of code points, with marks before and after each."""
 
@@ -23,11 +32,15 @@ class Padded:
         self.sizes = np.fromiter((len(w) + front + 1 for w in words), np.int64, len(words))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of every window of n code points inside a word, and the number of the word that each is in."""
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where every window of n code points inside a word begins, and the number of the word that each is in."""
         counts = np.maximum(self.sizes - n + 1, 0)
         owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + self.starts[owner]
+        return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + self.starts[owner], owner
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of every window of n code points inside a word, and the number of the word that each is in."""
+        at, owner = self.windows(n)
         h = np.full(len(at), n, np.uint64)
         for k in range(n):
             h *= _PRIME

@@ -443,6 +443,40 @@ def test_toxic_words_score_high(spark):
     assert min(got[i] for i in range(300, 400, 5)) > 0.5 > max(got[i] for i in range(300, 400) if i % 5)
 
 
+def test_all_labelled_texts_are_counted(spark):
+    """No bound on labelled rows or on the length of their texts; ratios made in groups are those of all words at once."""
+    rng = random.Random(8)
+    rows = [(i, f"so w{rng.randrange(90)}x {'grobian' if i % 2 else 'wohl'}{rng.randrange(5)}", i % 2) for i in range(8_000)]
+    rows += [(i, "lang " * 11_000 + f"ende{i}", i % 2) for i in range(8_000, 8_020)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weighs = {r["doc_id"] for r in frame.where(F.pmod(F.xxhash64("doc_id", F.lit("weights")), F.lit(5)) == 0).collect()}
+    model = toxicity.train(frame, frame)
+    plain = {}
+    for i, text, y in rows:
+        for w in text.split():
+            plain.setdefault(w, [0, 0])[y] += i not in weighs
+    got = {r["w"]: [r["n0"], r["n1"]] for r in model.words.collect()}
+    assert got == plain and sum(v[1] for w, v in plain.items() if w.startswith("grobian")) > 3_000
+    counted = {w: c for w, c in plain.items() if any(c)}
+    whole = toxicity.class_ratios(list(counted), np.array(list(counted.values()), float))
+    for ratios in (model.ratios, toxicity.word_ratios(model.words, group=40)):
+        made = {r["w"]: r["ratio"] for r in ratios.collect()}
+        assert len(made) == len(plain) and made == pytest.approx(dict(zip(made, whole.word_ratios(list(made)), strict=True)), abs=1e-5)
+
+
+def test_rare_words_are_joined(spark, monkeypatch):
+    """Scores don't depend on which words are looked up where the texts are, nor on words being new."""
+    rows = [(i, f"so w{i % 7} {'grobian' if i % 3 == 0 else 'wohl'} {'(so)' * (i % 2)} z{i}", int(i % 3 == 0)) for i in range(200)]
+    frame = spark.createDataFrame([*rows, *rows[:9], (None, None, 0)], "doc_id long, text string, toxic int")
+    scores = []
+    for bound, docs in ((200_000, frame), (3, frame), (0, frame), (200_000, frame.where("doc_id < 190"))):
+        monkeypatch.setattr(toxicity, "COMMON", bound)
+        model = toxicity.train(docs, frame.where("doc_id < 190"))
+        assert len(model.common.known) <= bound
+        scores.append(sorted(((r["doc_id"] or -1), r["score"]) for r in toxicity.score(frame, model).collect()))
+    assert len(scores[0]) == 210 and all(s == scores[0] for s in scores)
+
+
 def test_words_keep_digits_and_signs():
     assert toxicity.words("You 1d1ot, f*ck (really)! 'tis_ 12 -- é") == ["you", "1d1ot", "f*ck", "really", "tis", "12", "é"]
 
