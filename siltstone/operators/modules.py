@@ -77,6 +77,7 @@ def facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = F.transform(spaces, lambda p: F.named_struct(F.lit("name"), F.when(p.startswith("*"), "*").otherwise("default"), F.lit("known"), F.regexp_replace(p, r"^\*\s*as\s+", "")))
     braces = F.regexp_extract("g1", r"\{([^}]*)\}", 1)
     imports = clause.select("filePath", own("g2").alias("stem"), F.inline(F.concat(whole, _named(braces)))).select("filePath", "known", "stem", "name")
+    imports = staged(imports, "facts")  # exports of what was imported read them again
 
     by = F.explode(stems(F.col("filePath"))).alias("stem")
     starred = found("starred")
@@ -105,9 +106,11 @@ def resolved_names(asked: DataFrame, declared: DataFrame, exports: DataFrame) ->
     front = staged(asked.select(F.col("stem").alias("ask_stem"), F.col("name").alias("ask_name"), "type", "stem", "name", F.lit(0).alias("starred")).distinct(), "names")
     named = exports.where("known <> '*'").select(F.col("stem").alias("s"), F.col("known").alias("k"), "to_stem", "to_name")
     whole = exports.where("known = '*'").select(F.col("stem").alias("s"), "to_stem")
-    seen, found = front, None
+    seen, found, known = front, None, None
     while not front.isEmpty():
-        met = front.join(declared.select("stem", "name", "type", "id").distinct(), ["stem", "name", "type"])
+        if known is None:  # worked out once, not in every round
+            known = staged(declared.select("stem", "name", "type", "id").distinct(), "known")
+        met = front.join(known, ["stem", "name", "type"])
         met = staged(met.groupBy(*ask).agg(F.min(F.struct("starred", "id")).alias("best")).select(*ask, "best.id"), "found")
         found = met if found is None else found.unionByName(met)
         open_ = front.join(met.select(*ask), ask, "left_anti")
@@ -118,7 +121,7 @@ def resolved_names(asked: DataFrame, declared: DataFrame, exports: DataFrame) ->
         seen = seen.unionByName(front)
     none = asked.select(F.col("stem").alias("ask_stem"), F.col("name").alias("ask_name"), "type", F.lit("").alias("id")).limit(0)
     out = staged((none if found is None else found).select(F.col("ask_stem").alias("stem"), F.col("ask_name").alias("name"), "type", "id"), "resolved")
-    for done in (seen, *([] if found is None else [found])):
+    for done in (seen, *([] if found is None else [found, known])):
         unstage(done)
     return out
 
@@ -130,9 +133,11 @@ def inherited(asked: DataFrame, members: DataFrame, bases: DataFrame) -> DataFra
     """
     ask = ["ask", "name"]
     front = staged(asked.select(F.col("owner").alias("ask"), "name", "owner").distinct(), "members")
-    seen, found = front, None
+    seen, found, known = front, None, None
     while not front.isEmpty():
-        met = staged(front.join(members.select("owner", "name", "id"), ["owner", "name"]).groupBy(*ask).agg(F.min("id").alias("id")), "found")
+        if known is None:
+            known = staged(members.select("owner", "name", "id"), "known")
+        met = staged(front.join(known, ["owner", "name"]).groupBy(*ask).agg(F.min("id").alias("id")), "found")
         found = met if found is None else found.unionByName(met)
         open_ = front.join(met.select(*ask), ask, "left_anti")
         further = open_.join(bases.select("owner", "base"), "owner").select(*ask, F.col("base").alias("owner")).distinct()
@@ -140,6 +145,6 @@ def inherited(asked: DataFrame, members: DataFrame, bases: DataFrame) -> DataFra
         seen = seen.unionByName(front)
     none = asked.select(F.col("owner").alias("ask"), "name", F.lit("").alias("id")).limit(0)
     out = staged((none if found is None else found).select(F.col("ask").alias("owner"), "name", "id"), "resolved")
-    for done in (seen, *([] if found is None else [found])):
+    for done in (seen, *([] if found is None else [found, known])):
         unstage(done)
     return out

@@ -82,3 +82,24 @@ def test_graph_over_barrels(spark):
         ("INHERITS", "Class::Main::p/d.ts", "Class::Base::p/a/base.ts"), ("CALLS", "Method::run::p/d.ts", hum), ("CALLS", "Method::run::p/d.ts", "Function::tool::p/a/util.ts"),
         ("INHERITS", "Class::Sub::p/e.ts", "Class::Main::p/d.ts"), ("CALLS", "Method::go::p/e.ts", hum), ("CALLS", "Method::go::p/e.ts", "Function::lost::unresolved.file"),
     }
+
+
+def test_rounds_read_declarations_worked_out_once(spark, monkeypatch):
+    """Following a chain of modules, or of classes, doesn't work out all declarations anew in every round."""
+    plain, made = modules.staged, []
+
+    def noted(df, name):
+        made.append((name, df.inputFiles()))
+        return plain(df, name)
+
+    monkeypatch.setattr(modules, "staged", noted)
+    asked = spark.createDataFrame([("m0", "f", "Function")], "stem string, name string, type string")
+    declared = spark.createDataFrame([("m3", "f", "Function", "id")], "stem string, name string, type string, id string")
+    exports = spark.createDataFrame([(f"m{i}", "f", f"m{i + 1}", "f") for i in range(3)], "stem string, known string, to_stem string, to_name string")
+    assert [tuple(r) for r in modules.resolved_names(asked, declared, exports).collect()] == [("m0", "f", "Function", "id")]
+    owners = spark.createDataFrame([("c0", "go")], "owner string, name string")
+    members = spark.createDataFrame([("c2", "go", "id")], "owner string, name string, id string")
+    bases = spark.createDataFrame([("c0", "c1"), ("c1", "c2")], "owner string, base string")
+    assert [tuple(r) for r in modules.inherited(owners, members, bases).collect()] == [("c0", "go", "id")]
+    rounds = [files for name, files in made if name == "found"]
+    assert len(rounds) == 7 and all(any("/known-" in f for f in files) for files in rounds) and [name for name, _ in made].count("known") == 2
