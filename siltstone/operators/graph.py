@@ -27,8 +27,11 @@ EDGE_TYPES = ("CALLS", "DEFINED_IN", "USES", "IMPLEMENTS", "INHERITS")
 
 @dataclass(frozen=True)
 class Graph:
+    """`closed`: by the way it was made, every end of an edge is a node."""
+
     nodes: DataFrame
     edges: DataFrame
+    closed: bool = False
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -165,6 +168,8 @@ def build(occurrences: DataFrame, relations: DataFrame, manifest: DataFrame, pro
 
 def resolved(graph: Graph) -> DataFrame:
     """Edges both of whose ends are nodes."""
+    if graph.closed:
+        return graph.edges
     ids = graph.nodes.select("id").distinct()
     edges = graph.edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
     return edges.join(ids.withColumnRenamed("id", "target"), "target", "left_semi")

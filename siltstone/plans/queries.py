@@ -547,11 +547,11 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated TypeScript, a file per order: its lines become the methods of a class."""
-    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("ls"))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # small rows, and much to do for each
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("ls"))
     method = F.transform("ls", lambda x: F.concat(F.lit("  m"), x["l_linenumber"], F.lit("(a) {\n"), F.repeat(F.lit("    a += 1;\n"), x["l_quantity"].cast("int") % 16), F.lit("    return run(a);\n  }\n")))
     body = F.concat(F.lit('import { x } from "y";\n\nexport class C {\n'), F.array_join(method, "\n"), F.lit("}\n"))
-    files = lines.select(F.concat(F.lit("proj/o"), F.col("l_orderkey"), F.lit(".ts")).alias("relative_path"), body.alias("content"))
-    return files.repartition(2 * spark.sparkContext.defaultParallelism)  # small rows, and much to do for each
+    return lines.select(F.concat(F.lit("proj/o"), F.col("l_orderkey"), F.lit(".ts")).alias("relative_path"), body.alias("content"))
 
 
 #: The generated sources' declarations with their lines, and the merge of short ones; a class of over 50 lines gives its methods.
