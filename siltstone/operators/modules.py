@@ -45,7 +45,8 @@ def _named(clause: Column) -> Column:
 
 #: What a text holds that says anything here: a relative module, or an export that isn't a declaration under its own name.
 #: Letters come before the check that a word begins there: a search that has to check it everywhere takes several times as long.
-_SAYS = r"""from(?<=\bfrom)\s*['"]\.|export(?<=\bexport)\s*(?:\*|\{|type\b|default\b)"""
+_FROM_FILE = r"""from(?<=\bfrom)\s*['"]\."""
+_HANDS_ON = r"""export(?<=\bexport)\s*(?:\*|\{|type\b|default\b)"""
 _IMPORT = rf"\bimport\s+(?:type\s+)?([^'\"();]*?){_FROM}"
 _STAR = rf"\bexport\s*\*\s*(?:as\s+({_WORD})\s*)?{_FROM}"
 _PASSED = rf"\bexport\s+(?:type\s+)?\{{([^}}]*)\}}{_FROM}"
@@ -53,6 +54,10 @@ _LISTED = r"\bexport\s+(?:type\s+)?\{([^}]*)\}(?!\s*from\b)"
 _DEFAULT = rf"\bexport\s+default\s+(?:(?:abstract\s+)?class\s+|(?:async\s+)?function\s*\*?\s*)?({_WORD})"
 
 
+def _says(content: Column) -> Column:
+    return ((content.contains("'.") | content.contains('".')) & content.rlike(_FROM_FILE)) | content.rlike(_HANDS_ON)
+
+
 def statements(content: Column) -> Column:
     """The statements of a text that hand names on, with their `kind` and what their patterns take: read off in one pass; an empty array where it says nothing.
 
@@ -67,7 +72,7 @@ def statements(content: Column) -> Column:
         return F.concat(two("imported", _IMPORT), two("starred", _STAR), two("passed", _PASSED), lone("listed", _LISTED), lone("default", _DEFAULT))
 
     found = F.transform(F.array(F.regexp_replace(content, _COMMENTS, " ")), taken).getItem(0)
-    return F.when(content.rlike(_SAYS), found).otherwise(F.array().cast("array<struct<kind:string,g1:string,g2:string>>"))
+    return F.when(_says(content), found).otherwise(F.array().cast("array<struct<kind:string,g1:string,g2:string>>"))
 
 
 def facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +83,7 @@ def facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     theirs aren't there.
     """
     if "said" not in files.columns:
-        files = files.where(F.col("content").rlike(_SAYS)).select("filePath", statements(F.col("content")).alias("said"))
+        files = files.where(_says(F.col("content"))).select("filePath", statements(F.col("content")).alias("said"))
     said = staged(files.select("filePath", F.inline("said")), "statements")
     found = lambda kind: said.where(F.col("kind") == kind).drop("kind")
     own = lambda c: target_stem(F.col("filePath"), F.col(c))
